@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op1_decontamination
 from tessera.llm.minhash import op10_minhash
+from tessera.llm.packing import op8_packing
 from tessera.llm.pii import op5_pii
 from tessera.llm.quality_rules import op9_quality_rules
 
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [op1_decontamination, op5_pii, op10_minhash, op9_quality_rules]
+    found = [op1_decontamination, op5_pii, op8_packing, op10_minhash, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
