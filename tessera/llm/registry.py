@@ -7,12 +7,13 @@ from tessera.llm.language import op6_language_id
 from tessera.llm.minhash import op10_minhash
 from tessera.llm.packing import op8_packing
 from tessera.llm.pii import op5_pii
+from tessera.llm.pu_quality import op4_quality_classifier
 from tessera.llm.quality_rules import op9_quality_rules
 
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [op1_decontamination, op5_pii, op6_language_id, op8_packing, op10_minhash, op9_quality_rules]
+    found = [op1_decontamination, op4_quality_classifier, op5_pii, op6_language_id, op8_packing, op10_minhash, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
