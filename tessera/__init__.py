@@ -1,0 +1 @@
+"""Entity alignment of large knowledge graphs as DataFrame operators."""

@@ -1,0 +1 @@
+"""Readers and writers of alignment datasets, and the demonstration graphs."""

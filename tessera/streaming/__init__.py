@@ -1,0 +1 @@
+"""Nothing here: alignment runs are batch loops, and no operator works on streams."""
