@@ -3,7 +3,9 @@
 A document's character-class histogram and its common-word histogram are compared with the
 references of its language by Jensen-Shannon distance (square root of the base-2 divergence,
 0 to 1). References are measured over all documents of a language, in one pass of partial sums.
-A document whose language has no reference is compared with the nearest one. Short texts vary
+A document is also compared with
+the mixture of references that its common words suggest, since texts can be in several languages; one
+whose language has no reference is compared with all of them. The least distance counts. Short texts vary
 too much to judge: each histogram has a minimum length under which it isn't compared.
 
 Defined cases: null text counts as empty, and an empty text fails the base rule of 10 words. Ties
@@ -55,8 +57,8 @@ class Limits:
     """Greatest distances that a kept document may have, and the lengths from which they hold."""
 
     char_distance: float = 0.32
-    word_distance: float = 0.14
-    word_slack: float = 1.3  # over the square root of the words: what chance adds in short texts
+    word_distance: float = 0.175
+    word_slack: float = 1.45  # over the square root of the words: what chance adds in short texts
     min_chars: int = 300
     min_words: int = 80
 
@@ -96,11 +98,18 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(max(d / 2, 0.0), 1.0)))
 
 
-def _with_rest(counts: np.ndarray, lang: str, total: int) -> np.ndarray:
-    listed = counts[_PLACE[lang]]
+def _with_rest(listed: np.ndarray, total: int) -> np.ndarray:
     return np.append(listed, max(0, total - int(listed.sum()))).astype(float)
 
 
+def _references_for(lang: str | None, listed: np.ndarray, refs: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The language's references, or all where it has none, and their mixture by the languages' common words in the text: texts in several languages are compared with that."""
+    shares = {k: float(listed[_PLACE[k]].sum()) + 1e-9 for k in refs}
+    total = sum(shares.values())
+    mixed = tuple(sum(shares[k] / total * (r[i] / max(r[i].sum(), 1)) for k, r in refs.items()) for i in (0, 1))
+    return [mixed, *([refs[lang]] if lang in refs else refs.values())]
+
+
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Histograms of each listed language over all of its documents; the result has a few rows only."""
     schema = pa.schema([("lang", pa.string()), ("counts", pa.list_(pa.int64()))])
@@ -120,7 +129,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     out: dict[str, np.ndarray] = {}
     for r in rows:
         out.setdefault(r.lang, np.zeros(CLASSES + len(_KEYS) + 1))[r.pos] = r.n
-    return {k: (v[:CLASSES], _with_rest(v[CLASSES:-1], k, int(v[-1]))) for k, v in sorted(out.items())}
+    return {k: (v[:CLASSES], _with_rest(v[CLASSES:-1], int(v[-1]))) for k, v in sorted(out.items())}
 
 
 def judge(raw: bytes, lang: str | None, refs: dict, limits: Limits) -> tuple:
@@ -131,11 +140,11 @@ def judge(raw: bytes, lang: str | None, refs: dict, limits: Limits) -> tuple:
     char_d = word_d = None
     if refs and raw:
         chars, listed, n = histograms(raw, words)
-        among = [lang] if lang in refs else list(refs)
+        among = _references_for(lang, listed, refs)
         if int(chars.sum()) >= limits.min_chars:
-            char_d = min(distance(chars, refs[k][0]) for k in among)
+            char_d = min(distance(chars, r[0]) for r in among)
         if n >= limits.min_words:
-            word_d = min(distance(_with_rest(listed, k, n), refs[k][1]) for k in among)
+            word_d = min(distance(_with_rest(listed, n), r[1]) for r in among)
     far = (char_d is not None and char_d > limits.char_distance) or (word_d is not None and word_d > limits.word_distance + limits.word_slack / len(words) ** 0.5)
     return len(words), word_chars, symbols, dup, repeated, failed, not failed and not far, char_d, word_d
 
