@@ -109,7 +109,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate:
 
 def sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Bucket counts of at most about per_language labelled rows of each language, by the hash of their id."""
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    docs = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     size = docs.groupBy("lang").count()
     rows = docs.join(size.where(f"count > {per_language}"), "lang", "left")
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(F.lit(per_language << 20) / F.col("count"), F.lit(1 << 20)))

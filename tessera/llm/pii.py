@@ -239,17 +239,17 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the selected matches of each kind, one kind after the other, replaced by its name in angle brackets; n_chars follows."""
     scorers = train(docs.sparkSession)
-    df = docs.withColumnRenamed("text", "_text")
+    df = docs.select("text", F.struct(*docs.columns).alias("rest"))
     for kind in [*BASE, *MORE]:
-        df = _with_pieces(df, kind, "_text")
+        df = _with_pieces(df, kind, "text")
         ok = _judged(kind, scorers) if kind in MORE else (lambda x, g, i, ok=kind.ok: ok(x))
         m, g = F.col(f"m_{kind.name}"), F.col(f"g_{kind.name}")
         parts = F.transform(g, lambda gap, i: F.concat(gap, F.when(i >= F.size(m), "").when(ok(F.get(m, i), g, i), f"<{kind.name.upper()}>").otherwise(F.get(m, i))))
-        df = df.withColumn("_text", F.when(F.size(m) > 0, F.array_join(parts, "")).otherwise(F.col("_text"))).drop(f"m_{kind.name}", f"g_{kind.name}")
-    df = df.withColumnRenamed("_text", "text")
-    if "n_chars" in df.columns:
-        df = df.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return df.select(docs.columns)
+        df = df.withColumn("text", F.when(F.size(m) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(f"m_{kind.name}", f"g_{kind.name}")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("rest")["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*(new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
