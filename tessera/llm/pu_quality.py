@@ -41,6 +41,8 @@ _BYTES = {
     "symbol": b"#*$%&<>@~^_=+/\\{}[]",
     "quote": b"\"'()-:;`",
 }
+#: Least steps of a training, however small its sample.
+STEPS = 600
 _GROUP = np.full(256, len(_BYTES), np.uint8)
 for _k, _v in enumerate(_BYTES.values()):
     _GROUP[np.frombuffer(_v, np.uint8)] = _k
@@ -100,7 +102,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.offset, -30, 30)))
 
 
-def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 60, hidden: int = 24, rate: float = 0.01, seed: int = 1) -> Network:
+def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 60, least: int = STEPS, hidden: int = 24, rate: float = 0.01, decay: float = 3e-3, seed: int = 1) -> Network:
     """Fit to positives p and unlabelled u. prior None: plain positives against unlabelled."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([p, u])
@@ -112,7 +114,7 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 60, h
     parts = max(1, len(u) // 256)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     soft = lambda z: np.logaddexp(0, z)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least // parts))):
         for a, b in zip(np.array_split(rng.permutation(len(p)), parts), np.array_split(rng.permutation(len(u)), parts)):
             if not len(a) or not len(b):
                 continue
@@ -128,7 +130,7 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 60, h
             else:
                 g = np.concatenate([prior * ((sig(zp) - 1) - sig(zp)) / len(a), sig(zu) / len(b)])
             back = np.outer(g, weights[2]) * (1 - h**2)
-            grads = [x.T @ back + 1e-4 * weights[0], back.sum(0), h.T @ g + 1e-4 * weights[2], np.array([g.sum()])]
+            grads = [x.T @ back + decay * weights[0], back.sum(0), h.T @ g + decay * weights[2], np.array([g.sum()])]
             step += 1
             for i, d in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * d
@@ -141,7 +143,7 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int = 60, h
 def estimated_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The share of positives among u: a classifier of half of the rows scores the other half, and the
     least ratio, over upper score ranges, of the share of u to that of p bounds the prior from above."""
-    net = train(p[::2], u[::2], None, epochs=15)
+    net = train(p[::2], u[::2], None, epochs=15, least=0)
     sp, su = np.sort(net.margin(p[1::2])), np.sort(net.margin(u[1::2]))
     if not len(sp) or not len(su):
         return 0.5
