@@ -108,7 +108,9 @@ def removed(rows):
     return out
 
 
-def test_repeats(spark, texts):
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_repeats(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     rng = np.random.default_rng(8)
     rows = list(texts.items())[:60]
     passage = "".join(chr(97 + k) for k in rng.integers(0, 26, 400))
