@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 75
 HASHES, ROWS, BITS = 128, 4, 4
 #: Pairs with a lower estimate aren't confirmed; at a true similarity of 0.75 that is over five standard deviations away.
 LEAST_ESTIMATE = 0.55
+#: Buckets of more members than LARGE are compared in cells of CELL members by CELL.
+LARGE, CELL = 64, 256
 _MIX = np.random.default_rng(11).integers(0, 2**63, (2, HASHES), np.uint64)
 _A, _B = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1]
 _P = np.random.default_rng(12).integers(0, 2**63, (HASHES // ROWS, ROWS + 1), np.uint64) | np.uint64(1)
@@ -122,6 +124,65 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * shared >= PERCENT * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members, of different components, whose estimate allows a link."""
+    one, two = (rows.select("bucket", F.col("doc_id").alias(i), F.col("c").alias(f"c{i}"), *(F.col(f"s{k}").alias(f"{p}{k}") for k in range(_LONGS))) for i, p in (("u", "a"), ("v", "b")))
+    return one.join(two, "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (estimate("a", "b") >= LEAST_ESTIMATE)).select("u", "v")
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of cell (bucket, i, j) and side: links of side 0 to side 1 across components, by exact overlaps from an index of a cell's sets."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    cell, left, right = None, [], []
+
+    def links() -> list:
+        out = []
+        if left and right:
+            size = np.array([len(x[2]) for x in right])
+            flat, owner = np.concatenate([x[2] for x in right]), np.repeat(np.arange(len(right)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, c = np.array([x[0] for x in right]), np.array([x[1] for x in right])
+            for doc, own, found in left:
+                lo, hi = np.searchsorted(flat, found), np.searchsorted(flat, found, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(right))
+                ok = ((100 + PERCENT) * shared >= PERCENT * (len(found) + size)) & (c != own)
+                out += [(min(doc, v), max(doc, v)) for v in ids[ok].tolist()]
+        return out
+
+    for b in small_batches(batches, 256):
+        for bucket, i, j, side, doc, c, found in zip(*(b.column(k).to_pylist() for k in range(6)), (np.array(x.as_py(), np.int64) for x in b.column(6))):
+            if cell != (bucket, i, j):
+                if out := links():
+                    yield batch(schema, list(zip(*set(out))))
+                cell, left, right = (bucket, i, j), [], []
+            (right if side else left).append((doc, c, found))
+    if out := links():
+        yield batch(schema, list(zip(*set(out))))
+
+
+def _across_large(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components within large buckets.
+
+    Members outside a bucket's largest component are compared with all of its members, in cells of
+    CELL * CELL members at most, so a bucket of any size is spread over tasks and only true links leave them."""
+    most = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max(F.struct("count", (-F.col("c")).alias("m"))).alias("top"), F.sum("count").alias("n"))
+    most = most.select("bucket", (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.count")) / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
+    rows = rows.select("bucket", "doc_id", "c").join(most, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("c <> main").select("bucket", "doc_id", "c", F.lit(0).alias("side"), own("ni").alias("i"), every("nj").alias("j"))
+    right = rows.select("bucket", "doc_id", "c", F.lit(1).alias("side"), own("nj").alias("j"), every("ni").alias("i"))
+    placed = cut(left.unionByName(right))
+    ids = cut(placed.select("doc_id").distinct())
+    sets = _sets(filtered(docs.select("doc_id", "text"), ids, "left_semi", ids.count()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = placed.join(sets, "doc_id").select("bucket", "i", "j", "side", "doc_id", "c", "found")
+    return map_batches(cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side"), _linked_in_cells, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     every = cut(signatures(docs))
@@ -142,15 +203,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop_cut(pairs)
     of = cut(components(links))
 
-    known = members.join(of, "doc_id", "left").select("bucket", "low", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    # Each bucket's smallest member has met all of its others.
+    known = members.where("doc_id <> low").join(of, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-    known = known.join(mixed, "bucket", "left_semi").where("doc_id <> low").join(every.select("doc_id", *sigs).dropDuplicates(["doc_id"]), "doc_id")
+    known = known.join(mixed, "bucket", "left_semi").join(every.select("doc_id", *sigs).dropDuplicates(["doc_id"]), "doc_id")
     known = cut(known.select("bucket", "doc_id", "c", *sigs))
-    one = known.select("bucket", F.col("doc_id").alias("u"), F.col("c").alias("cu"), *(F.col(s).alias(f"a{i}") for i, s in enumerate(sigs)))
-    two = known.select("bucket", F.col("doc_id").alias("v"), F.col("c").alias("cv"), *(F.col(s).alias(f"b{i}") for i, s in enumerate(sigs)))
-    more = cut(one.join(two, "bucket").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (estimate("a", "b") >= LEAST_ESTIMATE)).select("u", "v").distinct())
-    if not more.isEmpty():
-        of = cut(components(links.unionByName(confirmed(more, docs))))
+    large = known.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket")
+    more = cut(_across(known.join(large, "bucket", "left_anti")).distinct())
+    new = confirmed(more, docs).unionByName(_across_large(known.join(large, "bucket", "left_semi"), docs))
+    new = cut(new)
+    if not new.isEmpty():
+        of = cut(components(links.unionByName(new)))
     drop_cut(members)
     drop_cut(known)
     out = every.select("doc_id", "n_shingles", "set_id").join(alike, "set_id", "left").join(of.select(F.col("doc_id").alias("first_id"), "component_id"), "first_id", "left")
