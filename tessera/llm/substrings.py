@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from tessera.llm.induced import suffix_order
 WINDOW, GRAM = 100, 24
 #: Bytes that are sorted together; a longer group of runs is sorted alone.
 SHARD = 4 << 20
+#: Runs of a least hash with more different surroundings than this are too many for one task.
+HOT = 20_000
 _RNG = np.random.default_rng(17)
 _LETTER = _RNG.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(0, 2**63, 6, np.uint64) | np.uint64(1)
@@ -49,12 +52,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
-    """Least hash, hash of all its bytes, first window, number of windows, and whether equal windows may lie within, of each run."""
-    n = len(text) - WINDOW + 1
-    if n <= 0:
-        return None
-    raw = np.frombuffer(text, np.uint8)
+def grams(raw: np.ndarray) -> np.ndarray:
+    """The hash of the GRAM bytes from each byte on."""
     h = _LETTER[0][raw]
     for k, width in enumerate((1, 2, 4)):
         h = h[:-width] * _STEP[k] + h[width:]
@@ -62,11 +61,21 @@ def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    grams, low, width = WINDOW - GRAM + 1, h, 1
-    while 2 * width <= grams:
+    return h
+
+
+def runs(text: bytes) -> tuple[np.ndarray, ...] | None:
+    """Least hash, hash of all its bytes, first window, number of windows, and whether equal windows may lie within, of each run."""
+    n = len(text) - WINDOW + 1
+    if n <= 0:
+        return None
+    raw = np.frombuffer(text, np.uint8)
+    h = grams(raw)
+    several, low, width = WINDOW - GRAM + 1, h, 1
+    while 2 * width <= several:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[:n], low[grams - width : grams - width + n])
+    low = np.minimum(low[:n], low[several - width : several - width + n])
     first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     last = np.append(first[1:], n) - 1
     again = h[:n] == low  # the least gram leads its window; within a run it then occurs again
@@ -173,19 +182,73 @@ def marked(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
 _MARK = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 
 
+#: A window holds so many bytes beside its least gram on one side at least.
+SIDE = (WINDOW - GRAM) // 2
+
+
+def trimmed(segments: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Segments (m, doc_id, first, n, bytes) of whole groups, without m, cut down to what can have an equal window.
+
+    Equal windows have the least gram at the same place, so they agree in the SIDE bytes before it or in
+    those after it. Windows of a segment that shares neither with another of its group go; groups in
+    which a segment has its gram twice stay as they are."""
+    if not segments:
+        return []
+    m = np.array([s[0] for s in segments], np.int64)
+    size = np.array([len(s[4]) for s in segments], np.int64)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    raw = np.frombuffer(b"".join(s[4] for s in segments), np.uint8)
+    h = grams(raw).view(np.int64)
+    of = np.repeat(np.arange(len(segments)), size)[: len(h)]
+    hit = np.flatnonzero((h == m[of]) & (np.arange(len(h)) + GRAM <= (start + size)[of]))
+    times = np.bincount(of[hit], minlength=len(segments))
+    at = np.zeros(len(segments), np.int64)
+    at[of[hit][::-1]] = hit[::-1] - start[of[hit][::-1]]
+    whole = np.isin(m, m[times != 1])
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[1][raw] * _powers(_BASE, len(raw)), out=total[1:])
+    back = _powers(_INVERSE, len(raw))
+
+    def shared(begin: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        b = np.where(fits, start + begin, 0)
+        key = ((total[np.minimum(b + SIDE, len(raw))] - total[b]) * back[np.minimum(b, len(raw) - 1)]) ^ (m.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, same, n = np.unique(key[fits], return_inverse=True, return_counts=True)
+        out = np.zeros(len(segments), bool)
+        out[fits] = n[same] > 1
+        return out
+
+    left = shared(at - SIDE, at >= SIDE) | whole
+    right = shared(at + GRAM, at + GRAM + SIDE <= size) | whole
+    out = []
+    for (_, doc, first, n, text), p, lo, hi in zip(segments, at.tolist(), left.tolist(), right.tolist()):
+        if lo and hi:
+            out.append((doc, first, n, text))
+        elif lo and p >= SIDE:
+            n = min(n, p - SIDE + 1)
+            out.append((doc, first, n, text[: n + WINDOW - 1]))
+        elif hi and (skip := max(0, p - SIDE + 1)) < n:
+            out.append((doc, first + skip, n - skip, text[skip:]))
+    return out
+
+
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """marked() over segments in the order of m; groups of m stay whole, small ones are sorted together."""
     held, size, last = [], 0, None
+
+    def found() -> pa.RecordBatch:
+        kept_ = trimmed(held)
+        return batch(_MARK, list(zip(*marked(kept_))) if kept_ else [[], [], []])
+
     for b in small_batches(batches, 4096):
-        for m, *row in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if size > SHARD and m != last:
-                yield batch(_MARK, list(zip(*marked(held))) or [[], [], []])
+        for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+            if size > SHARD and row[0] != last:
+                yield found()
                 held, size = [], 0
-            held.append(tuple(row))
-            size += len(row[3])
-            last = m
+            held.append(row)
+            size += len(row[4])
+            last = row[0]
     if held:
-        yield batch(_MARK, list(zip(*marked(held))) or [[], [], []])
+        yield found()
 
 
 _SEGMENT = pa.schema([("m", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())])
@@ -199,16 +262,37 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_SEGMENT, list(zip(*out)) or [[]] * 5)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("first", pa.int64())])
+    for b in small_batches(batches, 1024):
+        out = [(xxhash.xxh3_128_digest(raw[k : k + WINDOW]), doc, first + k) for doc, first, n, raw in zip(*(b.column(c).to_pylist() for c in range(1, 5))) for k in range(n)]
+        yield batch(schema, list(zip(*out)) or [[]] * 3)
+
+
+def _by_window(segments: DataFrame) -> DataFrame:
+    """marked() for groups of any size: windows meet by their own 128-bit hash, so one group spreads over tasks, and the first place is a partial minimum."""
+    windows = map_batches(segments, _windows, "window binary, doc_id long, first long")
+    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return windows.join(least, "window").where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, first, n): each n windows from first on also occur earlier."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(docs).repartition(parts, "m").sortWithinPartitions("m", "whole", "doc_id", "first")
     found = cut(map_batches(dealt, _resolved, "doc_id long, first long, n long, m long, sort boolean"))
+    hot = cut(found.where("sort").groupBy("m").count().where(F.col("count") > HOT).select("m"))
     want = cut(found.where("sort").groupBy("doc_id").agg(F.collect_set(F.struct("m", "first", "n")).alias("want")))
     texts = filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), want, "left_semi", want.count()).join(want, "doc_id").select("doc_id", "text", "want")
     segments = map_batches(texts, _segments, "m long, doc_id long, first long, n long, raw binary")
-    shards = segments.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "first")
-    return found.where("NOT sort").select("doc_id", "first", "n").unionByName(map_batches(shards, _sorted_shards, "doc_id long, first long, n long"))
+    plain = segments
+    marks = found.where("NOT sort").select("doc_id", "first", "n")
+    if not hot.isEmpty():
+        segments = cut(segments)
+        plain = segments.join(hot, "m", "left_anti").select(segments.columns)
+        marks = marks.unionByName(_by_window(segments.join(hot, "m", "left_semi").select(segments.columns)))
+    shards = plain.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "first")
+    return marks.unionByName(map_batches(shards, _sorted_shards, "doc_id long, first long, n long"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
