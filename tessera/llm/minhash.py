@@ -163,14 +163,18 @@ def _linked_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch(schema, list(zip(*set(out))))
 
 
-def _across_large(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _large(rows: DataFrame) -> DataFrame:
+    """(large, main, ni, nj) of each bucket with more than LARGE members: its largest component, and cells along the members outside it and along all."""
+    most = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max(F.struct("count", (-F.col("c")).alias("m"))).alias("top"), F.sum("count").alias("n")).where(F.col("n") > LARGE)
+    return most.select(F.col("bucket").alias("large"), (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.count")) / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
+
+
+def _across_large(rows: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between different components within large buckets.
 
     Members outside a bucket's largest component are compared with all of its members, in cells of
     CELL * CELL members at most, so a bucket of any size is spread over tasks and only true links leave them."""
-    most = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max(F.struct("count", (-F.col("c")).alias("m"))).alias("top"), F.sum("count").alias("n"))
-    most = most.select("bucket", (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.count")) / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
-    rows = rows.select("bucket", "doc_id", "c").join(most, "bucket")
+    rows = rows.select("bucket", "doc_id", "c").join(large, F.col("bucket") == F.col("large"))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("c <> main").select("bucket", "doc_id", "c", F.lit(0).alias("side"), own("ni").alias("i"), every("nj").alias("j"))
@@ -208,9 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = known.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
     known = known.join(mixed, "bucket", "left_semi").join(every.select("doc_id", *sigs).dropDuplicates(["doc_id"]), "doc_id")
     known = cut(known.select("bucket", "doc_id", "c", *sigs))
-    large = known.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket")
-    more = cut(_across(known.join(large, "bucket", "left_anti")).distinct())
-    new = confirmed(more, docs).unionByName(_across_large(known.join(large, "bucket", "left_semi"), docs))
+    large = cut(_large(known))
+    more = cut(_across(known.join(large, F.col("bucket") == F.col("large"), "left_anti")).distinct())
+    new = confirmed(more, docs).unionByName(_across_large(known, large, docs))
     new = cut(new)
     if not new.isEmpty():
         of = cut(components(links.unionByName(new)))
