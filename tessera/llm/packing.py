@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from tessera.llm.common import batch, map_batches, small_batches, table
 CAPACITY, PIECE, CHUNK = 2048, 512, 2048
 END = (1).to_bytes(4, "little")
 #: Words and parts of words whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def difference(sizes: list[int], windows: int) -> tuple[list[int], np.ndarray]:
@@ -84,23 +85,31 @@ class Ids:
     _odd = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ɏ]|<\\|")
     _parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+    # Byte-level vocabularies write bytes that don't print as the characters from 256 on, in order.
+    _byte = dict(zip([*range(33), *range(127, 161), 173], range(256, 324)))
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, part: str) -> bytes:
+        """The ids of a lower-cased word or mark: the tokenizer's merges alone, on the characters that stand for its bytes."""
+        tokens = self.merges(part if part.isascii() else part.encode().decode("latin-1").translate(self._byte))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
         split: list[list[str] | None] = [None if self._odd.search(t) else t.lower().split() for t in texts]
         unknown = {w for words in split if words for w in words}.difference(self.words)
         cut = {w: self._parts.findall(w) for w in unknown}
-        parts = list({p for found in cut.values() for p in found}.difference(self.parts))
-        new = dict(zip(parts, self._encoded(parts)))
+        new = {p: self._merged(p) for p in {p for found in cut.values() for p in found}.difference(self.parts)}
         know = self.parts
         for w, found in cut.items():
             cut[w] = b"".join([know[p] if p in know else new[p] for p in found])
