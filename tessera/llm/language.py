@@ -27,6 +27,7 @@ from tessera.llm.common import batch, map_batches, remainder, small_batches, tab
 
 BUCKET_BITS, WIDTH = 13, 16
 BUCKETS = 1 << BUCKET_BITS
+BROADCAST_LANGUAGES = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -111,7 +112,9 @@ def sample(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np
     """Bucket counts of at most about per_language labelled rows of each language, by the hash of their id."""
     docs = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     size = docs.groupBy("lang").count()
-    rows = docs.join(size.where(f"count > {per_language}"), "lang", "left")
+    size = size.where(f"count > {per_language}")
+    # A row per language: broadcast while they are few, so that texts aren't shuffled by language.
+    rows = docs.join(F.broadcast(size) if size.count() <= BROADCAST_LANGUAGES else size, "lang", "left")
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(F.lit(per_language << 20) / F.col("count"), F.lit(1 << 20)))
     schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
