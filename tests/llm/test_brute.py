@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -203,6 +204,22 @@ def test_exchange_raises_information():
     assert len({(int(kind[k]), int(of[k])) for k in range(20)}) == 2
 
 
+@pytest.mark.parametrize("listed", [700, 200_000])
+def test_rare_words_have_classes(spark, listed):
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(20, 820)
+    draw = lambda kind, n: [f"{kind}{k}" for k in rng.choice(800, n, p=share / share.sum())]
+    texts = [" ".join(chain.from_iterable(zip(draw("a", 15), draw("b", 15)))) for _ in range(2000)]
+    n = Counter(w for t in texts for w in t.split())
+    listing = sorted(n, key=lambda w: (-n[w], w))
+    rare = [w for w in listing[900:] if n[w] > 1]
+    a, b = ([w for w in rare if w[0] == kind][:40] for kind in "ab")
+    asked = [" ".join(chain.from_iterable(zip(a, b))), " ".join(a + b)]
+    learn = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    right, mixed = (r.score for r in brown.scores(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), learn, listed).orderBy("doc_id").collect())
+    assert right > mixed + 20
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
