@@ -100,8 +100,10 @@ def largest_eigenvalue(a: DataFrame, rounds: int = 30) -> float:
 def chebyshev(adj: DataFrame, ents: DataFrame, order: int) -> list[DataFrame]:
     """T_0 to T_order of the scaled Laplacian 2 (I - A_norm) / lambda_max - I."""
     eye = ents.select(F.col("ent").alias("i"), F.col("ent").alias("j"), F.lit(1.0).alias("w"))
-    laplacian = combine((1.0, eye), (-1.0, symmetric_norm(adj)))
-    scaled = combine((2.0 / largest_eigenvalue(laplacian), laplacian), (-1.0, eye))
+    from tessera.functions.tables import cut
+
+    laplacian = cut(combine((1.0, eye), (-1.0, symmetric_norm(adj))))
+    scaled = cut(combine((2.0 / largest_eigenvalue(laplacian), laplacian), (-1.0, eye)))
     out = [eye, scaled]
     for _ in range(2, order + 1):
         out.append(combine((2.0, multiply(scaled, out[-1])), (-1.0, out[-2])))

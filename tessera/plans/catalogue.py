@@ -832,10 +832,8 @@ def alignment_loop(w: World) -> DataFrame:
 
 @query()
 def chebyshev_basis(w: World) -> DataFrame:
-    """The third Chebyshev matrix of the nation and region subgraph."""
-    small = w.kg1.where("r = 'in_region'")
-    nodes = small.select(F.explode(F.array("h", "t")).alias("ent")).distinct()
-    return rounded(adjacency.chebyshev(adjacency.weighted(small), nodes, 2)[2], "w")
+    """The third Chebyshev matrix of the first graph."""
+    return rounded(adjacency.chebyshev(w.wadj, w.nodes1, 2)[2], "w")
 
 
 def oracles() -> dict[str, str]:

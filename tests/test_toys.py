@@ -144,3 +144,11 @@ def test_loop_finds_counterparts(spark):
     rows = sorted(out.history.collect(), key=lambda r: r.iteration)
     assert len(rows) == 2 and rows[0].seeds <= rows[1].seeds
     assert rows[1].right > 0.6 * rows[1].seeds
+
+
+def test_chebyshev_basis_covers_the_graph(spark):
+    from tessera.plans import catalogue
+
+    w = catalogue.World(spark, "/root/testdata/sf0.001")
+    found = catalogue.QUERIES["chebyshev_basis"](spark, w.sf_dir).select("i").distinct()
+    assert w.nodes1.join(found, w.nodes1.ent == found.i, "left_anti").count() == 0
