@@ -2,13 +2,17 @@
 
 A document's character-class histogram and its common-word histogram are compared with the
 references of its language by Jensen-Shannon distance (square root of the base-2 divergence,
-0 to 1). References are measured over all documents of a language, in one pass of partial sums.
-A document is also compared with
-the mixture of references that its common words suggest, since texts can be in several languages; one
-whose language has no reference is compared with all of them. The least distance counts. Short texts vary
-too much to judge: each histogram has a minimum length under which it isn't compared.
-
-Defined cases: null text counts as empty, and an empty text fails the base rule of 10 words. Ties
+0 to 1). Every language of the table with `least_docs` documents or more has references, measured over
+all of its documents that pass the base rules, in one pass of partial sums; its common words are the
+fixed lists below or, for other languages, its most frequent words. A document is also compared with
+the mixture of references that its common words suggest, since texts can be in several languages. The
+least distance counts. How far documents of a language and length lie from their reference is measured in a
+second pass: a limit is never less than that pass's median and `spreads` times the distance from the
+lower quartile to it. Short texts vary too much to judge: each histogram has a minimum length under
+which it isn't compared.
+
+Defined cases: null text counts as empty, and an empty text fails the base rule of 10 words. A document
+whose language is null or has no reference isn't compared: the base rules alone decide. Ties
 and repeated rows are judged row by row. Null doc_id and lang are kept as they are. An empty table
 gives an empty result. Extra columns are ignored by `assess` and kept by `keep`.
 """
@@ -46,21 +50,33 @@ _CLASS[np.frombuffer(b".,;:'\"?!()-", np.uint8)] = 4
 _CLASS[127] = 6
 _CLASS[192:256] = 7
 _SYMBOLS = b"#*$%&|<>"
-_WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
-_KEYS = [w.encode() for w in _WORDS]
-_PLACE = {lang: np.array([_WORDS.index(w) for w in words]) for lang, words in COMMON_WORDS.items()}
-LANGS = sorted(COMMON_WORDS)
+#: Listed words of a language; others have the words that make up at least this share of it.
+LISTED, SHARE = 30, 0.002
+#: A task hands on its counts at so many words.
+FLUSH = 250_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Greatest distances that a kept document may have, and the lengths from which they hold."""
+    """Greatest distances that a kept document may have where its language doesn't allow more, and the lengths from which they hold."""
 
     char_distance: float = 0.32
     word_distance: float = 0.175
     word_slack: float = 1.45  # over the square root of the words: what chance adds in short texts
+    spreads: float = 5.0  # of the lower quartile from the median, over the median
     min_chars: int = 300
     min_words: int = 80
+    least_docs: int = 20
+
+
+@dataclass
+class References:
+    """Common words of all languages by number, and by language: their numbers, the histograms, and by length (powers of two) the limits."""
+
+    index: dict[bytes, int]
+    place: dict[str, np.ndarray]
+    of: dict[str, tuple[np.ndarray, np.ndarray]]
+    limits: dict[tuple[str, int], tuple[float, float]]
 
 
 def base(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -82,11 +98,10 @@ def base(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return word_chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def histograms(raw: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Counts of the character classes and of all listed words, and the number of words."""
+def histograms(raw: bytes, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the character classes and of all common words."""
     chars = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
-    seen = Counter(raw.lower().split())
-    return chars, np.array([seen.get(k, 0) for k in _KEYS], np.int64), len(words)
+    return chars, np.bincount([index[w] for w in raw.lower().split() if w in index], minlength=len(index))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -102,59 +117,119 @@ def _with_rest(listed: np.ndarray, total: int) -> np.ndarray:
     return np.append(listed, max(0, total - int(listed.sum()))).astype(float)
 
 
-def _references_for(lang: str | None, listed: np.ndarray, refs: dict) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The language's references, or all where it has none, and their mixture by the languages' common words in the text: texts in several languages are compared with that."""
-    shares = {k: float(listed[_PLACE[k]].sum()) + 1e-9 for k in refs}
+def _compared(raw: bytes, n: int, lang: str | None, refs: References, limits: Limits) -> tuple[float | None, float | None]:
+    """Distances of the characters and of the common words of a text of n words from the nearer of its language's
+    references and their mixture by the languages' common words in the text; None where they aren't compared."""
+    if lang not in refs.of or (len(raw) < limits.min_chars and n < limits.min_words):
+        return None, None
+    chars, listed = histograms(raw, refs.index)
+    shares = {k: float(listed[at].sum()) + 1e-9 for k, at in refs.place.items()}
     total = sum(shares.values())
-    mixed = tuple(sum(shares[k] / total * (r[i] / max(r[i].sum(), 1)) for k, r in refs.items()) for i in (0, 1))
-    return [mixed, *([refs[lang]] if lang in refs else refs.values())]
+    among = [refs.of[lang], tuple(sum(shares[k] / total * (r[i] / max(r[i].sum(), 1)) for k, r in refs.of.items()) for i in (0, 1))]
+    words = _with_rest(listed, n)
+    char_d = min(distance(chars, r[0]) for r in among) if int(chars.sum()) >= limits.min_chars else None
+    return char_d, min(distance(words, r[1]) for r in among) if n >= limits.min_words else None
+
 
+def _frequent(docs: DataFrame, langs: list[str]) -> dict[str, list[bytes]]:
+    """The most frequent words of each of these languages."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of each listed language over all of its documents; the result has a few rows only."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in small_batches(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                found.update((lang, w) for w in (text or b"").lower().split())
+            if len(found) > FLUSH:
+                yield batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+                found.clear()
+        yield batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+
+    parts = map_batches(docs.where(F.col("lang").isin(langs)).select("lang", "text"), counts, "lang string, word binary, n long")
+    words = parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = parts.groupBy("lang").agg(F.sum("n").alias("total"))
+    out: dict[str, list[bytes]] = {k: [] for k in langs}
+    # A language has at most 1 / SHARE such words.
+    for r in sorted(words.join(F.broadcast(total), "lang").where(F.col("n") >= SHARE * F.col("total")).collect(), key=lambda r: (-r.n, bytes(r.word))):
+        out[r.lang].append(bytes(r.word))
+    return {k: v[:LISTED] for k, v in out.items()}
+
+
+def references(docs: DataFrame, limits: Limits = Limits()) -> References:
+    """References of each language with enough documents, and the limits that its documents' distances give; the results have a few rows for each language."""
+    docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    langs = sorted(r.lang for r in docs.where("lang IS NOT NULL").groupBy("lang").count().where(F.col("count") >= limits.least_docs).collect())
+    own = {k: [w.encode() for w in COMMON_WORDS[k]] for k in langs if k in COMMON_WORDS}
+    if others := [k for k in langs if k not in own]:
+        own |= _frequent(docs, others)
+    index = {w: i for i, w in enumerate(sorted({w for words in own.values() for w in words}))}
+    refs = References(index, {k: np.array([index[w] for w in own[k]], np.int64) for k in langs}, {}, {})
     schema = pa.schema([("lang", pa.string()), ("counts", pa.list_(pa.int64()))])
+    among = docs.where(F.col("lang").isin(langs))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in small_batches(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                if text:
-                    chars, listed, n = histograms(text, text.split())
-                    row = np.concatenate([chars, listed, [n]])
+                words = (text or b"").split()
+                if not _failed(len(words), base(text or b"", words)[3]):
+                    row = np.concatenate([*histograms(text, index), [len(words)]])
                     total[lang] = total[lang] + row if lang in total else row
         yield batch(schema, [list(total), [v.tolist() for v in total.values()]])
 
-    parts = map_batches(docs.where(F.col("lang").isin(LANGS)).select("lang", "text"), sums, "lang string, counts array<bigint>")
-    rows = parts.select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect()
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r.lang, np.zeros(CLASSES + len(_KEYS) + 1))[r.pos] = r.n
-    return {k: (v[:CLASSES], _with_rest(v[CLASSES:-1], int(v[-1]))) for k, v in sorted(out.items())}
+    got: dict[str, np.ndarray] = {}
+    for r in map_batches(among, sums, "lang string, counts array<bigint>").select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect():
+        got.setdefault(r.lang, np.zeros(CLASSES + len(index) + 1))[r.pos] = r.n
+    refs.of = {k: (v[:CLASSES], _with_rest(v[CLASSES:-1], int(v[-1]))) for k, v in sorted(got.items())}
+    refs.place = {k: refs.place[k] for k in refs.of}
+    refs.limits = _allowed(among, refs, limits)
+    return refs
+
+
+def _size(n: int) -> int:
+    return n.bit_length()
 
 
-def judge(raw: bytes, lang: str | None, refs: dict, limits: Limits) -> tuple:
-    """The row of a text: counts, base verdict, distances (null where not compared), verdict."""
+def _allowed(docs: DataFrame, refs: References, limits: Limits) -> dict[tuple[str, int], tuple[float, float]]:
+    """By language and length, how far its documents may lie from it."""
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int64()), ("c", pa.float64()), ("w", pa.float64())])
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            rows = []
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                n = len((text or b"").split())
+                rows.append((lang, _size(n), *_compared(text or b"", n, lang, refs, limits)))
+            yield batch(schema, list(zip(*rows)))
+
+    of = map_batches(docs, distances, "lang string, size long, c double, w double").groupBy("lang", "size")
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), 1000).alias(c)
+    far = lambda q: q[1] + limits.spreads * (q[1] - q[0]) if q else 0.0
+    return {(r.lang, r["size"]): (far(r.c), far(r.w)) for r in of.agg(F.count("*").alias("n"), quartiles("c"), quartiles("w")).where(F.col("n") >= limits.least_docs).collect()}
+
+
+def _failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
+
+
+def judge(raw: bytes, lang: str | None, refs: References, limits: Limits) -> tuple:
+    """The row of a text: counts, base verdict, verdict, distances (null where not compared)."""
     words = raw.split()
     word_chars, symbols, dup, repeated = base(raw, words)
-    failed = len(words) < 10 or 100 * repeated > 20 * len(words)
-    char_d = word_d = None
-    if refs and raw:
-        chars, listed, n = histograms(raw, words)
-        among = _references_for(lang, listed, refs)
-        if int(chars.sum()) >= limits.min_chars:
-            char_d = min(distance(chars, r[0]) for r in among)
-        if n >= limits.min_words:
-            word_d = min(distance(_with_rest(listed, n), r[1]) for r in among)
-    far = (char_d is not None and char_d > limits.char_distance) or (word_d is not None and word_d > limits.word_distance + limits.word_slack / len(words) ** 0.5)
+    failed = _failed(len(words), repeated)
+    char_d, word_d = _compared(raw, len(words), lang, refs, limits)
+    char_most, word_most = refs.limits.get((lang, _size(len(words))), (0.0, 0.0))
+    far = char_d is not None and char_d > max(char_most, limits.char_distance)
+    far = far or (word_d is not None and word_d > max(word_most, limits.word_distance + limits.word_slack / len(words) ** 0.5))
     return len(words), word_chars, symbols, dup, repeated, failed, not failed and not far, char_d, word_d
 
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def assess(docs: DataFrame, limits: Limits = Limits(), refs: dict | None = None) -> DataFrame:
+def assess(docs: DataFrame, limits: Limits = Limits(), refs: References | None = None) -> DataFrame:
     """doc_id and the row of judge() for each document. refs: other references than those of docs."""
-    refs = references(docs) if refs is None else refs
+    refs = references(docs, limits) if refs is None else refs
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     schema = pa.schema([("doc_id", pa.int64()), *((f.split()[0], t) for f, t in zip(FIELDS.split(", "), types))])
 
@@ -168,8 +243,7 @@ def assess(docs: DataFrame, limits: Limits = Limits(), refs: dict | None = None)
 
 def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with all their columns; judged in the pass that carries them, without a join."""
-    refs = references(docs)
-
+    refs = references(docs, limits)
     at, of = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

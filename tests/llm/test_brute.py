@@ -285,7 +285,7 @@ def test_base_rules(spark, docs, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules(texts[r.doc_id])
         assert not (r.base_failed and r.kept)
     odd = "a\x1cb é ü\n\x0b\né ü\na b c d e f g a b c d e f g h i j | # <x>"
-    r = quality_rules.judge(odd.encode(), None, {}, quality_rules.Limits())
+    r = quality_rules.judge(odd.encode(), None, quality_rules.References({}, {}, {}, {}), quality_rules.Limits())
     assert r[:6] == rules(odd)
 
 
