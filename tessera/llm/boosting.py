@@ -1,12 +1,10 @@
-"""A small gradient-boosted tree classifier in numpy, whose trees also read as Spark columns."""
+"""A small gradient-boosted tree classifier in numpy, whose trees also read as SQL."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass
@@ -27,7 +25,7 @@ class Split:
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 @dataclass
@@ -78,16 +76,13 @@ class Booster:
         """The log odds of rows x."""
         return self.start + sum((self._walk(t, x) for t in self.trees), np.zeros(len(x)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The log odds as a column of the features' columns."""
+    def sql(self, features: str) -> str:
+        """The log odds as SQL over an array of the features."""
 
-        def read(node: Split | Leaf) -> Column:
-            return F.lit(node.value) if isinstance(node, Leaf) else F.when(features[node.feature] <= F.lit(node.at), read(node.left)).otherwise(read(node.right))
+        def read(node: Split | Leaf) -> str:
+            return f"{node.value!r}D" if isinstance(node, Leaf) else f"CASE WHEN {features}[{node.feature}] <= {node.at!r}D THEN {read(node.left)} ELSE {read(node.right)} END"
 
-        out = F.lit(self.start)
-        for t in self.trees:
-            out = out + read(t)
-        return out
+        return " + ".join([f"{self.start!r}D", *map(read, self.trees)])
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
