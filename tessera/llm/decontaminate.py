@@ -6,13 +6,16 @@ on the hit's diagonal, and its best-scoring stretch, in which substituted tokens
 the tokens of the item that the text holds. A text leaks an item when these tokens, over all stretches,
 are at least `least` of them and at least `share` of the item, or at least `many`.
 
-The items are taken in blocks whose number of rows is bounded, so the index that each task holds is
-bounded too, whatever the benchmark's size.
+Items shorter than the longest mask are one stretch, and have masks of their own, of fewer positions: whatever tokens of
+such an item are substituted within these limits, one of the masks still hits. Items that are shorter
+than every mask are found by the hash of the whole item.
 
-Defined cases: null or empty texts and items leak nothing. Items shorter than the longest mask are
-found by the hash of the whole item. Repeated items count once; repeated rows of documents repeat.
-Null ids are kept. Empty tables give an empty result. Extra columns are ignored by `leaks` and kept by
-`decontaminate`.
+The items are taken in blocks of bounded text, so the index that each task holds is bounded too,
+whatever the benchmark's size. A hash that many items share is looked up in bounded portions.
+
+Defined cases: null or empty texts and items leak nothing. Repeated items count once; repeated rows of
+documents repeat. Null ids are kept. Empty tables give an empty result. Extra columns are ignored by
+`leaks` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from tessera.llm.common import batch, map_batches, small_batches, table
 #: Masks: 1 selects a token, 0 ignores it.
 MASKS = ("1110100111", "11010110011", "110011101001", "1111011")
 _SPAN = max(map(len, MASKS))
+#: Masks of items shorter than that: of 9 to 11 tokens, all but 8 may be substituted.
+SHORT_MASKS = ("10111", "11001001", "1110001")
 _TOKEN = re.compile(r"\w+")
-#: Items of one index.
-BLOCK_ITEMS = 20_000
+#: Characters of the items of one index, and hits that are expanded at once.
+BLOCK_CHARS, HITS = 16_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -76,6 +81,13 @@ def _hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return where, h
 
 
+def _masks(n: int) -> tuple[str, ...]:
+    """The masks of an item of n tokens."""
+    if n >= _SPAN:
+        return MASKS
+    return tuple(m for m in SHORT_MASKS if len(m) <= n) or ("1" * n,) * (n > 0)
+
+
 @dataclass
 class Index:
     """Hashes of a block of items."""
@@ -91,7 +103,7 @@ class Index:
         for i, (_, text) in enumerate(self.items):
             ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)], np.int64)
             self.texts.append(ids)
-            for mask in MASKS if len(ids) >= _SPAN else ["1" * len(ids)] * (len(ids) > 0):
+            for mask in _masks(len(ids)):
                 where, h = _hashes(ids, mask)
                 of[mask].append((h, np.full(len(h), i), where))
         for mask, parts in of.items():
@@ -111,24 +123,30 @@ class Index:
             at += len(x) + _SPAN
         ids = np.concatenate([y for x in each for y in (x, gap)] or [gap])
         starts = np.array(starts, np.int64)
-        hits = set()
+        near = defaultdict(set)
         for mask, (seeds, item, pos) in self.seeds.items():
             where, h = _hashes(ids, mask)
             low = np.searchsorted(seeds, h)
             hit = np.flatnonzero((low < len(seeds)) & (seeds[np.minimum(low, len(seeds) - 1)] == h))
-            high = np.searchsorted(seeds, h[hit], "right")
-            for p, a, b in zip(where[hit].tolist(), low[hit].tolist(), high.tolist()):
-                hits.update((p, int(item[k]), p - int(pos[k])) for k in range(a, b)) if b - a < 50 else hits.update(zip([p] * (b - a), item[a:b].tolist(), (p - pos[a:b]).tolist()))
-        near = defaultdict(set)
-        for p, i, start in hits:
-            near[int(np.searchsorted(starts, p, "right")) - 1, i].add(start)
+            where, low = where[hit], low[hit]
+            many = np.searchsorted(seeds, h[hit], "right") - low
+            ends = np.cumsum(many)
+            for x in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                # The x-th hit and those after it: which place of the texts, and which entry of the index.
+                nth = np.arange(x, min(x + HITS, int(ends[-1])))
+                at = np.searchsorted(ends, nth, "right")
+                entry = low[at] + nth - (ends[at] - many[at])
+                place, of = where[at], item[entry]
+                found = np.unique(np.stack([np.searchsorted(starts, place, "right") - 1, of, place - pos[entry]], 1), axis=0)
+                for k, i, start in found.tolist():
+                    near[k, i].add(start)
         for (k, i), diagonals in sorted(near.items()):
             b, held, first, last = self.texts[i], np.zeros(len(self.texts[i]), bool), None, 0
             lo, hi = int(starts[k]), int(starts[k]) + len(each[k])
             for d in sorted(diagonals):
                 s, e = max(lo, d), min(hi, d + len(b))
                 same = ids[s:e] == b[s - d : e - d]
-                x, y = _stretch(same, limits.mismatch)
+                x, y = _stretch(same, limits.mismatch) if len(b) >= _SPAN else (0, len(same))
                 held[s - d + x : s - d + y] |= same[x:y]
                 first, last = s + x - lo if first is None else min(first, s + x - lo), max(last, s + y - lo)
             n = int(held.sum())
@@ -145,10 +163,10 @@ def _stretch(same: np.ndarray, mismatch: float) -> tuple[int, int]:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes of all items, of BLOCK_ITEMS items or so each."""
+    """Broadcast indexes of all items, of BLOCK_CHARS characters or so each."""
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    n = -(-items.count() // BLOCK_ITEMS)
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         yield spark.sparkContext.broadcast(Index(sorted((tuple(r) for r in rows.collect()), key=str)).build())
