@@ -16,6 +16,7 @@ don't matter: each row is packed. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import zlib
@@ -77,9 +78,27 @@ def partition(sizes: list[int], capacity: int) -> list[int]:
         windows += 1
 
 
+# What a tokenizer's file must say for its words to be encoded one by one: lower case, white space dropped, letters, digits and marks apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_words(described: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, gives the same ids for a text and for its words one by one."""
+    added = all(t["content"].startswith("<|") for t in described.get("added_tokens") or [])
+    return added and described.get("normalizer") == _NORMALIZER and described.get("pre_tokenizer") == _PRE_TOKENIZER
+
+
 class Ids:
-    """Token ids of texts, as little-endian bytes. White space splits words and words are remembered,
-    which gives the tokenizer's own ids for texts of the plain characters below; others go to it whole."""
+    """Token ids of texts, as little-endian bytes. Where the tokenizer's file says that white space and marks
+    split words, texts of the plain characters below are encoded by words, which are remembered; other
+    texts, and all texts of other tokenizers, go to the tokenizer whole."""
 
     # Printable ASCII, usual white space and precomposed Latin letters, but for the dotted capital I, whose lower case is two characters.
     _odd = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ɏ]|<\\|")
@@ -93,6 +112,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -106,6 +126,8 @@ class Ids:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
+        if not self.by_words:
+            return self._encoded(texts)
         split: list[list[str] | None] = [None if self._odd.search(t) else t.lower().split() for t in texts]
         unknown = {w for words in split if words for w in words}.difference(self.words)
         cut = {w: self._parts.findall(w) for w in unknown}
