@@ -44,6 +44,25 @@ def drop_cut(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Scratch:
+    """Tables of cut() that are deleted together, but for those that a lazy result still reads."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """cut(), noted for deletion."""
+        self.tables.append(cut(df))
+        return self.tables[-1]
+
+    def drop(self, *, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Delete the tables noted so far; those in keep stay."""
+        for t in self.tables:
+            if not any(t is k for k in keep):
+                drop_cut(t)
+        self.tables = list(keep)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow; with no input rows fn isn't called."""
     return df.mapInArrow(fn, schema)

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, cut, drop_cut, map_batches, small_batches, table
+from tessera.llm.common import Scratch, batch, cut, map_batches, small_batches, table
 from tessera.llm.components import components, filtered
+from tessera.llm.skew import by_unique, salted
 
 WORDS, PERCENT = 5, 75
 HASHES, ROWS, BITS = 128, 4, 4
@@ -115,11 +116,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, found array<bigint>").dropDuplicates(["doc_id"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= 75 * union."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v), a stored table, whose full sets have 100 * intersection >= 75 * union."""
+    ids = scratch.cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     sets = _sets(filtered(docs.select("doc_id", "text"), ids, "left_semi", ids.count()))
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("found").alias("b")), "v")
+    both = salted(pairs, sets.select(F.col("doc_id").alias("u"), F.col("found").alias("a")), "u", "v").join(sets.select(F.col("doc_id").alias("v"), F.col("found").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= PERCENT * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
@@ -164,71 +165,74 @@ def _linked_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _large(rows: DataFrame) -> DataFrame:
-    """(large, main, ni, nj) of each bucket with more than LARGE members: its largest component, and cells along the members outside it and along all."""
+    """(bucket, n, main, ni, nj) of each bucket with more than LARGE members: its largest component, and cells along the members outside it and along all."""
     most = rows.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max(F.struct("count", (-F.col("c")).alias("m"))).alias("top"), F.sum("count").alias("n")).where(F.col("n") > LARGE)
-    return most.select(F.col("bucket").alias("large"), (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.count")) / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
+    return most.select("bucket", "n", (-F.col("top.m")).alias("main"), F.ceil((F.col("n") - F.col("top.count")) / CELL).cast("int").alias("ni"), F.ceil(F.col("n") / CELL).cast("int").alias("nj"))
 
 
-def _across_large(rows: DataFrame, large: DataFrame, docs: DataFrame) -> DataFrame:
+def _across_large(rows: DataFrame, large: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between different components within large buckets.
 
     Members outside a bucket's largest component are compared with all of its members, in cells of
     CELL * CELL members at most, so a bucket of any size is spread over tasks and only true links leave them."""
-    rows = rows.select("bucket", "doc_id", "c").join(large, F.col("bucket") == F.col("large"))
+    rows = by_unique(rows.select("bucket", "doc_id", "c"), large, "bucket")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("c <> main").select("bucket", "doc_id", "c", F.lit(0).alias("side"), own("ni").alias("i"), every("nj").alias("j"))
     right = rows.select("bucket", "doc_id", "c", F.lit(1).alias("side"), own("nj").alias("j"), every("ni").alias("i"))
-    placed = cut(left.unionByName(right))
-    ids = cut(placed.select("doc_id").distinct())
+    placed = scratch.cut(left.unionByName(right))
+    ids = scratch.cut(placed.select("doc_id").distinct())
     sets = _sets(filtered(docs.select("doc_id", "text"), ids, "left_semi", ids.count()))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = placed.join(sets, "doc_id").select("bucket", "i", "j", "side", "doc_id", "c", "found")
     return map_batches(cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side"), _linked_in_cells, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    every = cut(signatures(docs))
-    alike = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first_id"))
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs. Two stored tables that the result reads stay in scratch, for the caller to drop."""
+    scratch = scratch or Scratch()
+    every = scratch.cut(signatures(docs))
+    plain = "n_shingles > 0 AND doc_id IS NOT NULL"
+    some = every.where(plain)
+    alike = scratch.cut(some.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     sigs = [f"s{i}" for i in range(_LONGS)]
-    reps = every.join(alike.select("set_id", F.col("first_id").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
+    reps = some.join(alike.select("set_id", F.col("first_id").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    smallest = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket", "low")
-    members = cut(buckets.join(smallest, "bucket"))
+    smallest = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "low", "n")
+    members = scratch.cut(by_unique(buckets, scratch.cut(smallest), "bucket"))
 
-    def left(side: str, of: str) -> DataFrame:
-        return every.select(F.col("doc_id").alias(of), *(F.col(s).alias(f"{side}{i}") for i, s in enumerate(sigs))).dropDuplicates([of])
+    def side(name: str, of: str) -> DataFrame:
+        return every.select(F.col("doc_id").alias(of), *(F.col(s).alias(f"{name}{i}") for i, s in enumerate(sigs))).dropDuplicates([of])
 
-    pairs = members.where("doc_id <> low").select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct()
-    pairs = pairs.join(left("a", "u"), "u").join(left("b", "v"), "v").where(estimate("a", "b") >= LEAST_ESTIMATE).select("u", "v")
-    pairs = cut(pairs)
-    links = cut(confirmed(pairs, docs))
-    drop_cut(pairs)
-    of = cut(components(links))
+    pairs = scratch.cut(members.where("doc_id <> low").select(F.col("low").alias("u"), F.col("doc_id").alias("v")).distinct())
+    pairs = salted(pairs, side("a", "u"), "u", "v").join(side("b", "v"), "v").where(estimate("a", "b") >= LEAST_ESTIMATE).select("u", "v")
+    links = scratch.cut(confirmed(scratch.cut(pairs), docs, scratch))
+    of = scratch.cut(components(links))
 
     # Each bucket's smallest member has met all of its others.
-    known = members.where("doc_id <> low").join(of, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
-    known = known.join(mixed, "bucket", "left_semi").join(every.select("doc_id", *sigs).dropDuplicates(["doc_id"]), "doc_id")
-    known = cut(known.select("bucket", "doc_id", "c", *sigs))
-    large = cut(_large(known))
-    more = cut(_across(known.join(large, F.col("bucket") == F.col("large"), "left_anti")).distinct())
-    new = confirmed(more, docs).unionByName(_across_large(known, large, docs))
-    new = cut(new)
+    known = scratch.cut(members.where("doc_id <> low").join(of, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
+    mixed = scratch.cut(known.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "n"))
+    known = by_unique(known, mixed, "bucket").join(every.select("doc_id", *sigs).dropDuplicates(["doc_id"]), "doc_id")
+    known = scratch.cut(known.select("bucket", "doc_id", "c", *sigs))
+    large = scratch.cut(_large(known))
+    small = known.join(mixed.where(F.col("n") <= LARGE).select("bucket"), "bucket", "left_semi")
+    more = scratch.cut(_across(small).distinct())
+    new = scratch.cut(confirmed(more, docs, scratch).unionByName(_across_large(known, large, docs, scratch)))
     if not new.isEmpty():
-        of = cut(components(links.unionByName(new)))
-    drop_cut(members)
-    drop_cut(known)
-    out = every.select("doc_id", "n_shingles", "set_id").join(alike, "set_id", "left").join(of.select(F.col("doc_id").alias("first_id"), "component_id"), "first_id", "left")
-    component = F.coalesce("component_id", "first_id", "doc_id")
-    own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        of = scratch.cut(components(links.unionByName(new)))
+    # A set's component; all rows of a set share it, so its copies meet only where few have it.
+    component = scratch.cut(alike.join(of.withColumnRenamed("doc_id", "first_id"), "first_id", "left").select("set_id", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    out = by_unique(some.select("doc_id", "n_shingles", "set_id"), component, "set_id").drop("set_id")
+    alone = every.where(f"NOT ({plain})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    scratch.drop(keep=(every, component))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component; of repeated rows of an id one stays."""
-    gone = cut(near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    scratch = Scratch()
+    gone = cut(near_duplicates(docs, scratch).where("NOT kept").select("doc_id").distinct())
+    scratch.drop()
     stay = filtered(docs, gone, "left_anti", gone.count()).select(docs.columns)
     again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     n = again.count()
