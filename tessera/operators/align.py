@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import anchor_hop, anchors, hop_levels, induced_by_part, undirected
+from tessera.operators.graph import anchor_hop, hop_levels, induced_by_part, undirected
 
 
 def distance_weights(levels: DataFrame) -> DataFrame:
     """(part_id, ent, weight): the part's greatest hop less the entity's."""
-    return levels.select("part_id", "ent", (F.max("hop").over(Window.partitionBy("part_id")) - F.col("hop")).alias("weight"))
+    most = levels.groupBy("part_id").agg(F.max("hop").alias("most"))
+    return levels.join(F.broadcast(most), "part_id").select("part_id", "ent", (F.col("most") - F.col("hop")).alias("weight"))
 
 
 def top_per_part(scored: DataFrame, score: str, size: DataFrame | int) -> DataFrame:
@@ -75,8 +76,3 @@ def merged_seeds(old: DataFrame, new: DataFrame, policy: str = "first_wins") ->
     """old and new seeds (part_id, e1, e2). first_wins: a new seed counts only if its part has none for e1; accumulate: all count."""
     fresh = new.join(old.select("part_id", "e1").distinct(), ["part_id", "e1"], "left_anti") if policy == "first_wins" else new
     return old.select("part_id", "e1", "e2").unionByName(fresh.select("part_id", "e1", "e2")).distinct()
-
-
-def part_anchors(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Anchors of each part, from training pairs and seeds."""
-    return anchors(pairs, members)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.tables import dense_ids
+from tessera.functions.vectors import l1
+
 
 def hashed_vectors(ents: DataFrame, dims: int, key: str = "ent") -> DataFrame:
     """(ent, dim, x): reproducible start values in -1..1, from the md5 of the key and the dimension."""
@@ -61,10 +64,19 @@ def encode(triples: DataFrame, vectors: DataFrame, relation_vectors: DataFrame,
     return out
 
 
-def margin_loss(positive: DataFrame, negatives: DataFrame, margin: float) -> DataFrame:
-    """(loss): the mean of max(0, margin + d(pair) - d(negative)) over pairs (pair, d) and their negatives (pair, d)."""
-    both = positive.join(negatives.withColumnRenamed("d", "n"), "pair")
-    return both.agg(F.avg(F.greatest(F.lit(margin) + F.col("d") - F.col("n"), F.lit(0.0))).alias("loss"))
+def alignment_loss(pairs: DataFrame, left: DataFrame, right: DataFrame, margin: float, k: int) -> DataFrame:
+    """(total, loss) of pairs (e1, e2) of rows (id, vec) of both sides: k random rows stand for each pair's e1 and k for its e2;
+    hinges of margin + L1(pair) - L1(pair with a random row). total: the sum of both sides' hinges over the pairs times k; loss: the mean over hinges.
+
+    The pairs' vectors are fetched by joins, so no pair meets all rows."""
+    n1, n2 = left.count(), right.count()
+    places1, places2 = (dense_ids(t.select("id", "vec"), ["id"], "at") for t in (left, right))
+    vectors = lambda t, key, name: t.select(F.col(key[0]).alias(key[1]), F.col("vec").alias(name))
+    drawn = negatives(pairs, n1, k, 1).withColumnRenamed("negative", "f1").join(negatives(pairs, n2, k, 2).withColumnRenamed("negative", "f2"), ["e1", "e2", "draw"])
+    all4 = drawn.join(vectors(left, ("id", "e1"), "a"), "e1").join(vectors(right, ("id", "e2"), "b"), "e2").join(vectors(places1, ("at", "f1"), "x"), "f1").join(vectors(places2, ("at", "f2"), "y"), "f2")
+    hinge = lambda p, q: F.greatest(margin + l1("a", "b") - l1(p, q), F.lit(0.0))
+    both = (hinge("a", "y") + hinge("x", "b")).alias("h")
+    return all4.select(both).agg(F.avg("h").alias("total"), (F.avg("h") / 2).alias("loss"))
 
 
 def negatives(pairs: DataFrame, n_nodes: int, k: int, seed: int = 12306) -> DataFrame:

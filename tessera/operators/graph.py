@@ -24,14 +24,19 @@ def induced_by_part(triples: DataFrame, members: DataFrame) -> DataFrame:
     return triples.join(m.select("part_id", F.col("ent").alias("h")), "h").join(m.select("part_id", F.col("ent").alias("t")), ["part_id", "t"], "left_semi").select("part_id", "h", "r", "t")
 
 
+def _with_end(pairs: DataFrame, ents: DataFrame, end: str) -> DataFrame:
+    parts = [c for c in ents.columns if c == "part_id"]
+    return pairs.join(ents.select(*parts, F.col("ent").alias(end)).distinct(), end, "inner" if parts else "left_semi")
+
+
 def pairs_with_head(pairs: DataFrame, ents: DataFrame) -> DataFrame:
-    """Pairs whose e1 is among ents; repeated pairs stay."""
-    return pairs.join(ents.select(F.col("ent").alias("e1")), "e1", "left_semi")
+    """Pairs whose e1 is among ents (ent); with parts (part_id, ent), the pairs of each part. Repeated pairs stay."""
+    return _with_end(pairs, ents, "e1")
 
 
 def pairs_with_tail(pairs: DataFrame, ents: DataFrame) -> DataFrame:
-    """Pairs whose e2 is among ents; repeated pairs stay."""
-    return pairs.join(ents.select(F.col("ent").alias("e2")), "e2", "left_semi")
+    """Pairs whose e2 is among ents (ent); with parts (part_id, ent), the pairs of each part. Repeated pairs stay."""
+    return _with_end(pairs, ents, "e2")
 
 
 def anchors(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -44,6 +49,7 @@ def hop_levels(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
     All parts advance together; lineage is cut at each hop and an empty frontier ends it.
     """
+    edges = cut(edges)
     frontier = cut(seeds.select("part_id", "ent").distinct())
     seen, out = frontier, None
     for hop in range(1, hops + 1):
@@ -78,15 +84,24 @@ def anchor_hop(edges: DataFrame, part: DataFrame, anchors_: DataFrame, hops: int
 
 def linking_entities(edges: DataFrame, anchors_: DataFrame, unmatched: DataFrame, hops: int) -> DataFrame:
     """(ent, step): entities inside shortest paths of 2 to `hops` edges from an anchor to an unmatched entity, with the least length of such a path."""
-    paths = anchors_.select(F.col("ent").alias("at"), F.array("ent").alias("path")).distinct()
-    seen = anchors_.select("ent").distinct()
-    targets, out = unmatched.select("ent").distinct(), None
+    seen = cut(anchors_.select("ent").distinct())
+    targets, steps, at, out = unmatched.select("ent").distinct(), [], seen, None
     for step in range(1, hops + 1):
-        paths = cut(paths.join(edges, paths.at == edges.a).select(F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path")).join(seen.select(F.col("ent").alias("at")), "at", "left_anti").select("at", "path"))
-        seen = seen.unionByName(paths.select(F.col("at").alias("ent")).distinct())
-        inside = paths.join(targets.select(F.col("ent").alias("at")), "at", "left_semi").select(F.explode(F.slice("path", F.lit(2), F.lit(step - 1))).alias("ent"), F.lit(step).cast("long").alias("step")) if step > 1 else None
-        if inside is not None:
-            out = inside if out is None else out.unionByName(inside)
+        # Edges (a, b) from the last level to entities that no shorter path reaches.
+        edge = cut(at.join(edges, at.ent == edges.a).select("a", F.col("b").alias("ent")).join(seen, "ent", "left_anti").select("a", F.col("ent").alias("b")).distinct())
+        steps.append(edge)
+        at = cut(edge.select(F.col("b").alias("ent")).distinct())
+        seen = seen.unionByName(at)
+        # From the targets of this level back to the first one: no path is written out.
+        back = at.join(targets, "ent", "left_semi")
+        for earlier in reversed(steps[1:]):
+            back = earlier.join(back.select(F.col("ent").alias("b")), "b", "left_semi").select(F.col("a").alias("ent")).distinct()
+            found = back.withColumn("step", F.lit(step).cast("long"))
+            out = found if out is None else out.unionByName(found)
+        if at.isEmpty():
+            break
+    if out is None:
+        return seen.where("false").select("ent", F.lit(0).cast("long").alias("step"))
     return out.groupBy("ent").agg(F.min("step").alias("step"))
 
 

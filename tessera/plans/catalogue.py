@@ -61,11 +61,11 @@ STEPS = {
     "members2": f"SELECT {_digit('uri', 1)} % 4 part_id, uri ent FROM ents2 WHERE {_digit('uri', 3)} < 12",
     "und1": "SELECT h a, t b FROM kg1 UNION SELECT t, h FROM kg1",
     "und2": "SELECT h a, t b FROM kg2 UNION SELECT t, h FROM kg2",
-    "seeds": f"SELECT {_digit('uri', 1)} part_id, uri ent FROM ents1 WHERE uri LIKE 'customer:%' AND {_digit('uri', 1)} < 4",
-    "hop1": "SELECT DISTINCT part_id, b ent FROM seeds JOIN und1 ON ent = a EXCEPT SELECT * FROM seeds",
-    "hop2": "SELECT DISTINCT part_id, b ent FROM hop1 JOIN und1 ON ent = a EXCEPT SELECT * FROM seeds EXCEPT SELECT * FROM hop1",
+    "hop1": "SELECT DISTINCT part_id, b ent FROM members JOIN und1 ON ent = a EXCEPT SELECT * FROM members",
+    "hop2": "SELECT DISTINCT part_id, b ent FROM hop1 JOIN und1 ON ent = a EXCEPT SELECT * FROM members EXCEPT SELECT * FROM hop1",
+    "ctx": "SELECT part_id, ent FROM hop1 WHERE ent IN (SELECT uri FROM pairs WHERE split = 'train')",
     "levels": "SELECT *, 1 hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2",
-    "anch2": "SELECT part_id, uri ent FROM pairs JOIN members ON ent = uri WHERE split = 'train' AND uri LIKE 'order:%'",
+    "anch2": "SELECT part_id, uri ent FROM pairs JOIN members ON ent = uri WHERE split = 'train'",
     "near1": "SELECT DISTINCT part_id, b ent FROM anch2 JOIN und2 ON ent = a EXCEPT SELECT * FROM anch2",
     "near2": "SELECT DISTINCT part_id, b ent FROM near1 JOIN und2 ON ent = a EXCEPT SELECT * FROM anch2 EXCEPT SELECT * FROM near1",
     "dist2": "SELECT part_id, ent, max(hop) OVER (PARTITION BY part_id) - hop weight FROM (SELECT *, 1 hop FROM near1 UNION ALL SELECT *, 2 FROM near2)",
@@ -79,20 +79,21 @@ STEPS = {
     "w": f"SELECT ent, {_SQUASH.format('x / (x + 1e-8)')} x FROM n1",
     "n2": "SELECT dst ent, sum(x) x FROM evi JOIN w ON src = ent GROUP BY dst",
     "p": f"SELECT ent, {_SQUASH.format('x / (x + 1e-8)')} x FROM n2",
-    "cand": f"SELECT uri c FROM ents1 WHERE uri LIKE 'nation:%' OR uri LIKE 'region:%' OR (uri LIKE 'customer:%' AND {_digit('uri', 1)} = 0 AND {_digit('uri', 2)} < 4)",
-    "m1": "SELECT c, dst ent, CAST(count(*) AS DOUBLE) x FROM cand, evi JOIN h0 ON src = h0.ent WHERE src <> c AND dst <> c GROUP BY c, dst",
-    "w1": f"SELECT c, ent, {_SQUASH.format('m1.x / (n1.x + 1e-8)')} x FROM m1 JOIN n1 USING (ent)",
-    "m2": "SELECT c, dst ent, sum(x) x FROM w1 JOIN evi ON src = ent WHERE src <> c AND dst <> c GROUP BY c, dst",
-    "p1": f"SELECT c, ent, {_SQUASH.format('m2.x / (n2.x + 1e-8)')} x FROM m2 JOIN n2 USING (ent)",
+    "mult": "SELECT src, dst, CAST(count(*) AS DOUBLE) m FROM evi GROUP BY src, dst",
+    "cand": "SELECT uri c FROM ents1 WHERE uri NOT IN (SELECT ent FROM unm)",
+    "lost1": "SELECT src c, dst v, m d FROM mult JOIN h0 ON src = ent WHERE src <> dst UNION ALL SELECT ent, ent, x FROM n1",
+    "less1": f"SELECT c, v, {_SQUASH.format('x / (x + 1e-8)')} - {_SQUASH.format('(x - d) / (x + 1e-8)')} d FROM lost1 JOIN n1 ON v = ent WHERE c IN (SELECT c FROM cand)",
+    "lost2": "SELECT c, dst v, sum(d * m) d FROM less1 JOIN mult ON v = src WHERE d <> 0 AND c <> dst GROUP BY c, dst UNION ALL SELECT ent, ent, x FROM n2 WHERE ent IN (SELECT c FROM cand)",
+    "less2": f"SELECT c, v, {_SQUASH.format('x / (x + 1e-8)')} - {_SQUASH.format('(x - d) / (x + 1e-8)')} d FROM lost2 JOIN n2 ON v = ent",
     "whole": "SELECT part_id, sum(coalesce(x, 0)) base FROM unm LEFT JOIN p USING (ent) GROUP BY part_id",
-    "ablated": "SELECT c, part_id, sum(x) left_over FROM p1 JOIN unm USING (ent) GROUP BY c, part_id",
-    "ben": "SELECT c ent, part_id, base - coalesce(left_over, 0) benefit FROM cand CROSS JOIN whole LEFT JOIN ablated USING (c, part_id) WHERE round(base - coalesce(left_over, 0), 6) <> 0",
+    "ben": "SELECT c ent, part_id, sum(d) benefit FROM less2 JOIN unm ON v = ent GROUP BY c, part_id HAVING round(sum(d), 6) <> 0",
     "fun": "SELECT r, count(DISTINCT h) / CAST(count(*) AS DOUBLE) func, count(DISTINCT t) / CAST(count(*) AS DOUBLE) ifunc FROM kg1 GROUP BY r",
     "wadj": "SELECT i, j, sum(w) w FROM (SELECT t i, h j, greatest(ifunc, 0.3) w FROM kg1 JOIN fun USING (r) WHERE h <> t UNION ALL SELECT h, t, greatest(func, 0.3) FROM kg1 JOIN fun USING (r) WHERE h <> t) GROUP BY i, j",
     "eye": "SELECT i, j, sum(w) w FROM (SELECT * FROM wadj UNION ALL SELECT uri, uri, 1.0 FROM ents1) GROUP BY i, j",
     "deg": "SELECT i, sum(w) d FROM eye GROUP BY i",
     "nadj": "SELECT e.j i, e.i j, e.w * pow(a.d, -0.5) * pow(b.d, -0.5) w FROM eye e JOIN deg a ON e.i = a.i JOIN deg b ON e.j = b.i",
     "bin": "SELECT a i, b j FROM und1 UNION SELECT uri, uri FROM ents1",
+    "av": "SELECT vec_id id, CAST(embedding AS DOUBLE[]) v FROM embeddings",
     "lv": "SELECT vec_id id, CAST(embedding AS DOUBLE[]) v FROM embeddings WHERE vec_id % 2 = 0",
     "rv": "SELECT vec_id id, CAST(embedding AS DOUBLE[]) v FROM embeddings WHERE vec_id % 2 = 1",
     "sims": "SELECT a.id e1, b.id e2, list_dot_product(a.v, b.v) sim FROM lv a, rv b",
@@ -212,12 +213,12 @@ class World:
         return graph.undirected(self.kg2)
 
     @cached_property
-    def seeds(self) -> DataFrame:
-        return self.nodes1.where(F.col("ent").startswith("customer:") & (digit("ent", 1) < 4)).select(digit("ent", 1).alias("part_id"), "ent")
+    def context(self) -> DataFrame:
+        return graph.anchor_hop(self.und1, self.members, self.anchor_nodes, 1)
 
     @cached_property
     def anchors2(self) -> DataFrame:
-        return graph.anchors(self.train.where(F.col("e1").startswith("order:")), self.members)
+        return graph.anchors(self.train, self.members)
 
     @cached_property
     def raw_features(self) -> DataFrame:
@@ -243,8 +244,7 @@ class World:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        c = F.col("ent")
-        return self.nodes1.where(c.startswith("nation:") | c.startswith("region:") | (c.startswith("customer:") & (digit("ent", 1) == 0) & (digit("ent", 2) < 4)))
+        return self.nodes1.join(self.unmatched.select("ent"), "ent", "left_anti")
 
     @cached_property
     def joint(self) -> DataFrame:
@@ -261,6 +261,10 @@ class World:
     def vectors(self, rest: int) -> DataFrame:
         return self.table("embeddings").where(F.col("vec_id") % 2 == rest).select(F.col("vec_id").alias("id"), V.as_double("embedding").alias("vec"))
 
+    @cached_property
+    def every(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), V.as_double("embedding").alias("vec"))
+
     @cached_property
     def left(self) -> DataFrame:
         return self.vectors(0)
@@ -406,40 +410,40 @@ def induced_by_part(w: World) -> DataFrame:
     return graph.induced_by_part(w.kg2, w.members2)
 
 
-@query("SELECT uri e1, uri e2, split FROM pairs WHERE uri IN (SELECT ent FROM members WHERE part_id = 0)")
+@query("SELECT part_id, uri e1, uri e2, split FROM pairs JOIN members ON uri = ent")
 def align_head_filter(w: World) -> DataFrame:
-    """Pairs that start in a set of entities."""
-    return graph.pairs_with_head(w.pairs, w.members.where("part_id = 0")).select("e1", "e2", "split")
+    """Pairs that start in each part."""
+    return graph.pairs_with_head(w.pairs, w.members).select("part_id", "e1", "e2", "split")
 
 
-@query("SELECT uri e1, uri e2, split FROM pairs WHERE uri IN (SELECT ent FROM members2)")
+@query("SELECT part_id, uri e1, uri e2, split FROM pairs JOIN members2 ON uri = ent")
 def align_tail_filter(w: World) -> DataFrame:
-    """Pairs that end in a set of entities."""
-    return graph.pairs_with_tail(w.pairs, w.members2).select("e1", "e2", "split")
+    """Pairs that end in each part."""
+    return graph.pairs_with_tail(w.pairs, w.members2).select("part_id", "e1", "e2", "split")
 
 
 @query("SELECT part_id, ent, CAST(hop AS BIGINT) hop FROM levels")
 def hop_levels(w: World) -> DataFrame:
     """Entities one and two edges from each part's seeds."""
-    return graph.hop_levels(w.und1, w.seeds, 2)
+    return graph.hop_levels(w.und1, w.members, 2)
 
 
-@query("SELECT DISTINCT part_id, b ent FROM seeds JOIN und1 ON ent = a WHERE b IN (SELECT uri FROM pairs WHERE split = 'train') EXCEPT SELECT part_id, ent FROM seeds")
+@query("SELECT part_id, ent FROM ctx")
 def anchor_hop(w: World) -> DataFrame:
     """Anchors next to each part's seeds."""
-    return graph.anchor_hop(w.und1, w.seeds, w.anchor_nodes, 1)
+    return w.context
 
 
 @query("""SELECT ent, min(step) step FROM (
 SELECT x.b ent, CAST(2 AS BIGINT) step FROM hot JOIN und1 x ON x.a = hot.ent JOIN und1 y ON y.a = x.b WHERE x.b NOT IN (SELECT ent FROM hot) AND y.b NOT IN (SELECT ent FROM hot) AND y.b NOT IN (SELECT v.b FROM hot JOIN und1 v ON v.a = hot.ent) AND y.b IN (SELECT ent FROM goal)) GROUP BY ent""")
 def linking_entities(w: World) -> DataFrame:
-    """Entities in the middle of two-edge paths from regions' nations to their customers."""
-    hot = w.nodes1.where(F.col("ent").startswith("nation:") & (digit("ent", 1) < 8))
+    """Entities in the middle of two-edge paths from nations to orders."""
+    hot = w.nodes1.where(F.col("ent").startswith("nation:"))
     goal = w.nodes1.where(F.col("ent").startswith("order:"))
     return graph.linking_entities(w.und1, hot, goal, 2)
 
 
-STEPS["hot"] = f"SELECT uri ent FROM ents1 WHERE uri LIKE 'nation:%' AND {_digit('uri', 1)} < 8"
+STEPS["hot"] = "SELECT uri ent FROM ents1 WHERE uri LIKE 'nation:%'"
 STEPS["goal"] = "SELECT uri ent FROM ents1 WHERE uri LIKE 'order:%'"
 
 
@@ -458,7 +462,7 @@ def head_tail_sizes(w: World) -> DataFrame:
 @query("SELECT part_id, ent, CAST(max(hop) OVER (PARTITION BY part_id) - hop AS BIGINT) weight FROM levels")
 def dist_weight(w: World) -> DataFrame:
     """Closeness to each part's seeds."""
-    return align.distance_weights(graph.hop_levels(w.und1, w.seeds, 2))
+    return align.distance_weights(graph.hop_levels(w.und1, w.members, 2))
 
 
 @query("SELECT * FROM (SELECT part_id, ent, CAST(weight AS DOUBLE) weight, row_number() OVER (PARTITION BY part_id ORDER BY weight DESC, ent) rank FROM dist2) WHERE rank <= 500")
@@ -503,7 +507,7 @@ def evidence_base(w: World) -> DataFrame:
     return rounded(evidence.base(w.anchor_nodes, w.unmatched, w.evidence, 1, 2.0), "base")
 
 
-@query("SELECT ent, round(sum(benefit), 6) benefit FROM ben GROUP BY ent")
+@query("SELECT c ent, round(sum(d), 6) benefit FROM less2 WHERE v IN (SELECT ent FROM unm) GROUP BY c HAVING round(sum(d), 6) <> 0")
 def benefit_single(w: World) -> DataFrame:
     """What each candidate adds for all unmatched entities together."""
     every = w.unmatched.withColumn("part_id", F.lit(0).cast("long"))
@@ -531,10 +535,10 @@ def g2_context(w: World) -> DataFrame:
     return align.second_context(align.counterparts(w.und2, w.anchors2, 500, 1), w.anchors2, size)
 
 
-@query("SELECT part_id, ent FROM seeds UNION SELECT part_id, b FROM seeds JOIN und1 ON ent = a WHERE b IN (SELECT uri FROM pairs WHERE split = 'train')")
+@query("SELECT part_id, ent FROM members UNION ALL SELECT part_id, ent FROM ctx")
 def restricted_region(w: World) -> DataFrame:
     """Each part's entities and the anchors next to them."""
-    return align.restricted_region(w.kg1, w.seeds, w.anchor_nodes)
+    return align.restricted_region(w.kg1, w.members, w.anchor_nodes)
 
 
 @query("SELECT r, round(func, 6) func, round(ifunc, 6) ifunc FROM fun")
@@ -588,11 +592,11 @@ def top_attributes(w: World) -> DataFrame:
     return adjacency.top_attributes(w.kg2.select(F.col("h").alias("ent"), F.col("t").alias("attr")), 200)
 
 
-@query("SELECT id, round(list_extract(v, 1) / sqrt(list_dot_product(v, v)), 6) first, round(list_extract(v, 64) / sqrt(list_dot_product(v, v)), 6) last FROM lv")
+@query("SELECT id, pos, round(list_extract(v, pos) / sqrt(list_dot_product(v, v)), 6) x FROM (SELECT id, v, CAST(unnest(range(1, len(v) + 1)) AS BIGINT) pos FROM av)")
 def normalize_vec(w: World) -> DataFrame:
-    """First and last element of unit vectors."""
-    u = w.left.select("id", V.normalize("vec").alias("u"))
-    return rounded(u.select("id", F.element_at("u", 1).alias("first"), F.element_at("u", 64).alias("last")), "first", "last")
+    """All elements of all vectors at length 1."""
+    u = w.every.select("id", F.posexplode(V.normalize("vec")).alias("pos", "x"))
+    return rounded(u.select("id", (F.col("pos") + 1).cast("long").alias("pos"), "x"), "x")
 
 
 _TOP = "SELECT e1, e2, round(sim, 6) sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY round(sim, 9) DESC, e2) rank FROM {0}) WHERE rank <= {1}"
@@ -628,10 +632,10 @@ def l2_topk(w: World) -> DataFrame:
     return rounded(similarity.best(w.left, w.right, 5, "l2"), "sim")
 
 
-@query("SELECT e1, e2, round(sim, 6) sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY round(sim, 9) DESC, e2) rank FROM (SELECT a.id e1, b.id e2, list_dot_product(a.v, b.v) sim FROM lv a, lv b WHERE a.id <> b.id)) WHERE rank <= 5")
+@query("SELECT e1, e2, round(sim, 6) sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY round(sim, 9) DESC, e2) rank FROM (SELECT a.id e1, b.id e2, list_dot_product(a.v, b.v) sim FROM av a, av b WHERE a.id <> b.id)) WHERE rank <= 5")
 def knn_excl_self(w: World) -> DataFrame:
     """Five nearest other rows."""
-    return rounded(similarity.excluding_self(w.left, 5), "sim")
+    return rounded(similarity.excluding_self(w.every, 5), "sim")
 
 
 @query("SELECT e1, e2, round(sim, 6) sim FROM (SELECT *, row_number() OVER (PARTITION BY e1 ORDER BY round(sim, 9) DESC, e2) a, row_number() OVER (PARTITION BY e2 ORDER BY round(sim, 9) DESC, e1) b FROM csls) WHERE a = 1 AND b = 1")
@@ -754,16 +758,16 @@ def seed_collect(w: World) -> DataFrame:
     return align.collected_seeds(old.unionByName(new))
 
 
-@query("SELECT part_id, uri e1, uri e2, split FROM pairs JOIN (SELECT * FROM members UNION SELECT * FROM seeds) m ON m.ent = uri WHERE split = 'train' AND EXISTS (SELECT 1 FROM members2 x WHERE x.part_id = m.part_id AND x.ent = uri) UNION ALL SELECT part_id, uri, uri, split FROM pairs JOIN members m ON m.ent = uri WHERE split = 'test' AND EXISTS (SELECT 1 FROM members2 x WHERE x.part_id = m.part_id AND x.ent = uri)")
+@query("SELECT part_id, uri e1, uri e2, split FROM pairs JOIN (SELECT * FROM members UNION SELECT * FROM ctx) m ON m.ent = uri WHERE split = 'train' AND EXISTS (SELECT 1 FROM members2 x WHERE x.part_id = m.part_id AND x.ent = uri) UNION ALL SELECT part_id, uri, uri, split FROM pairs JOIN members m ON m.ent = uri WHERE split = 'test' AND EXISTS (SELECT 1 FROM members2 x WHERE x.part_id = m.part_id AND x.ent = uri)")
 def subtask_pairs(w: World) -> DataFrame:
     """Training and test pairs of all subtasks."""
-    return align.subtasks(w.kg1, w.kg2, w.members, w.seeds, w.members2, w.pairs)["pairs"]
+    return align.subtasks(w.kg1, w.kg2, w.members, w.context, w.members2, w.pairs)["pairs"]
 
 
-@query("SELECT part_id, h, r, t FROM (SELECT a.part_id, h, r, t FROM kg1 JOIN (SELECT * FROM members UNION SELECT * FROM seeds) a ON h = a.ent JOIN (SELECT * FROM members UNION SELECT * FROM seeds) b ON t = b.ent AND a.part_id = b.part_id)")
+@query("SELECT part_id, h, r, t FROM (SELECT a.part_id, h, r, t FROM kg1 JOIN (SELECT * FROM members UNION SELECT * FROM ctx) a ON h = a.ent JOIN (SELECT * FROM members UNION SELECT * FROM ctx) b ON t = b.ent AND a.part_id = b.part_id)")
 def subtask_triples(w: World) -> DataFrame:
     """First-graph triples of all subtasks, over members and context."""
-    return align.subtasks(w.kg1, w.kg2, w.members, w.seeds, w.members2, w.pairs)["triples1"]
+    return align.subtasks(w.kg1, w.kg2, w.members, w.context, w.members2, w.pairs)["triples1"]
 
 
 @query("SELECT a ent, dim, round(avg(x), 6) x FROM und1 JOIN hv ON ent = b GROUP BY a, dim")
@@ -795,18 +799,34 @@ def attention_layer(w: World) -> DataFrame:
     return rounded(encoder.attention(w.kg1, w.hashed, w.hashed_rels, kernel), "x")
 
 
-@query("SELECT id e1, id + 1 e2, k draw, CAST('0x' || substr(md5('12306#' || id || '#' || (id + 1) || '#' || k), 1, 8) AS BIGINT) % 500 negative FROM lv, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(k) WHERE id + 1 IN (SELECT id FROM rv)")
+_PAIR, _PAIR_ID = "e1 || '#' || e2", "id || '#' || (id + 1)"
+
+
+def _draw(node: str, pair: str, k: str, salt: int) -> str:
+    return f"CAST('0x' || substr(md5('{salt}#' || {pair} || '#' || {k}), 1, 8) AS BIGINT) % (SELECT count(*) FROM {node})"
+
+
+@query(f"SELECT id e1, id + 1 e2, k draw, {_draw('embeddings', _PAIR_ID, 'k', 12306)} negative FROM lv, (VALUES (CAST(0 AS BIGINT)), (1), (2)) v(k) WHERE id + 1 IN (SELECT id FROM rv)")
 def negative_samples(w: World) -> DataFrame:
-    """Reproducible negatives of the gold pairs."""
-    return encoder.negatives(w.gold, 500, 3)
+    """Reproducible negatives of the gold pairs, drawn over all rows."""
+    return encoder.negatives(w.gold, w.every.count(), 3)
+
+
+_L1 = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: abs({0}[i] - {1}[i])))"
+STEPS["drawn"] = f"SELECT e1, e2, k, {_draw('embeddings', _PAIR, 'k', 1)} f1, {_draw('embeddings', _PAIR, 'k', 2)} f2 FROM gold, (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4)) v(k)"
+STEPS["apart"] = f"SELECT g.e1, g.e2, k, {_L1.format('a.v', 'b.v')} d, {_L1.format('a.v', 'y.v')} dr, {_L1.format('x.v', 'b.v')} dl FROM drawn g JOIN av a ON a.id = g.e1 JOIN av b ON b.id = g.e2 JOIN av x ON x.id = f1 JOIN av y ON y.id = f2"
 
 
-@query("SELECT round(avg(greatest(3.0 + d - n, 0)), 6) loss FROM (SELECT p.e1, p.sim d, q.sim n FROM (SELECT e1, -sim sim FROM sims WHERE e2 = e1 + 1) p JOIN (SELECT e1, -sim sim FROM sims WHERE e2 % 10 = 1) q ON p.e1 = q.e1)")
+@query("SELECT round(avg(greatest(3.0 + d - dr, 0) + greatest(3.0 + d - dl, 0)), 6) loss FROM apart WHERE k = 0")
 def margin_loss(w: World) -> DataFrame:
-    """Margin loss of the gold pairs against every fifth right row."""
-    both = lambda p: p.join(w.left.select(F.col("id").alias("e1"), F.col("vec").alias("a")), "e1").join(w.right.select(F.col("id").alias("e2"), F.col("vec").alias("b")), "e2").select(F.col("e1").alias("pair"), (-V.dot("a", "b")).alias("d"))
-    others = w.gold.select("e1").crossJoin(F.broadcast(w.right.where(F.col("id") % 10 == 1).select(F.col("id").alias("e2"))))
-    return rounded(encoder.margin_loss(both(w.gold), both(others), 3.0), "loss")
+    """Two hinges on city-block distances of the gold pairs, with one negative for each side."""
+    return rounded(encoder.alignment_loss(w.gold, w.every, w.every, 3.0, 1).select(F.col("total").alias("loss")), "loss")
+
+
+@query("SELECT round(sum(greatest(3.0 + d - dr, 0) + greatest(3.0 + d - dl, 0)) / (2.0 * count(*)), 6) loss FROM apart")
+def align_loss(w: World) -> DataFrame:
+    """The same with five negatives for each side, as the mean over hinges."""
+    return rounded(encoder.alignment_loss(w.gold, w.every, w.every, 3.0, 5).select("loss"), "loss")
 
 
 @query("SELECT round(sum(mask * nll) / sum(mask), 6) loss, round(sum(mask * hit) / sum(mask), 6) accuracy FROM (SELECT row, max(mask) mask, sum(CASE WHEN class = label THEN nll END) nll, max(CASE WHEN k = 1 THEN CAST(class = label AS DOUBLE) END) hit FROM (SELECT *, ln(sum(exp(z)) OVER (PARTITION BY row)) - z nll, row_number() OVER (PARTITION BY row ORDER BY z DESC, class) k FROM (SELECT vec_id row, c class, CAST(embedding[c + 1] AS DOUBLE) z, label % 8 label, CAST(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) mask FROM embeddings, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) v(c))) GROUP BY row)")
