@@ -5,18 +5,22 @@ smaller id, or earlier in the same one) is removed. A window's least hash of 24-
 wherever the window occurs, so runs of windows with the same least hash are dealt by it: equal windows
 meet in one task. Only runs whose hash occurs again go on, and of runs that are identical as a whole
 the first stands for all. The suffixes of what remains are ordered shard by shard by external induced
-sorting; in that order equal windows are neighbours, their common prefix says so, and all but the first
-are marked.
+sorting, which also gives the prefixes that neighbours have in common: where one is a whole window,
+both are equal, and all but the first in the corpus are marked. A hash with very many different runs is dealt anew by the
+bytes beside its gram, so that no task gets them all; where these are the same too, by whole windows, of
+which again the first stands for all.
 
 Defined cases: null texts count as empty. Null ids have no order: nothing is removed from them and
-nothing because of them. Repeated rows of an id and text are one document, with a row each. Texts under
+nothing because of them. Repeated rows of an id and text are one document, with a row each; rows of one id
+with different texts are taken together: what one of them repeats of the others, or of itself, counts once. Texts under
 the window keep all. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,23 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, cut, map_batches, small_batches, table
 from tessera.llm.components import filtered
-from tessera.llm.induced import suffix_order
+from tessera.llm.induced import ARRAYS, QUEUED, suffix_order
+from tessera.llm.skew import by_unique
 
 WINDOW, GRAM = 100, 24
-#: Bytes that are sorted together; a longer group of runs is sorted alone.
-SHARD = 4 << 20
 #: Runs of a least hash with more different surroundings than this are too many for one task.
-HOT = 20_000
+HOT = 4096
+
+
+@dataclass(frozen=True)
+class Memory:
+    """Bytes of text that are sorted together (a longer group of runs is sorted alone), and bytes of a sort's queues and arrays in memory; the rest of these is on the task's disk."""
+
+    shard: int = 4 << 20
+    queued: int = QUEUED
+    arrays: int = ARRAYS
+
+
 _RNG = np.random.default_rng(17)
 _LETTER = _RNG.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(0, 2**63, 6, np.uint64) | np.uint64(1)
@@ -140,7 +154,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_OUT, [out[:, 2], out[:, 3], out[:, 4], out[:, 0], np.ones(1, bool)])
 
 
-def marked(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+def marked(segments: list[tuple[int, int, int, bytes]], memory: Memory = Memory()) -> list[tuple[int, int, int]]:
     """(doc_id, first, n) of the windows of segments (doc_id, first window, windows, bytes) that occur earlier in one of them."""
     order = sorted(set(segments))
     size = np.array([len(s[3]) for s in order], np.int64)
@@ -151,24 +165,28 @@ def marked(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     for (_, _, n, raw), at in zip(order, start.tolist()):
         text[at : at + len(raw)] = np.frombuffer(raw, np.uint8).astype(np.int16) + 2
         valid[at : at + n] = True
-    suffixes = suffix_order(text, WINDOW)
-    suffixes = suffixes[valid[suffixes]]
-    # The place of a window: documents in order of id, and its start.
-    segment = np.searchsorted(start, suffixes, "right") - 1
-    begin = np.array([s[1] for s in order], np.int64)[segment] + suffixes - start[segment]
-    doc = np.unique(np.array([s[0] for s in order], np.int64), return_inverse=True)[1][segment]
-    place = doc * (int(begin.max(initial=0)) + 1) + begin
-    a, b = suffixes[:-1].copy(), suffixes[1:].copy()
-    equal = np.arange(len(a))
-    for k in range(WINDOW):
-        equal = equal[text[a[equal] + k] == text[b[equal] + k]]
-    joined = np.zeros(len(suffixes), bool)
-    joined[equal + 1] = True
-    group = np.flatnonzero(~joined)
-    least = np.minimum.reduceat(place, group) if len(group) else place
-    dup = place > np.repeat(least, np.diff(np.append(group, len(place))))
+    suffixes, common = suffix_order(text, WINDOW, memory.queued, memory.arrays)
+    begin = np.array([s[1] for s in order], np.int64)
+    doc = np.unique(np.array([s[0] for s in order], np.int64), return_inverse=True)[1]
+    wide = int((begin + size).max()) + 1
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """In order, the windows' suffixes, their places in the corpus (documents in order of id, then starts), and the numbers of their groups: a group shares a whole window."""
+        n = 0
+        for s in range(0, len(suffixes), BLOCK):
+            at, of = suffixes[s : s + BLOCK], n + np.cumsum(common[s : s + BLOCK] < WINDOW)
+            n = int(of[-1])
+            keep = valid[at]
+            at, of = at[keep], of[keep]
+            segment = np.searchsorted(start, at, "right") - 1
+            yield at, doc[segment] * wide + begin[segment] + at - start[segment], of
+
+    least = np.full(int((common < WINDOW).sum()) + 1, np.iinfo(np.int64).max)
+    for _, place, of in blocks():
+        np.minimum.at(least, of, place)
     flag = np.zeros(len(text) + 1, bool)
-    flag[suffixes[dup]] = True
+    for at, place, of in blocks():
+        flag[at[place > least[of]]] = True
     edge = np.flatnonzero(flag[1:] != flag[:-1]) + 1
     if flag[0]:
         edge = np.concatenate([[0], edge])
@@ -179,6 +197,8 @@ def marked(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     return out
 
 
+#: Suffixes that are looked at together.
+BLOCK = 1 << 20
 _MARK = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
 
 
@@ -231,24 +251,28 @@ def trimmed(segments: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int,
     return out
 
 
-def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_shards(memory: Memory) -> Callable:
     """marked() over segments in the order of m; groups of m stay whole, small ones are sorted together."""
-    held, size, last = [], 0, None
 
-    def found() -> pa.RecordBatch:
-        kept_ = trimmed(held)
-        return batch(_MARK, list(zip(*marked(kept_))) if kept_ else [[], [], []])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+
+        def found() -> pa.RecordBatch:
+            kept_ = trimmed(held)
+            return batch(_MARK, list(zip(*marked(kept_, memory))) if kept_ else [[], [], []])
 
-    for b in small_batches(batches, 4096):
-        for row in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if size > SHARD and row[0] != last:
-                yield found()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-            last = row[0]
-    if held:
-        yield found()
+        for b in small_batches(batches, 4096):
+            for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if size > memory.shard and row[0] != last:
+                    yield found()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+                last = row[0]
+        if held:
+            yield found()
+
+    return run
 
 
 _SEGMENT = pa.schema([("m", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())])
@@ -262,6 +286,29 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_SEGMENT, list(zip(*out)) or [[]] * 5)
 
 
+def resided(m: int, first: int, raw: bytes, n: int) -> list[tuple[int, int, int, bytes]]:
+    """(key, first, n, bytes) of the n windows of a run of least hash m: windows in a row whose key is the same. The key
+    is of the SIDE bytes before the window's first least gram if it holds them, and of those after the gram if not: equal windows have equal keys."""
+    x = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(grams(x).view(np.int64) == m)
+    w = np.arange(n)
+    p = at[np.searchsorted(at, w)]
+    left = p - w >= SIDE
+    begin = np.where(left, p - SIDE, p + GRAM)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_LETTER[1][x] * _powers(_BASE, len(x)), out=total[1:])
+    key = (total[begin + SIDE] - total[begin]) * _powers(_INVERSE, len(x))[begin] + left.astype(np.uint64)
+    key = (key ^ (np.uint64(m & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+    edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]]).tolist()
+    return [(int(key[s]), first + s, e - s, raw[s : e + WINDOW - 1]) for s, e in zip(edge[:-1], edge[1:])]
+
+
+def _by_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in small_batches(batches, 1024):
+        out = [(key, doc, f, k, x) for m, doc, first, n, raw in zip(*(b.column(c).to_pylist() for c in range(5))) for key, f, k, x in resided(m, first, raw, n)]
+        yield batch(_SEGMENT, list(zip(*out)) or [[]] * 5)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("first", pa.int64())])
     for b in small_batches(batches, 1024):
@@ -270,29 +317,35 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_window(segments: DataFrame) -> DataFrame:
-    """marked() for groups of any size: windows meet by their own 128-bit hash, so one group spreads over tasks, and the first place is a partial minimum."""
+    """marked() for groups of any size whose windows share their least gram and the bytes beside it: of equal windows the first stands for all; its place is a partial minimum."""
     windows = map_batches(segments, _windows, "window binary, doc_id long, first long")
-    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return windows.join(least, "window").where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+    least = cut(windows.groupBy("window").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count("*").alias("n")).where("n > 1"))
+    return by_unique(windows, least, "window").where(F.struct("doc_id", "first") > F.col("least")).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+
+
+def _hot(keys: DataFrame) -> DataFrame:
+    """The values of m that more than HOT rows have."""
+    return cut(keys.groupBy("m").count().where(F.col("count") > HOT).select("m"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, memory: Memory = Memory()) -> DataFrame:
     """(doc_id, first, n): each n windows from first on also occur earlier."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(docs).repartition(parts, "m").sortWithinPartitions("m", "whole", "doc_id", "first")
     found = cut(map_batches(dealt, _resolved, "doc_id long, first long, n long, m long, sort boolean"))
-    hot = cut(found.where("sort").groupBy("m").count().where(F.col("count") > HOT).select("m"))
     want = cut(found.where("sort").groupBy("doc_id").agg(F.collect_set(F.struct("m", "first", "n")).alias("want")))
     texts = filtered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), want, "left_semi", want.count()).join(want, "doc_id").select("doc_id", "text", "want")
     segments = map_batches(texts, _segments, "m long, doc_id long, first long, n long, raw binary")
-    plain = segments
     marks = found.where("NOT sort").select("doc_id", "first", "n")
+    hot = _hot(found.where("sort"))
     if not hot.isEmpty():
         segments = cut(segments)
-        plain = segments.join(hot, "m", "left_anti").select(segments.columns)
-        marks = marks.unionByName(_by_window(segments.join(hot, "m", "left_semi").select(segments.columns)))
-    shards = plain.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "first")
-    return marks.unionByName(map_batches(shards, _sorted_shards, "doc_id long, first long, n long"))
+        sides = cut(map_batches(segments.join(hot, "m", "left_semi").select(segments.columns), _by_sides, "m long, doc_id long, first long, n long, raw binary"))
+        segments, again = segments.join(hot, "m", "left_anti").select(segments.columns), _hot(sides)
+        marks = marks.unionByName(_by_window(sides.join(again, "m", "left_semi").select(sides.columns)))
+        segments = segments.unionByName(sides.join(again, "m", "left_anti").select(sides.columns))
+    shards = segments.repartition(parts, "m").sortWithinPartitions("m", "doc_id", "first")
+    return marks.unionByName(map_batches(shards, _sorted_shards(memory), "doc_id long, first long, n long"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -321,9 +374,9 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_KEPT, [b.column(0), *zip(*(kept(t or b"", f or []) for t, f in zip(texts, found)))])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, memory: Memory = Memory()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
-    spans = cut(repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("found")))
+    spans = cut(repeats(docs, memory).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("found")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = spans.count()
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
