@@ -404,15 +404,33 @@ def information(m: np.ndarray) -> float:
     return float(_f(m.astype(float)).sum() - _f(m.sum(0).astype(float)).sum() - _f(m.sum(1).astype(float)).sum())
 
 
+def frequent(table_of: DataFrame, listed: int) -> list[tuple[bytes, int]]:
+    """(word, n) of the most frequent words, at most `listed` of them and none that occurs once, in order of count, then word.
+
+    A histogram of counts, to three digits, gives the least count; no task sorts or gathers more words than are listed."""
+    zeros = F.pow(F.lit(10), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))).cast("long")
+    least, held = None, 0
+    for r in sorted(table_of.where("n > 1").groupBy((F.expr("n") - F.col("n") % zeros).alias("from")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["from"]):
+        held += r["words"]
+        if held > listed:
+            break
+        least = r["from"]
+    else:
+        least = 2
+    if least is None:
+        return []
+    top = table_of.where(F.col("n") >= least).toArrow()
+    return sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda r: (-r[1], r[0]))
+
+
 def learned(training: DataFrame, table_of: DataFrame, listed: int = LISTED) -> tuple[Model, DataFrame]:
     """The model of all training texts, and (word, n, class) of the words that it doesn't list."""
     sc = training.sparkSession.sparkContext
     total, distinct, several = table_of.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") > 1)).first()
     ends = training.count()
     tokens, distinct = int(total or 0) + ends, distinct + (ends > 0)
-    top = table_of.where("n > 1").orderBy(F.desc("n"), "word").limit(listed).toArrow()
     classes = class_count(several)
-    v = vocabulary(list(zip(top.column("word").to_pylist(), top.column("n").to_pylist())), max(MOVED, 4 * classes))
+    v = vocabulary(frequent(table_of, listed), max(MOVED, 4 * classes))
     shared = sc.broadcast(v)
     texts = cut(coded(training, shared))
     pairs = bigrams(texts, shared)
