@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
