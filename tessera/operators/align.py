@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import evidence
 from tessera.operators.graph import anchor_hop, hop_levels, induced_by_part, undirected
 
 
@@ -56,6 +57,22 @@ def second_context(candidates: DataFrame, part_anchors: DataFrame, size: int) ->
     return own.withColumn("role", F.lit("anchor")).unionByName(kept.select("part_id", "ent", F.lit("candidate").alias("role")))
 
 
+def connectors(triples: DataFrame, unmatched: DataFrame, part_anchors: DataFrame, size: int, layers: int = 1, gamma: float = 2.0) -> DataFrame:
+    """(part_id, ent, benefit, rank): the second graph's entities next to a part's anchors that bring its unmatched ones
+    (part_id, ent) the most evidence, at most `size` for each part. Each part looks only at the graph between these three."""
+    near = hop_levels(undirected(triples), part_anchors, 1).select("part_id", "ent")
+    fixed = unmatched.select("part_id", "ent").unionByName(part_anchors.select("part_id", "ent")).distinct()
+    region = fixed.unionByName(near).distinct()
+    candidates = near.join(fixed, ["part_id", "ent"], "left_anti").distinct()
+    node = lambda c: F.struct("part_id", F.col(c).alias("ent"))
+    keyed = lambda t: t.select("part_id", node("ent").alias("ent"))
+    inside = induced_by_part(triples, region).select(node("h").alias("h"), "r", node("t").alias("t"))
+    edges = evidence.evidence_edges(inside, keyed(region).select("ent"))
+    found = evidence.benefits(keyed(part_anchors).select("ent"), keyed(unmatched), keyed(candidates).select("ent"), edges, layers, gamma)
+    scored = candidates.join(found.select("part_id", F.col("ent.ent").alias("ent"), "benefit"), ["part_id", "ent"], "left")
+    return top_per_part(scored.withColumn("benefit", F.coalesce("benefit", F.lit(0.0))), "benefit", size)
+
+
 def subtasks(triples1: DataFrame, triples2: DataFrame, members1: DataFrame, context1: DataFrame, members2: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
     """Tables of all subtasks, keyed by part_id: triples of both sides and pairs (e1, e2, split). Training
     pairs may start at members or context, test pairs at members only; both must end in the part."""

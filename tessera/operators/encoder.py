@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import dense_ids
+from tessera.functions.tables import cut, dense_ids
 from tessera.functions.vectors import l1
 
 
@@ -15,6 +17,26 @@ def hashed_vectors(ents: DataFrame, dims: int, key: str = "ent") -> DataFrame:
     return ents.select(F.col(key).alias("ent"), F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).select(F.col("ent").alias(key), "dim").select(F.col(key).alias("ent"), F.col("dim").cast("long").alias("dim"), (h / F.lit(4294967295.0) * 2 - 1).alias("x"))
 
 
+def start_vectors(ents: DataFrame, dims: int, kind: str = "uniform", scale: float = 1.0) -> DataFrame:
+    """(ent, dim, x): start values of `dims` elements, reproducible from the entity. kind: zeros, ones, uniform (-scale..scale),
+    glorot (uniform, bounded by sqrt(6 / (rows + dims))), or normal (rows of normal values cut at two deviations, at length 1)."""
+    flat = hashed_vectors(ents, dims)
+    if kind in ("zeros", "ones"):
+        return flat.withColumn("x", F.lit(float(kind == "ones")))
+    if kind in ("uniform", "glorot"):
+        return flat.withColumn("x", F.col("x") * (scale if kind == "uniform" else (6.0 / (ents.count() + dims)) ** 0.5))
+    other = (F.conv(F.substring(F.md5(F.concat_ws("#", F.col("ent").cast("string"), "dim")), 9, 8), 16, 10).cast("double") + 1) / F.lit(4294967296.0)
+    # |z| of Box-Muller is at most 2 where the uniform number is exp(-2) or more
+    drawn = F.sqrt(-2 * F.log(F.exp(F.lit(-2.0)) + (1 - F.exp(F.lit(-2.0))) * other)) * F.cos(F.col("x") * F.lit(3.141592653589793))
+    return unit(flat.withColumn("x", drawn))
+
+
+def dense(vectors: DataFrame, weights: DataFrame, relu: bool = False) -> DataFrame:
+    """(ent, dim, x): vectors times a matrix (dim, out, w)."""
+    out = vectors.join(F.broadcast(weights), "dim").groupBy("ent", F.col("out").alias("dim")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    return out.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else out
+
+
 def neighbour_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """(ent, dim, x): the mean over neighbours, edges (a, b) from a to b's vector."""
     return edges.join(vectors.withColumnRenamed("ent", "b"), "b").groupBy(F.col("a").alias("ent"), "dim").agg(F.avg("x").alias("x"))
@@ -26,6 +48,11 @@ def convolution(adj: DataFrame, vectors: DataFrame, relu: bool) -> DataFrame:
     return out.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else out
 
 
+def two_convolutions(adj: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(ent, dim, x): the matrix times the rectified product of the matrix and the vectors; no weights in between."""
+    return convolution(adj, convolution(adj, vectors, True), False)
+
+
 def unit(vectors: DataFrame, key: str = "ent") -> DataFrame:
     """Vectors at length 1; zero vectors stay."""
     n = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
@@ -79,6 +106,51 @@ def alignment_loss(pairs: DataFrame, left: DataFrame, right: DataFrame, margin:
     return all4.select(both).agg(F.avg("h").alias("total"), (F.avg("h") / 2).alias("loss"))
 
 
+def loss_gradient(drawn: DataFrame, vectors: DataFrame, margin: float) -> DataFrame:
+    """(ent, dim, g, loss) of alignment_loss() over rows (e1, e2, f1, f2), a pair and a random node for each side; loss is the same in each row.
+
+    Each end's vector is joined as one array, so a pair costs four lookups and its gradient one sum by node and element."""
+    packed = vectors.groupBy("ent").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("v"))
+    for end, name in (("e1", "a"), ("e2", "b"), ("f1", "x"), ("f2", "y")):
+        drawn = drawn.join(packed.select(F.col("ent").alias(end), F.col("v").alias(name)), end)
+    right, left = margin + l1("a", "b") - l1("a", "y"), margin + l1("a", "b") - l1("x", "b")
+    scored = cut(drawn.withColumns({"right": right, "left": left}))
+    total = scored.agg((F.sum(F.greatest("right", F.lit(0.0)) + F.greatest("left", F.lit(0.0))) / (2 * F.count("*"))).alias("loss"), F.count("*").alias("n"))
+    signs = lambda p, q, s: F.zip_with(p, q, lambda u, v: s * F.signum(u - v))
+    pulls = []
+    for active, p, q in (("right", ("e1", "a"), ("f2", "y")), ("left", ("f1", "x"), ("e2", "b"))):
+        for (one, u), (two, v), s in ((("e1", "a"), ("e2", "b"), 1.0), (p, q, -1.0)):
+            on = scored.where(F.col(active) > 0)
+            pulls += [on.select(F.col(one).alias("ent"), signs(u, v, s).alias("d")), on.select(F.col(two).alias("ent"), signs(v, u, s).alias("d"))]
+    flat = reduce(DataFrame.unionByName, pulls).select("ent", F.posexplode("d").alias("dim", "g"))
+    summed = flat.groupBy("ent", F.col("dim").cast("long").alias("dim")).agg(F.sum("g").alias("g"))
+    return total.join(summed, F.lit(True), "left").select("ent", "dim", (F.col("g") / (2 * F.col("n"))).alias("g"), "loss")
+
+
+def trained_convolutions(adj: DataFrame, start: DataFrame, pairs: DataFrame, epochs: int, rate: float = 20.0, margin: float = 3.0, k: int = 5, fresh: int = 10) -> tuple[DataFrame, list[float]]:
+    """Vectors (ent, dim, x) of two_convolutions() after gradient descent on the start values, and each epoch's loss before its step.
+
+    pairs (e1, e2) are nodes of the one graph adj (i, j, w), whose start vectors have all dims; nodes are drawn anew every `fresh`
+    epochs. Each epoch is four products with the matrix and one loss, as jobs; its vectors are written before the next."""
+    back = adj.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
+    places = cut(dense_ids(start.select("ent").distinct(), ["ent"], "at"))
+    n, w, losses, drawn = places.count(), cut(start.select("ent", "dim", "x")), [], None
+    named = lambda c, f: places.select(F.col("at").alias(c), F.col("ent").alias(f))
+    for epoch in range(epochs):
+        if epoch % fresh == 0:
+            one, two = (negatives(pairs, n, k, 2 * epoch + s).withColumnRenamed("negative", f"n{s}") for s in (1, 2))
+            drawn = cut(one.join(two, ["e1", "e2", "draw"]).join(named("n1", "f1"), "n1").join(named("n2", "f2"), "n2").select("e1", "e2", "f1", "f2"))
+        hidden = cut(convolution(adj, w, False))
+        out = cut(convolution(adj, hidden.withColumn("x", F.greatest("x", F.lit(0.0))), False))
+        grad = cut(loss_gradient(drawn, out, margin))
+        losses.append(float(grad.agg(F.max("loss")).first()[0] or 0.0))
+        up = convolution(back, grad.where("ent IS NOT NULL").select("ent", "dim", F.col("g").alias("x")), False)
+        passed = up.join(hidden.where("x > 0").select("ent", "dim"), ["ent", "dim"], "left_semi")
+        step = convolution(back, passed, False).withColumnRenamed("x", "g")
+        w = cut(w.join(step, ["ent", "dim"], "left").select("ent", "dim", (F.col("x") - rate * F.coalesce("g", F.lit(0.0))).alias("x")))
+    return two_convolutions(adj, w), losses
+
+
 def negatives(pairs: DataFrame, n_nodes: int, k: int, seed: int = 12306) -> DataFrame:
     """(e1, e2, draw, negative): k reproducible random nodes for each pair."""
     draws = pairs.select("e1", "e2", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))

@@ -27,6 +27,11 @@ def reranked(scored: DataFrame) -> DataFrame:
     return scored.select("e1", "e2", F.row_number().over(Window.partitionBy("e1").orderBy("rank", "e2")).cast("long").alias("rank"))
 
 
+def fused_reranked(forth: DataFrame, other: DataFrame) -> DataFrame:
+    """(e1, e2, rank): rows (e1, e2, rank) of candidates, numbered anew by the greater of this rank and another's for the same pair."""
+    return reranked(fused_ranks(forth, other))
+
+
 def coverage(test: DataFrame, present: DataFrame) -> DataFrame:
     """(part_id, test_n, kept_n, recall): how many of a part's test pairs (part_id, e1, e2) have their e2 in the part (part_id, ent)."""
     kept = test.join(present.select("part_id", F.col("ent").alias("e2")).distinct().withColumn("_in", F.lit(1)), ["part_id", "e2"], "left")

@@ -1,28 +1,24 @@
 """Similarity joins of vectors (id, vec), CSLS, nearest neighbours.
 
-All pairs are scored block against block by a numpy kernel that hands on only the best of each row and
-block, so the pairs themselves are never stored; a window keeps the best over blocks.
+Both sides are dealt into blocks, and a task scores one block against another with numpy, a few rows at a
+time, handing on only the best of each row; the pairs themselves are never stored. A side is copied once for
+each block of the other, so blocks are large: at a million rows and BLOCK = 16384 that is 62 copies.
+`by` names columns that both sides have and within which alone rows meet (part_id: all parts in one job).
+Rows without an id or a vector take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.tables import cut
 from tessera.functions.vectors import as_double
 
-BLOCK = 1024
-
-
-def _blocks(vectors: DataFrame, name: str, block: int) -> DataFrame:
-    rows = vectors.select(F.col("id").alias("id"), as_double("vec").alias("vec"))
-    n = rows.count()
-    keyed = rows.withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // block)))))
-    return keyed.groupBy(f"{name}_block").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias(name))
+BLOCK = 16384
+TILE = 256
 
 
 def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -33,25 +29,71 @@ def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -np.sqrt(np.stack([((b - x) ** 2).sum(1) for x in a]))
 
 
-def best(left: DataFrame, right: DataFrame, k: int, metric: str = "dot", block: int = BLOCK) -> DataFrame:
-    """(e1, e2, sim, rank): each left row's k most similar right rows; ties (at 9 decimals) go to the lower id.
+def _rows(t: DataFrame, by: list[str]) -> DataFrame:
+    return t.select(*by, "id", as_double("vec").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+
+
+def _blocks(t: DataFrame, by: list[str], block: int) -> int:
+    """How many blocks the largest group needs; small tables get as many as keep all cores busy."""
+    sizes = t.groupBy(*by).count().agg(F.max("count"), F.count("*")).first()
+    most, groups = int(sizes[0] or 0), max(1, int(sizes[1]))
+    busy = int(np.ceil(np.sqrt(t.sparkSession.sparkContext.defaultParallelism / groups)))
+    return max(1, -(-most // block), min(busy, -(-most // TILE)))
+
+
+def _cells(left: DataFrame, right: DataFrame, by: list[str], block: int):
+    """Both sides with the number of their cell, grouped for a cogroup; a side's key columns are hashed to its own blocks."""
+    nx, ny = _blocks(left, by, block), _blocks(right, by, block)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    x = left.withColumn("_x", own(nx)).select("*", copies(ny).alias("_y"))
+    # the right side's columns get other names, as both sides may come from one table
+    y = right.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("id").alias("other"), F.col("vec").alias("other_vec"), own(ny).alias("_j")).select("*", copies(nx).alias("_i"))
+    return x.groupBy(*by, "_x", "_y").cogroup(y.groupBy(*(f"_{c}" for c in by), "_i", "_j"))
+
+
+def _head(left: DataFrame, by: list[str]) -> str:
+    """The schema of the columns `by`."""
+    return "".join(f"{c} {left.schema[c].dataType.simpleString()}, " for c in by)
+
 
-    metric: dot, or the negative l1 or l2 distance. One task scores one pair of blocks.
+def _top(r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k greatest of each row, ties to the lower column, in order: (rows, columns)."""
+    if r.shape[1] > k:
+        at, col = np.nonzero(r >= -np.partition(-r, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        at, col = (x.ravel() for x in np.indices(r.shape))
+    order = np.lexsort((col, -r[at, col], at))
+    at, col = at[order], col[order]
+    starts = np.searchsorted(at, np.arange(len(r)))
+    keep = np.arange(len(at)) - starts[at] < k
+    return at[keep], col[keep]
+
+
+def best(left: DataFrame, right: DataFrame, k: int, metric: str = "dot", block: int = BLOCK, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., e1, e2, sim, rank): each left row's k most similar right rows; ties (at 9 decimals) go to the lower id.
+
+    metric: dot, or the negative l1 or l2 distance.
     """
-    pairs = _blocks(left, "x", block).crossJoin(_blocks(right, "y", block)).repartition("x_block", "y_block")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for xs, ys in zip(f["x"], f["y"]):
-                a, b = (np.array([list(r["vec"]) for r in rows], float) for rows in (xs, ys))
-                i, j = (np.array([r["id"] for r in rows]) for rows in (xs, ys))
-                s = _scores(a, b, metric)
-                r = np.round(s, 9)
-                top = np.argsort(-r, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"e1": np.repeat(i, top.shape[1]), "e2": j[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
-
-    found = pairs.mapInPandas(run, "e1 long, e2 long, sim double")
-    rank = F.row_number().over(Window.partitionBy("e1").orderBy(F.desc(F.round("sim", 9)), "e2"))
+    by = list(by)
+    left, right = _rows(left, by), _rows(right, by)
+    names = [*by, "e1", "e2", "sim"]
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=names)
+        b = b.sort_values("other")
+        x, y, i, j = np.stack(a["vec"].to_numpy()), np.stack(b["other_vec"].to_numpy()), a["id"].to_numpy(), b["other"].to_numpy()
+        found = []
+        for at in range(0, len(x), TILE):
+            s = _scores(x[at : at + TILE], y, metric)
+            row, col = _top(np.round(s, 9), k)
+            found.append(pd.DataFrame({"e1": i[at + row], "e2": j[col], "sim": s[row, col]}))
+        return pd.concat(found).assign(**dict(zip(by, key)))[names]
+
+    ends = f"e1 {left.schema['id'].dataType.simpleString()}, e2 {right.schema['id'].dataType.simpleString()}"
+    found = _cells(left, right, by, block).applyInPandas(run, f"{_head(left, by)}{ends}, sim double")
+    rank = F.row_number().over(Window.partitionBy(*by, "e1").orderBy(F.desc(F.round("sim", 9)), "e2"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
@@ -60,28 +102,59 @@ def transposed(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), *(c for c in pairs.columns if c not in ("e1", "e2")))
 
 
+def both_thresholds(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., side, id, thr): for rows of either side (0: left, 1: right) the mean of their k best similarities, or of all if
+    there are fewer. Both sides come from one pass over the cells."""
+    by = list(by)
+    left, right = _rows(left, by), _rows(right, by)
+    names = [*by, "side", "id", "top"]
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=names)
+        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["other_vec"].to_numpy())
+        rows, columns = [], np.empty((len(y), 0))
+        for at in range(0, len(x), TILE):
+            s = _scores(x[at : at + TILE], y, "dot")
+            rows += list(np.sort(s, axis=1)[:, -k:])
+            columns = np.sort(np.hstack([columns, np.sort(s.T, axis=1)[:, -k:]]), axis=1)[:, -k:]
+        ends = [pd.DataFrame({"side": side, "id": ids.to_numpy(), "top": list(top)}) for side, ids, top in ((0, a["id"], rows), (1, b["other"], columns))]
+        return pd.concat(ends).assign(**dict(zip(by, key)))[names]
+
+    kind = left.schema["id"].dataType.simpleString()
+    found = _cells(left, right, by, block).applyInPandas(run, f"{_head(left, by)}side int, id {kind}, top array<double>")
+    top = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)  # k from each block of the other side
+    mean = F.aggregate("top", F.lit(0.0), lambda s, v: s + v) / F.size("top")
+    return found.groupBy(*by, "side", "id").agg(top.alias("top")).select(*by, "side", "id", mean.alias("thr"))
+
+
 def thresholds(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(id, thr): the mean of each left row's k best similarities, or of all if there are fewer."""
-    return best(left, right, k).groupBy(F.col("e1").alias("id")).agg(F.avg("sim").alias("thr"))
+    return both_thresholds(left, right, k).where("side = 0").select("id", "thr")
 
 
-def csls_vectors(left: DataFrame, right: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors whose inner product is 2 * dot - row threshold - column threshold."""
-    row, col = thresholds(left, right, k), thresholds(right, left, k)
-    x = left.join(row, "id").select("id", F.concat(F.transform(as_double("vec"), lambda v: 2 * v), F.array(-F.col("thr"), F.lit(1.0))).alias("vec"))
-    y = right.join(col, "id").select("id", F.concat(as_double("vec"), F.array(F.lit(1.0), -F.col("thr"))).alias("vec"))
+def csls_vectors(left: DataFrame, right: DataFrame, k: int, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Vectors whose inner product is 2 * dot - row threshold - column threshold. The thresholds are written once and read by both sides."""
+    thr = cut(both_thresholds(left, right, k, by=by))
+    row, col = (thr.where(F.col("side") == side).drop("side") for side in (0, 1))
+    x = left.join(row, [*by, "id"]).select(*by, "id", F.concat(F.transform(as_double("vec"), lambda v: 2 * v), F.array(-F.col("thr"), F.lit(1.0))).alias("vec"))
+    y = right.join(col, [*by, "id"]).select(*by, "id", F.concat(as_double("vec"), F.array(F.lit(1.0), -F.col("thr"))).alias("vec"))
     return x, y
 
 
-def csls_best(left: DataFrame, right: DataFrame, k: int, top: int) -> DataFrame:
+def csls_best(left: DataFrame, right: DataFrame, k: int, top: int, by: tuple[str, ...] = ()) -> DataFrame:
     """best() by CSLS with k neighbours."""
-    return best(*csls_vectors(left, right, k), top)
+    return best(*csls_vectors(left, right, k, by), top, by=by)
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(e1, e2, sim): pairs that are each other's CSLS nearest neighbour."""
-    x, y = csls_vectors(left, right, k)
-    return best(x, y, 1).join(transposed(best(y, x, 1)).select("e1", "e2"), ["e1", "e2"]).select("e1", "e2", "sim")
+def mutual_of(x: DataFrame, y: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., e1, e2, sim): pairs that are each other's nearest."""
+    return best(x, y, 1, by=by).join(transposed(best(y, x, 1, by=by)).select(*by, "e1", "e2"), [*by, "e1", "e2"]).select(*by, "e1", "e2", "sim")
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., e1, e2, sim): pairs that are each other's CSLS nearest neighbour."""
+    return mutual_of(*csls_vectors(left, right, k, by), by)
 
 
 def excluding_self(vectors: DataFrame, k: int) -> DataFrame:
@@ -91,32 +164,48 @@ def excluding_self(vectors: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "dot", block: int = BLOCK, bonus: DataFrame | None = None) -> DataFrame:
+def target_candidates(entities: DataFrame, settled: DataFrame) -> DataFrame:
+    """(id): the rows of entities (id) that no settled pair holds, settled being (id)."""
+    return entities.select("id").distinct().join(settled.select("id"), "id", "left_anti")
+
+
+def gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "dot", block: int = BLOCK, bonus: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(e1, e2, rank) of each gold pair: 1 + the right rows that are more similar to e1 (ties: lower ids first). NULL if e2 isn't among right.
 
-    Right rows are counted block by block. bonus: pairs (e1, e2) whose similarity is raised by 1.
+    bonus: pairs (e1, e2) whose similarity is raised by 1. candidates: (id), the right rows that count; all if None.
     """
-    mark = gold.select("e1", "e2", F.lit(0.0).alias("more")) if bonus is None else gold.join(bonus.select("e1", "e2", F.lit(1.0).alias("_b")).distinct(), ["e1", "e2"], "left").select("e1", "e2", F.coalesce("_b", F.lit(0.0)).alias("more"))
-    lifted = None if bonus is None else bonus.groupBy("e1").agg(F.sort_array(F.collect_set("e2")).alias("lift"))
-    q = mark.join(left.select(F.col("id").alias("e1"), as_double("vec").alias("v1")), "e1").join(right.select(F.col("id").alias("e2"), as_double("vec").alias("v2")), "e2", "left")
-    q = q.withColumn("lift", F.array().cast("array<long>")) if lifted is None else q.join(lifted, "e1", "left").withColumn("lift", F.coalesce("lift", F.array().cast("array<long>")))
-    n = q.count()
-    q = q.withColumn("x_block", F.pmod(F.xxhash64("e1", "e2"), F.lit(max(1, -(-n // block))))).groupBy("x_block").agg(F.collect_list(F.struct("e1", "e2", "v1", "v2", "more", "lift")).alias("x"))
-    pairs = q.crossJoin(_blocks(right, "y", block)).repartition("x_block", "y_block")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for xs, ys in zip(f["x"], f["y"]):
-                b, j = np.array([list(r["vec"]) for r in ys], float), np.array([r["id"] for r in ys])
-                out = []
-                for r in xs:
-                    if r["v2"] is None:
-                        continue
-                    a = np.array([list(r["v1"])], float)
-                    own = round(float(_scores(a, np.array([list(r["v2"])], float), metric)[0, 0]) + r["more"], 9)
-                    s = np.round(_scores(a, b, metric)[0] + np.isin(j, list(r["lift"])), 9)
-                    out.append((r["e1"], r["e2"], int(((s > own) | ((s == own) & (j < r["e2"]))).sum())))
-                yield pd.DataFrame(out, columns=["e1", "e2", "n"])
-
-    counted = pairs.mapInPandas(run, "e1 long, e2 long, n long").groupBy("e1", "e2").agg((F.sum("n") + 1).alias("rank"))
-    return gold.select("e1", "e2").distinct().join(counted, ["e1", "e2"], "left").select("e1", "e2", "rank")
+    left, right = _rows(left, []), _rows(right, [])
+    if candidates is not None:
+        right = right.join(candidates.select("id"), "id", "left_semi")
+    more = F.array().cast(f"array<{right.schema['id'].dataType.simpleString()}>")
+    pairs = gold.select("e1", "e2").distinct()
+    q = pairs.join(left.select(F.col("id").alias("e1"), F.col("vec").alias("v1")), "e1").join(right.select(F.col("id").alias("e2"), F.col("vec").alias("v2")), "e2")
+    if bonus is not None:
+        lifted = bonus.groupBy("e1").agg(F.collect_set("e2").alias("lift"))
+        q = q.join(lifted, "e1", "left").withColumn("lift", F.coalesce("lift", more))
+    else:
+        q = q.withColumn("lift", more)
+    q = q.select(F.xxhash64("e1", "e2").alias("id"), "e1", "e2", "v1", "v2", "lift")
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=["e1", "e2", "n"])
+        b = b.sort_values("other")
+        x, v, y, j = np.stack(a["v1"].to_numpy()), np.stack(a["v2"].to_numpy()), np.stack(b["other_vec"].to_numpy()), b["other"].to_numpy()
+        lifts, e2 = a["lift"].to_numpy(), a["e2"].to_numpy()
+        own = {"dot": lambda: (x * v).sum(1), "l1": lambda: -np.abs(x - v).sum(1), "l2": lambda: -np.sqrt(((x - v) ** 2).sum(1))}[metric]()
+        own = np.round(own + np.array([e in set(lift) for e, lift in zip(e2, lifts)]), 9)[:, None]
+        n = []
+        for at in range(0, len(x), TILE):
+            s = _scores(x[at : at + TILE], y, metric)
+            for r, lift in enumerate(lifts[at : at + TILE]):
+                if len(lift):
+                    s[r] += np.isin(j, lift)
+            s, mine = np.round(s, 9), own[at : at + TILE]
+            ids = e2[at : at + TILE, None]
+            n.append((((s > mine) | ((s == mine) & (j[None, :] < ids))) & (j[None, :] != ids)).sum(1))
+        return pd.DataFrame({"e1": a["e1"], "e2": e2, "n": np.concatenate(n)})
+
+    ends = f"e1 {gold.schema['e1'].dataType.simpleString()}, e2 {gold.schema['e2'].dataType.simpleString()}"
+    counted = _cells(q, right, [], block).applyInPandas(run, f"{ends}, n long").groupBy("e1", "e2").agg((F.sum("n") + 1).alias("rank"))
+    return pairs.join(counted, ["e1", "e2"], "left").select("e1", "e2", "rank")

@@ -109,6 +109,20 @@ STEPS = {
     "refl": "SELECT h, r, t, dim, x - 2 * sum(x * rx) OVER (PARTITION BY h, r, t) * rx x FROM (SELECT k.h, k.r, k.t, v.dim, v.x, u.x rx FROM (SELECT DISTINCT * FROM kg1) k JOIN hv v ON v.ent = k.t JOIN ur u ON u.r = k.r AND u.dim = v.dim)",
 }
 
+# Benefits of the second graph's connectors, each part by itself on the graph between its anchors, their neighbours and its unmatched entities.
+STEPS |= {
+    "fixed2": "SELECT part_id, ent FROM unm UNION SELECT part_id, ent FROM anch2",
+    "connect_cand": "SELECT part_id, ent FROM near1 EXCEPT SELECT part_id, ent FROM fixed2",
+    "region2": "SELECT part_id, ent FROM fixed2 UNION SELECT part_id, ent FROM near1",
+    "inside2": "SELECT a.part_id p, h, t FROM kg2 JOIN region2 a ON h = a.ent JOIN region2 b ON t = b.ent AND a.part_id = b.part_id",
+    "mult2": "SELECT p, src, dst, CAST(count(*) AS DOUBLE) m FROM (SELECT p, h src, t dst FROM inside2 UNION ALL SELECT p, t, h FROM inside2 UNION ALL SELECT part_id, ent, ent FROM region2) GROUP BY p, src, dst",
+    "first2": "SELECT p, dst v, sum(m) x FROM mult2 JOIN anch2 ON p = part_id AND src = ent GROUP BY p, dst",
+    "soft2": f"SELECT p, v, {_SQUASH.format('x / (x + 1e-8)')} x FROM first2",
+    "second2": "SELECT m.p, dst v, sum(m * x) x FROM mult2 m JOIN soft2 s ON m.p = s.p AND src = v GROUP BY m.p, dst",
+    "cut2": f"SELECT c.part_id p, c.ent c, f.v, {_SQUASH.format('x / (x + 1e-8)')} - {_SQUASH.format('(x - d) / (x + 1e-8)')} d FROM connect_cand c JOIN (SELECT part_id p, ent c, ent v, x d FROM connect_cand JOIN first2 f ON f.p = part_id AND f.v = ent) q ON q.p = c.part_id AND q.c = c.ent JOIN first2 f ON f.p = q.p AND f.v = q.v",
+    "gone2": "SELECT a.p, a.c, dst v, sum(d * m) d FROM cut2 a JOIN mult2 m ON m.p = a.p AND src = v WHERE dst <> c GROUP BY a.p, a.c, dst",
+    "connect_ben": f"SELECT g.p part_id, g.c ent, sum({_SQUASH.format('x / (x + 1e-8)')} - {_SQUASH.format('(x - d) / (x + 1e-8)')}) benefit FROM gone2 g JOIN second2 s ON s.p = g.p AND s.v = g.v JOIN unm u ON u.part_id = g.p AND u.ent = g.v GROUP BY g.p, g.c",
+}
 
 def _with(sql: str) -> str:
     """sql with the steps that it names, and those that they name, before it."""
@@ -242,6 +256,10 @@ class World:
     def unmatched(self) -> DataFrame:
         return self.part_test.select("part_id", F.col("e1").alias("ent"))
 
+    @cached_property
+    def test2(self) -> DataFrame:
+        return self.part_test.select("part_id", F.col("e2").alias("ent"))
+
     @cached_property
     def candidates(self) -> DataFrame:
         return self.nodes1.join(self.unmatched.select("ent"), "ent", "left_anti")
@@ -535,6 +553,13 @@ def g2_context(w: World) -> DataFrame:
     return align.second_context(align.counterparts(w.und2, w.anchors2, 500, 1), w.anchors2, size)
 
 
+@query("SELECT part_id, ent, round(benefit, 6) benefit, rank FROM (SELECT part_id, ent, coalesce(benefit, 0) benefit, row_number() OVER (PARTITION BY part_id ORDER BY round(coalesce(benefit, 0), 9) DESC, ent) rank FROM connect_cand LEFT JOIN connect_ben USING (part_id, ent)) WHERE rank <= 50")
+def g2_connectors(w: World) -> DataFrame:
+    """The 50 entities of the second graph that bring each part's unmatched ones the most evidence."""
+    out = align.connectors(w.kg2, w.test2, w.anchors2, 50)
+    return rounded(out.select("part_id", "ent", "benefit", "rank"), "benefit")
+
+
 @query("SELECT part_id, ent FROM members UNION ALL SELECT part_id, ent FROM ctx")
 def restricted_region(w: World) -> DataFrame:
     """Each part's entities and the anchors next to them."""
@@ -687,6 +712,42 @@ def pair_bonus_metrics(w: World) -> DataFrame:
     return rounded(metrics.rank_metrics(similarity.gold_ranks(w.left, w.right, w.gold, bonus=bonus)), "mr", "mrr", *_RECALLS)
 
 
+@query("SELECT e1, e2, rank FROM (SELECT e1, e2, row_number() OVER (PARTITION BY e1 ORDER BY round(sim, 9) DESC, e2) rank FROM sims WHERE e2 IN (SELECT id FROM rv WHERE id NOT IN (SELECT id + 1 FROM lv WHERE id % 8 = 0))) WHERE e2 = e1 + 1 UNION ALL SELECT id, id + 1, NULL FROM lv WHERE id % 8 = 0 AND id + 1 IN (SELECT id FROM rv)")
+def candidate_rank(w: World) -> DataFrame:
+    """Ranks of the gold pairs among right rows that no settled pair holds; settled ones have none."""
+    settled = w.left.where("id % 8 = 0").select((F.col("id") + 1).alias("id"))
+    return similarity.gold_ranks(w.left, w.right, w.gold, candidates=similarity.target_candidates(w.right, settled))
+
+
+@query("SELECT id FROM rv WHERE id NOT IN (SELECT id + 1 FROM lv WHERE id % 8 = 0)")
+def target_candidates(w: World) -> DataFrame:
+    """Right rows that no settled pair holds."""
+    return similarity.target_candidates(w.right, w.left.where("id % 8 = 0").select((F.col("id") + 1).alias("id")))
+
+
+_RANKED = "SELECT e1, e2, row_number() OVER (PARTITION BY e1 ORDER BY round({0}, 9) DESC, e2) k FROM {1}"
+
+
+@query(f"SELECT e1, e2, row_number() OVER (PARTITION BY e1 ORDER BY greatest(a.k, b.k), e2) rank FROM ({_RANKED.format('sim', 'sims')}) a JOIN ({_RANKED.format('sim', 'csls')}) b USING (e1, e2) WHERE a.k <= 20 AND b.k <= 20")
+def rank_fusion_reranked(w: World) -> DataFrame:
+    """Candidates that are among the best 20 by inner product and by CSLS, numbered anew by the worse rank."""
+    return metrics.fused_reranked(similarity.best(w.left, w.right, 20), similarity.csls_best(w.left, w.right, 10, 20))
+
+
+_BOTH_WAYS = " UNION ALL ".join(f"SELECT '{d}' direction, e1, e2, row_number() OVER (PARTITION BY {a} ORDER BY round(sim, 9) DESC, {b}) rank FROM both_sims" for d, a, b in (("forth", "e1", "e2"), ("back", "e2", "e1")))
+STEPS["both_sims"] = "SELECT a.id e1, b.id e2, -(SELECT sum(abs(x - y)) FROM (SELECT unnest(a.v) x, unnest(b.v) y)) sim FROM (SELECT id, list_concat(list_transform(v, lambda x: x * 0.9), list_transform(v, lambda x: x * x * (1 - 0.9))) v FROM lv) a, (SELECT id, list_concat(list_transform(v, lambda x: x * 0.9), list_transform(v, lambda x: x * x * (1 - 0.9))) v FROM rv) b"
+
+
+@query(f"SELECT direction, {_METRICS}, {_HITS} FROM ({_BOTH_WAYS}) WHERE e2 = e1 + 1 GROUP BY direction")
+def weighted_concat_hits(w: World) -> DataFrame:
+    """Metrics of both directions by city-block distance of two embeddings (the vectors, and their squared elements), weighted 0.9 and 0.1."""
+    joined = [v.select("id", V.weighted_concat(F.col("vec"), F.transform("vec", lambda x: x * x), 0.9).alias("vec")) for v in (w.left, w.right)]
+    forth = similarity.gold_ranks(*joined, w.gold, "l1")
+    back = similarity.gold_ranks(*reversed(joined), similarity.transposed(w.gold), "l1")
+    both = forth.select(F.lit("forth").alias("direction"), "rank").unionByName(back.select(F.lit("back").alias("direction"), "rank"))
+    return rounded(metrics.rank_metrics(both, ["direction"]), "mr", "mrr", *_RECALLS)
+
+
 @query("SELECT e2 ent, " + ", ".join(f"round(sum(CASE WHEN k <= {k} THEN sim END), 6) score{k}" for k in metrics.SUMS) + " FROM (SELECT *, row_number() OVER (PARTITION BY e2 ORDER BY round(sim, 9) DESC, e1) k FROM csls) GROUP BY e2")
 def sim_features(w: World) -> DataFrame:
     """Sums of the best CSLS of each entity of the second side."""
@@ -782,6 +843,19 @@ def gcn_layer(w: World) -> DataFrame:
     return rounded(encoder.convolution(w.nadj, w.hashed, True), "x")
 
 
+@query("SELECT i ent, dim, round(sum(w * x), 6) x FROM nadj JOIN (SELECT i ent, dim, greatest(sum(w * x), 0) x FROM nadj JOIN hv ON ent = j GROUP BY i, dim) q ON q.ent = j GROUP BY i, dim")
+def gcn_two_layers(w: World) -> DataFrame:
+    """Two graph convolutions, the first one rectified."""
+    return rounded(encoder.two_convolutions(w.nadj, w.hashed), "x")
+
+
+@query("SELECT ent, out dim, round(sum(x * ((dim + 1) * (out + 1) * 0.1 - 0.5)), 6) x FROM hv, (VALUES (CAST(0 AS BIGINT)), (1), (2)) o(out) GROUP BY ent, out")
+def dense_layer(w: World) -> DataFrame:
+    """Start vectors times a matrix of four rows and three columns."""
+    weights = w.spark.range(4).select(F.col("id").alias("dim")).join(w.spark.range(3).select(F.col("id").alias("out")), F.lit(True)).withColumn("w", (F.col("dim") + 1) * (F.col("out") + 1) * 0.1 - 0.5)
+    return rounded(encoder.dense(w.hashed, weights), "x")
+
+
 @query("SELECT h, r, t, dim, round(x, 6) x FROM refl")
 def reflect_edge(w: World) -> DataFrame:
     """Tails' vectors reflected at their relations'."""

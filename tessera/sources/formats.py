@@ -17,6 +17,7 @@ from tessera.operators import encode
 PAIR, TRIPLE, ENTITY, RELATION = "e1 long, e2 long", "h long, r long, t long", "ent_id long, uri string", "rel_id long, uri string"
 URI_TRIPLE, URI_PAIR = "h string, r string, t string", "uri1 string, uri2 string"
 # File names of each raw format: both graphs' triples, entity links, relation links, name-based links.
+EVENT = "ts double, machine string, msg_type string, process string, iteration int, value double"
 FILES = {
     "openea": (("rel_triples_1", "rel_triples_2"), "ent_links", None, None),
     "dwy": (("triples_1", "triples_2"), "ent_links", None, None),
@@ -134,8 +135,10 @@ def read_unified(spark: SparkSession, folder: str) -> Dataset:
     return Dataset(graphs[0][0], graphs[1][0], reduce(DataFrame.unionByName, pairs))
 
 
-def read_any(spark: SparkSession, folder: str) -> Dataset:
-    """The format is told by the files that are there."""
+def read_any(spark: SparkSession, folder: str, kind: str | None = None) -> Dataset:
+    """The format is told by the files that are there, or named: '2m' has the files of 'openea', but its link ends are entities even without a triple."""
+    if kind is not None:
+        return read_raw(spark, folder, kind)
     if _there(spark, f"{folder}/ent_ids_1"):
         return read_unified(spark, folder)
     for kind in ("openea", "dwy", "dbp15k"):
@@ -168,7 +171,90 @@ def write_unified(data: Dataset, folder: str) -> None:
     pairs = data.alignment.select("e1", (F.col("e2") + n).alias("e2"), "split")
     write_tsv(pairs.select("e1", "e2"), f"{folder}/ref_ent_ids")
     for s in ("train", "test"):
-        write_tsv(pairs.where(F.col("split") == s).select("e1", "e2"), f"{folder}/ref_ent_ids_{s}")
+        rows = pairs.where(F.col("split") == s).select("e1", "e2")
+        if not rows.isEmpty():
+            write_tsv(rows, f"{folder}/ref_ent_ids_{s}")
+
+
+def write_partition(data: Dataset, folder: str) -> None:
+    """The links of a dataset by split, for tools that read uris: train_links, test_links, an empty valid_links, and test pairs of
+    ids by whether the second graph has their end (test_alignment_valid.txt, test_alignment_invalid.txt)."""
+    one, two = (g.entities.select(F.col("ent_id").alias(e), F.col("uri").alias(u)) for g, e, u in ((data.one, "e1", "u1"), (data.two, "e2", "u2")))
+    links = data.alignment.join(one, "e1", "left").join(two, "e2", "left")
+    for s in ("train", "test"):
+        write_tsv(links.where((F.col("split") == s) & F.col("u2").isNotNull()).select("u1", "u2"), f"{folder}/{s}_links")
+    write_tsv(links.limit(0).select("u1", "u2"), f"{folder}/valid_links")
+    tests = links.where("split = 'test'")
+    for name, there in (("valid", F.col("u2").isNotNull()), ("invalid", F.col("u2").isNull())):
+        write_tsv(tests.where(there).select("e1", "e2"), f"{folder}/test_alignment_{name}.txt")
+
+
+@dataclass(frozen=True)
+class Joint:
+    """Two graphs as one: entities (ent), relations (r), triples (h, r, t), and pairs (e1, e2, split)."""
+
+    entities: DataFrame
+    relations: DataFrame
+    triples: DataFrame
+    pairs: DataFrame
+
+
+def read_longs(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(c0, c1, ...): the first n tab-separated numbers of each line."""
+    p = F.split("value", "\t")
+    return spark.read.text(path).where("value <> ''").select(*(p[i].cast("long").alias(f"c{i}") for i in range(n)))
+
+
+def read_ids(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(uri, ent_id) of files of ids and uris; a uri that occurs again has the greatest of its ids."""
+    lines = reduce(DataFrame.unionByName, (read_tsv(spark, p, ENTITY) for p in paths))
+    return lines.groupBy("uri").agg(F.max("ent_id").alias("ent_id"))
+
+
+def read_joint(spark: SparkSession, folder: str, reserve: bool = True, listed: bool = True, train: str | float = "ref_ent_ids_train") -> Joint:
+    """Both graphs of a unified-id dataset as one.
+
+    reserve: relations move up by one and relation 0 stands for a node's loop. listed: entities are those of the id files, else
+    those of triples. train: the file of training pairs (with ref_ent_ids_test beside it), or the share of ref_ent_ids that trains,
+    in the order of the md5 of the pair.
+    """
+    triples = reduce(DataFrame.unionByName, (read_tsv(spark, f"{folder}/triples_{k}", TRIPLE) for k in (1, 2)))
+    if reserve:
+        triples = triples.withColumn("r", F.col("r") + 1)
+    rels = triples.select("r").distinct()
+    if reserve:
+        rels = rels.unionByName(spark.range(1).select(F.col("id").alias("r")))
+    if listed:
+        ents = reduce(DataFrame.unionByName, (read_longs(spark, f"{folder}/ent_ids_{k}", 1).toDF("ent") for k in (1, 2))).distinct()
+    else:
+        ents = triples.select(F.explode(F.array("h", "t")).alias("ent")).distinct()
+    if isinstance(train, str):
+        pairs = read_tsv(spark, f"{folder}/{train}", PAIR).withColumn("split", F.lit("train")).unionByName(read_tsv(spark, f"{folder}/ref_ent_ids_test", PAIR).withColumn("split", F.lit("test")))
+    else:
+        from tessera.functions.tables import dense_ids
+
+        links = read_tsv(spark, f"{folder}/ref_ent_ids", PAIR).distinct()
+        cut_at = int(train * links.count())
+        placed = dense_ids(links.withColumn("_h", F.md5(F.concat_ws("#", "e1", "e2"))), ["_h", "e1", "e2"], "_at")
+        pairs = placed.select("e1", "e2", F.when(F.col("_at") < cut_at, "train").otherwise("test").alias("split"))
+    return Joint(ents, rels, triples, pairs)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """(side, id, vec): embeddings of both sides, or any state of a model as rows of arrays; they replace what was there."""
+    vectors.select("side", "id", F.col("vec").cast("array<float>").alias("vec")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(side, id, vec) of write_vectors()."""
+    return spark.read.schema("side int, id long, vec array<float>").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, kind: str = "pred_alignment_csls") -> DataFrame:
+    """(part, e1, e2) of all parts' files pred_alignment.json under path, each one object whose lists hold pairs."""
+    rows = spark.read.schema(f"{kind} array<array<bigint>>").option("multiLine", True).json(f"{path}/partition_*/pred_alignment.json")
+    part = F.regexp_extract(F.input_file_name(), "partition_([0-9]+)/", 1).cast("long")
+    return rows.select(part.alias("part"), F.explode(kind).alias("p")).select("part", F.col("p")[0].alias("e1"), F.col("p")[1].alias("e2"))
 
 
 def write_documents(df: DataFrame, path: str) -> None:
@@ -187,7 +273,12 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.element_at("p", 1).alias("ent"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))).alias("attr"))
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Events of log_events() files."""
+    return spark.read.schema(EVENT).json(path)
+
+
 def log_events(spark: SparkSession, path: str, events: list[dict]) -> None:
     """Append a run's events (machine, process, iteration, msg_type, value) to a JSON-lines log."""
     rows = [(time.time(), e.get("machine"), e.get("msg_type"), e.get("process"), e.get("iteration"), float(e.get("value", 0))) for e in events]
-    spark.createDataFrame(rows, "ts double, machine string, msg_type string, process string, iteration int, value double").write.mode("append").json(path)
+    spark.createDataFrame(rows, EVENT).write.mode("append").json(path)
