@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.brown import op7_brown_scores
+from tessera.llm.cross_tokenizer import op11_cross_tokenizer
 from tessera.llm.decontaminate import op1_decontamination
 from tessera.llm.html_text import op2_html_text
 from tessera.llm.language import op6_language_id
@@ -16,7 +17,7 @@ from tessera.llm.substrings import op3_repeated_substrings
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules]
+    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules, op11_cross_tokenizer]
     return {f.__name__: f for f in found}
 
 
