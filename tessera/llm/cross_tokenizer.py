@@ -6,9 +6,12 @@ tokenises: it hands on the ids and the byte offsets of the tokens' ends. Groups
 these arrays by Spark's higher-order functions: array_intersect of the end arrays gives the cuts,
 transform and sequence the groups, aggregate their counts.
 
-How often ids are linked is counted over all documents: a document sends each of its id pairs once,
-with its multiplicity, so a row is bounded by a document's links, and pairs of many documents are
-broadcast (`skew.by_unique`) instead of meeting in one task.
+Documents lie in chunks of a bounded number of characters, as places in the chunk's list of different
+words: no token goes beyond a word, so each different word is tokenised and aligned once for its chunk.
+A text with white space or characters for which this may not hold is an entry of its own, whole.
+
+How often ids are linked is counted over all documents: a document sends each of its id pairs once, and
+pairs of many words are broadcast (`skew.by_unique`) instead of meeting in one task.
 
 Defined cases: a null or empty text, and one that a tokenizer doesn't give back byte by byte, has no
 tokens: zeros and an empty digest. Null ids and repeated rows each are a document. Extra columns are
@@ -19,19 +22,22 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, map_batches, small_batches, table
 from tessera.llm.skew import by_unique
 
-#: Words whose tokens a worker remembers.
-MEMORY = 200_000
+#: Characters of a chunk, and words that are encoded together.
+CHUNK, SLICE = 4_000_000, 2000
 #: Texts with other white space than single blanks and line ends, or with characters that normalise, are encoded whole.
 _ODD = re.compile("[^\n -~¡-ɏ]|  |^ | $|[¨¯²-µ¸-¾Ĳ-ŀŉſ]")
 
@@ -81,41 +87,21 @@ class Pieces:
 
 
 class Tokens:
-    """Ids of one tokenizer and the lengths of their bytes, by words where this gives the text's own ids."""
+    """The tokens of entries, each a blank and a word or a text."""
 
     def __init__(self, coder):
         self.coder = coder
         self.lengths = np.array([len(p) for p in coder.pieces], np.int32)
-        self.words: dict[str, bytes] = {}
-
-    def exact(self, text: str, ids: list[int]) -> bool:
-        """Whether the tokens are the bytes of a blank and the text."""
-        return b"".join([self.coder.pieces[i] for i in ids]) == b" " + text.encode()
-
-    def of(self, texts: list[str], words: list[list[str] | None]) -> list[bytes | None]:
-        """Each text's ids as bytes; None if they aren't exact. words: the text's words, None where it goes whole."""
-        get = self.words.get
-        new = list({w for ws in words if ws for w in ws}.difference(self.words)) if self.coder.by_words else []
-        fresh = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            fresh |= {w: np.array(ids, "<i4").tobytes() if self.exact(w, ids) else None for w, ids in zip(part, self.coder.encode(part))}
-        out: list[bytes | None] = []
-        whole: list[int] = []
-        for k, ws in enumerate(words):
-            found = [get(w) or fresh.get(w) for w in ws] if ws and self.coder.by_words else [None]
-            if None in found:
-                whole.append(k)
-                out.append(None)
-            else:
-                out.append(b"".join(found))
-        for k in whole:
-            ids = self.coder.encode([texts[k]])[0]
-            if texts[k] and self.exact(texts[k], ids):
-                out[k] = np.array(ids, "<i4").tobytes()
-        if len(self.words) < MEMORY:
-            self.words |= {w: v for w, v in fresh.items() if v and "\n" not in w}
-        return out
+
+    def _exact(self, text: str) -> np.ndarray | None:
+        """The ids, if they are the bytes of a blank and the text."""
+        ids = self.coder.encode([text])[0]
+        return np.array(ids, np.int32) if b"".join([self.coder.pieces[i] for i in ids]) == b" " + text.encode() else None
+
+    def of(self, words: list[str], whole: list[str]) -> list[np.ndarray | None]:
+        """The ids of runs of words and then of each whole text; None for a text that isn't given back byte by byte."""
+        runs = [" ".join(words[k : k + SLICE]) for k in range(0, len(words), SLICE)]
+        return [self._exact(t) for t in runs + whole]
 
 
 @lru_cache(maxsize=4)
@@ -126,33 +112,85 @@ def _loaded(first: str, second: str) -> tuple[Tokens, Tokens]:
     return Tokens(ByteLevel(first)), Tokens(Pieces(second))
 
 
-def tokens(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends of each row: ids and byte offsets after a blank and the text, empty where a text has no tokens.
+class _Chunk:
+    """Documents as places in lists of words and of whole texts."""
+
+    def __init__(self):
+        self.words: defaultdict = defaultdict(count().__next__)
+        self.whole: defaultdict = defaultdict(count().__next__)
+        self.docs: list[tuple[int | None, np.ndarray, bool]] = []
+        self.size = 0
+
+    def add(self, doc: int | None, text: str, by_words: bool) -> None:
+        split = by_words and not _ODD.search(text)
+        known, entries = (self.words, text.split(" ")) if split else (self.whole, [text])
+        if not text:
+            entries = []
+        self.docs.append((doc, np.fromiter(map(known.__getitem__, entries), np.int32, len(entries)), split))
+        self.size += len(text) + 1
+
+    def columns(self, a: Tokens, b: Tokens) -> list:
+        """Tokens and entries in order of the list, and the documents by places in it."""
+        words, whole = list(self.words), list(self.whole)
+        left, right = a.of(words, whole), b.of(words, whole)
+        runs = -(-len(words) // SLICE)
+        if any(x is None or y is None for x, y in zip(left[:runs], right[:runs])):
+            raise ValueError("plain words aren't given back byte by byte")
+        at, place = {}, len(words)
+        sizes = [np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))]
+        for k, t in enumerate(whole):
+            if left[runs + k] is not None and right[runs + k] is not None:
+                at[k] = place
+                place += 1
+                sizes.append(np.array([len(t.encode()) + 1]))
+            else:
+                left[runs + k] = right[runs + k] = np.zeros(0, np.int32)
+        entry_ends = np.cumsum(np.concatenate(sizes))
+        out, per = [], []
+        for side, found in ((a, left), (b, right)):
+            ids = np.concatenate([np.zeros(0, np.int32), *found])
+            ends = np.cumsum(side.lengths[ids], dtype=np.int64)
+            out += [ids, ends]
+            per.append(np.diff(np.searchsorted(ends, entry_ends, side="right"), prepend=0))
+        docs = []
+        for doc, places, split in self.docs:
+            if not split:
+                places = np.array([at[p] for p in places if p in at], np.int32)
+            docs.append({"doc_id": doc, "n_a": int(per[0][places].sum()), "n_b": int(per[1][places].sum()), "entries": places})
+        return [*out, entry_ends, docs]
+
+
+_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("entries", pa.list_(pa.int32()))]))
+
+
+def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> DataFrame:
+    """chunk, a_ids, a_ends, b_ids, b_ends, entry_ends, docs: for each chunk the tokens of its entries, one after the other, each with a
+    blank before it, byte offsets of tokens' and entries' ends, and the documents (doc_id, n_a, n_b, entries), where entries are places from 0.
 
     first: a byte-level file for `tokenizers`, second: a model for `sentencepiece`, both at the same path on every executor."""
-    whole = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), *((n, whole) for n in ("a_ids", "a_ends", "b_ids", "b_ends"))])
-
-    def arrays(side: Tokens, found: list[bytes]) -> list[pa.Array]:
-        ids = np.frombuffer(b"".join(found), "<i4")
-        starts = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])])
-        ends = np.cumsum(side.lengths[ids], dtype=np.int64)
-        before = np.concatenate([[0], ends])[starts[:-1]]
-        ends -= np.repeat(before, np.diff(starts))
-        offsets = pa.array(starts.astype(np.int32))
-        return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (ids, ends)]
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    schema = pa.schema([("chunk", pa.int64()), ("a_ids", ints), ("a_ends", longs), ("b_ids", ints), ("b_ends", longs), ("entry_ends", longs), ("docs", _DOCS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _loaded(first, second)
+        by_words, at, held = a.coder.by_words and b.coder.by_words, TaskContext.get().partitionId() << 32, _Chunk()
+
+        def close() -> pa.RecordBatch:
+            nonlocal at, held
+            columns = [at, *held.columns(a, b)]
+            at, held = at + 1, _Chunk()
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, schema.types)], schema=schema)
+
         for rows in small_batches(batches, 256):
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            words = [None if not t or _ODD.search(t) else t.split(" ") for t in texts]
-            left, right = a.of(texts, words), b.of(texts, words)
-            both = [x is not None and y is not None for x, y in zip(left, right)]
-            columns = arrays(a, [x if k else b"" for x, k in zip(left, both)]) + arrays(b, [y if k else b"" for y, k in zip(right, both)])
-            yield pa.RecordBatch.from_arrays([rows.column(0), *columns], schema=schema)
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                held.add(doc, text or "", by_words)
+                if held.size >= chunk:
+                    yield close()
+        if held.docs:
+            yield close()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    made = "chunk long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>, entry_ends array<long>, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,entries:array<int>>>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, made)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -160,83 +198,78 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _count(n: Column) -> Column:
-    """0, 1, ... n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def _lasts(ends: Column, cuts: Column) -> Column:
-    """The place in ends of each cut. Odd numbers mark cuts among the even ends, in order, so the k-th mark has its token and k others before it."""
-    marked = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda e: e.cast("long") * 2 + 1)))
+    """The place in ends of each cut, all of which are among them. Odd numbers mark cuts among the even ends, in order, so the k-th mark has its token and k others before it."""
+    marked = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda e: e * 2 + 1)))
     marks = F.filter(F.transform(marked, lambda x, k: F.when(x % 2 == 1, k)), lambda k: k.isNotNull())
     return F.transform(marks, lambda k, before: k - before - 1)
 
 
-def _segments(ids: Column, lasts: Column) -> Column:
-    """ids cut after the places in lasts."""
-    return F.transform(lasts, lambda at, k: _let(F.when(k == 0, F.lit(-1)).otherwise(F.element_at(lasts, F.greatest(k, F.lit(1)))), lambda before: F.slice(ids, before + 2, at - before)))
+def _segments(values: Column, lasts: Column) -> Column:
+    """values cut after the places in lasts."""
+    return _let(values, lambda v: _let(F.concat(F.array(F.lit(-1)), lasts), lambda before: F.transform(lasts, lambda at, k: F.slice(v, F.get(before, k) + 2, at - F.get(before, k)))))
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """`a` and `b` beside the columns of tokens(): the ids of each group, one array for each side."""
+    """`cuts`, `a` and `b` beside the columns of tokens(): the common ends, and the ids of each group, one array for each side."""
+    cuts = F.array_intersect("a_ends", "b_ends")
 
     def side(s: str) -> Column:
-        return _let(F.array_intersect("a_ends", "b_ends"), lambda cuts: _let(_lasts(F.col(f"{s}_ends"), cuts), lambda lasts: _segments(F.col(f"{s}_ids"), lasts)))
-
-    return found.withColumns({"a": side("a"), "b": side("b")})
-
-
-def links(a: Column, b: Column) -> Column:
-    """All linked id pairs of groups a and b, as (A id << 32) + B id."""
-    return F.flatten(F.transform(a, lambda own, g: F.flatten(F.transform(own, lambda x: F.transform(F.element_at(b, g + 1), lambda y: F.shiftleft(x.cast("long"), 32) + y)))))
+        return _let(cuts, lambda at: _let(_lasts(F.col(f"{s}_ends"), at), lambda lasts: _segments(F.col(f"{s}_ids"), lasts)))
 
-
-def _pairs(linked: Column) -> Column:
-    """Each different pair and how often it occurs, from the lengths of runs in order."""
-
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(_count(F.size(ordered)), lambda i: (i == 0) | (F.element_at(ordered, i + 1) != F.element_at(ordered, F.greatest(i, F.lit(1)))))
-        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(ordered, i + 1).alias("pair"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("times"))))
-
-    return _let(F.sort_array(linked), runs)
+    return found.withColumns({"cuts": cuts, "a": side("a"), "b": side("b")})
 
 
 def _written(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-def aligned(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """A row per document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and `pairs`, its different links (pair, times)."""
-    cut = groups(tokens(docs, first, second)).select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "a", "b")
-    written = F.array_join(F.transform("a", lambda own, g: F.concat(_written(own), F.lit("|"), _written(F.element_at("b", g + 1)))), ";")
+def entries(cut: DataFrame) -> DataFrame:
+    """From groups(): chunk, docs, and by entry its groups as written text (`written`), their number (`n_groups`), and its links (`links`) as (A id << 32) + B id."""
+    told = F.zip_with("a", "b", lambda own, other: F.concat(_written(own), F.lit("|"), _written(other)))
+    linked = F.zip_with("a", "b", lambda own, other: F.flatten(F.transform(own, lambda x: F.transform(other, lambda y: F.shiftleft(x.cast("long"), 32) + y))))
+    lasts = _lasts(F.col("cuts"), F.col("entry_ends"))
     return cut.select(
-        "doc_id",
-        "n_a",
-        "n_b",
-        F.size("a").cast("long").alias("n_groups"),
-        F.aggregate(F.transform("a", lambda own, g: F.size(own).cast("long") * F.size(F.element_at("b", g + 1))), F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
-        F.when(F.col("n_a") > 0, F.sha2(written, 256)).otherwise("").alias("groups_sha256"),
-        _pairs(links(F.col("a"), F.col("b"))).alias("pairs"),
+        "chunk",
+        "docs",
+        _let(lasts, lambda at: F.transform(_segments(told, at), lambda own: F.array_join(own, ";"))).alias("written"),
+        _let(lasts, lambda at: _let(F.concat(F.array(F.lit(-1)), at), lambda before: F.transform(at, lambda last, k: last - F.get(before, k)))).alias("n_groups"),
+        _let(lasts, lambda at: F.transform(_segments(linked, at), F.flatten)).alias("links"),
     )
 
 
-def counts(found: DataFrame) -> DataFrame:
-    """Of each linked pair in rows of aligned(): how many documents hold it, and whether that is the most for its A id."""
-    held = found.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
-    best = held.groupBy(F.shiftright("pair", 32).alias("a_id")).agg(F.max("held").alias("most"))
-    return held.withColumn("a_id", F.shiftright("pair", 32)).join(best, "a_id").select("pair", "held", (F.col("held") == F.col("most")).alias("best"))
+def _sum(places: Column, values: Column) -> Column:
+    return F.aggregate(places, F.lit(0).cast("long"), lambda n, k: n + F.get(values, k))
+
+
+def held(found: DataFrame) -> DataFrame:
+    """pair, held: how many documents of entries() hold each linked pair."""
+    own = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["entries"]), lambda k: F.get("links", k)))))
+    return found.select(F.explode(F.flatten(own)).alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
 
 
-def digest(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """aligned() with n_best and count_sum, from the counts over all documents, in place of `pairs`."""
+def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> DataFrame:
+    """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     scratch = Scratch()
-    found = scratch.cut(aligned(docs, first, second).withColumn("row", F.monotonically_increasing_id()))
-    known = scratch.cut(counts(found).withColumn("rows", F.col("held")))
-    each = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    told = by_unique(each, known, "pair", "rows")
-    sums = told.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("held")).alias("count_sum"))
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
-    return found.drop("pairs").join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
+    cut = scratch.cut(groups(tokens(docs, first, second, chunk)))
+    found = scratch.cut(entries(cut))
+    linked = found.select("chunk", F.posexplode("links").alias("entry", "pairs")).select("chunk", "entry", F.explode("pairs").alias("pair"))
+    known = scratch.cut(held(found).join(linked.groupBy("pair").agg(F.count("*").alias("rows")), "pair").withColumn("a_id", F.shiftright("pair", 32)))
+    most = known.groupBy("a_id").agg(F.max("held").alias("most"))
+    known = scratch.cut(known.join(most, "a_id").select("pair", "held", "rows", (F.col("held") == F.col("most")).cast("long").alias("best")))
+    each = by_unique(linked, known, "pair", "rows").groupBy("chunk", "entry").agg(F.sum("best").alias("best"), F.sum("held").alias("held"))
+    counted = each.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("entry", "best", "held"))).alias("of"))
+    counted = counted.select("chunk", F.col("of.best").alias("best"), F.col("of.held").alias("held"))
+    sizes = F.transform("links", lambda own: F.size(own).cast("long"))
+    whole = scratch.cut(found.select("chunk", "docs", "written", "n_groups", sizes.alias("n_links")).join(counted, "chunk", "left"))
+
+    def told(d: Column) -> Column:
+        sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(F.transform(d["entries"], lambda k: F.get("written", k)), ";"), 256)).otherwise("")
+        sums = [_sum(d["entries"], F.col(c)).alias(n) for c, n in (("n_groups", "n_groups"), ("n_links", "n_links"), ("best", "n_best"), ("held", "count_sum"))]
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *sums, sha.alias("groups_sha256"))
+
+    scratch.drop(keep=(whole,))
+    return whole.select(F.explode(F.transform("docs", told)).alias("d")).select("d.*")
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:

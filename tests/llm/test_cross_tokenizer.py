@@ -100,7 +100,7 @@ def test_digest_against_plain(spark):
     odd = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
     every = docs.unionByName(odd)
     want = plain([(r.doc_id, r.text) for r in every.collect()])
-    got = rows_of(cross_tokenizer.digest(every.withColumns({c: F.lit("x") for c in ("row", "pair", "a", "b", "held", "rows", "n")}), A, B))
+    got = rows_of(cross_tokenizer.digest(every.withColumns({c: F.lit("x") for c in ("row", "pair", "a", "b", "held", "rows", "n", "chunk", "docs")}), A, B, 60_000))
     assert got == sorted(want, key=str)
     assert sum(r[1] > 0 for r in got) > 150
 
@@ -117,7 +117,7 @@ def test_hot_pairs(spark, monkeypatch):
 
 
 def test_groups_cut_at_common_ends(spark):
-    found = spark.createDataFrame([([1, 2, 3], [2, 3, 7], [4, 5, 6, 7], [1, 3, 5, 7]), ([], [], [], []), ([9], [4], [8], [4])], "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    found = spark.createDataFrame([([1, 2, 3], [2, 3, 7], [4, 5, 6, 7], [1, 3, 5, 7]), ([], [], [], []), ([9], [4], [8], [4])], "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>")
     got = [(r.a, r.b) for r in cross_tokenizer.groups(found).select("a", "b").collect()]
     assert got == [([[1, 2], [3]], [[4, 5], [6, 7]]), ([], []), ([[9]], [[8]])]
 
