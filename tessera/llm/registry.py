@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tessera.llm.brown import op7_brown_scores
+from tessera.llm import collocations
+from tessera.llm.collocations import op12_collocations
 from tessera.llm.cross_tokenizer import op11_cross_tokenizer
 from tessera.llm.decontaminate import op1_decontamination
 from tessera.llm.html_text import op2_html_text
@@ -17,10 +19,10 @@ from tessera.llm.substrings import op3_repeated_substrings
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules, op11_cross_tokenizer]
+    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules, op11_cross_tokenizer, op12_collocations]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {"op12_collocations": collocations.ORACLE_SQL}

@@ -13,15 +13,15 @@ def _least(total: int | None) -> int:
     return max(ROWS, (total or 0) // KEYS)
 
 
-def by_unique(rows: DataFrame, unique: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """rows joined with the keys of `unique`, whose column n says how many of rows a key has at most.
+def by_unique(rows: DataFrame, unique: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """rows joined with the keys (a column or several) of `unique`, whose column n says how many of rows a key has at most.
 
     unique has one row for each key and is stored. Its hot keys, at most KEYS of them, are broadcast, so
     their rows stay where they are; all other keys have few rows and are shuffled."""
     least = _least(unique.agg(F.sum(n)).first()[0])
     hot = F.broadcast(unique.where(F.col(n) > least).drop(n))
     few = unique.where(F.col(n) <= least).drop(n)
-    names = [*rows.columns, *(c for c in few.columns if c != key)]
+    names = [*rows.columns, *(c for c in few.columns if c not in ([key] if isinstance(key, str) else key))]
     cold = rows.join(hot.select(key), key, "left_anti").join(few, key).select(names)
     return rows.join(hot, key).select(names).unionByName(cold)
 
