@@ -37,7 +37,7 @@ from tessera.llm.common import Scratch, map_batches, small_batches, table
 from tessera.llm.skew import by_unique
 
 #: Characters of a chunk, and words that are encoded together.
-CHUNK, SLICE = 4_000_000, 2000
+CHUNK, SLICE = 1_500_000, 2000
 #: Texts with other white space than single blanks and line ends, or with characters that normalise, are encoded whole.
 _ODD = re.compile("[^\n -~¡-ɏ]|  |^ | $|[¨¯²-µ¸-¾Ĳ-ŀŉſ]")
 

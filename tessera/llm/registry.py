@@ -15,11 +15,12 @@ from tessera.llm.pii import op5_pii
 from tessera.llm.pu_quality import op4_quality_classifier
 from tessera.llm.quality_rules import op9_quality_rules
 from tessera.llm.substrings import op3_repeated_substrings
+from tessera.llm.toxicity import op13_toxicity
 
 
 def queries() -> dict:
     """Query name to function of (spark, sf_dir)."""
-    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules, op11_cross_tokenizer, op12_collocations]
+    found = [op1_decontamination, op2_html_text, op3_repeated_substrings, op4_quality_classifier, op5_pii, op6_language_id, op7_brown_scores, op8_packing, op10_minhash, op9_quality_rules, op11_cross_tokenizer, op12_collocations, op13_toxicity]
     return {f.__name__: f for f in found}
 
 
