@@ -44,3 +44,26 @@ def dense_ids(df: DataFrame, by: list[str], name: str) -> DataFrame:
 def hash_order(key) -> list:
     """Sort columns of a reproducible random order: the md5 of the key, then the key."""
     return [F.md5(F.col(key).cast("string")), F.col(key)]
+
+
+class Scratch:
+    """Stored tables that are deleted once nothing reads them any more."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """cut(), noted for deletion."""
+        spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        for key in [id(t) for t in tables] or list(self.paths):
+            df, path = self.paths.pop(key)
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
