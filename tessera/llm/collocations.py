@@ -1,8 +1,8 @@
 """Phrases of two to four words by hierarchical pair naming.
 
 A phrase of k words is the pair of the two phrases of k - 1 words that it starts and ends with. Each
-level counts adjacent pairs of frequent ids over all documents, gives the frequent pairs an id of their
-own, and replaces them in the text by it, through a join. The two ids of a pair are pointers to its
+level brings the occurrences of adjacent pairs of frequent ids together over all documents, names the
+frequent pairs, and hands the names back to the chunks, where they replace the pairs. The two ids of a pair are pointers to its
 parents: along them go the counts of all first and last parts, which the cuts need, and the counts of
 longer phrases that contain a phrase.
 
@@ -27,12 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, map_batches, small_batches, table
-from tessera.llm.skew import by_unique
 
 #: Words of a chunk, from which it is closed at a document's or long text's end.
-CHUNK = 1_500_000
-#: Up to so many names of a level are broadcast (under 40 MB); more are joined by a shuffle.
-BROADCAST_NAMES = 300_000
+CHUNK = 1_000_000
+#: Bits of a chunk's number within its partition, and of a place within its chunk.
+CHUNK_BITS, PLACE_BITS = 12, 31
 #: A-Z in lower case, separators of pieces as 0xFF, which no UTF-8 text has, tabs as blanks.
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _VOCABULARY = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
@@ -71,13 +70,15 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("vocabulary", _VOCABULARY), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = TaskContext.get().partitionId() << 32, _Chunk()
+        at, held = TaskContext.get().partitionId() << CHUNK_BITS, _Chunk()
 
         def close() -> pa.RecordBatch:
             nonlocal at, held
             vocabulary, places = held.row()
             out = pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([vocabulary], _VOCABULARY), pa.array([places], pa.binary())], schema=schema)
             at, held = at + 1, _Chunk()
+            if at >> CHUNK_BITS != TaskContext.get().partitionId():
+                raise ValueError("a partition has too many chunks: read the documents in smaller ones")
             return out
 
         for rows in small_batches(batches, 256):
@@ -109,15 +110,16 @@ def _pairs(texts: DataFrame) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Each key with its count f, from `least` on, an id, and the number of its rows."""
-    found = rows.groupBy(key).agg(F.sum("times").alias("f"), F.count("*").alias("rows")).where(F.col("f") >= least)
-    return found.withColumn("id", F.monotonically_increasing_id())
+    """(chunk, place, id) of rows whose key occurs `least` times or more in all; the row that gives the key its id has the key and its count f as well.
 
+    The rows of a key meet once: their first place is its name, so nothing need be sent back to be joined."""
+    whole, at = Window.partitionBy(*key), F.shiftleft("chunk", PLACE_BITS) + F.col("place")
+    found = rows.withColumn("at", at).withColumns({"f": F.sum("times").over(whole), "id": F.min("at").over(whole)}).where(F.col("f") >= least)
+    return found.select("chunk", "place", "id", *(F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in ("f", *key)))
 
-def _named(rows: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
+
+def _named(found: DataFrame) -> DataFrame:
     """(chunk, named): the places of each chunk that have a name, with it."""
-    rows, names = rows.select("chunk", "place", *key), names.select(*key, "id", "rows")
-    found = rows.join(F.broadcast(names), key) if names.count() <= BROADCAST_NAMES else by_unique(rows, names, key, "rows")
     return found.groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("named"))
 
 
@@ -175,14 +177,14 @@ def phrases(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4,
     own = texts.select(F.explode("vocabulary").alias("v")).select("v.lang", F.aggregate("v.counts", F.lit(0).cast("long"), lambda n, x: n + x).alias("n"))
     total = scratch.cut(own.groupBy("lang").agg(F.sum("n").alias("n")))
     names = scratch.cut(_frequent(_words(texts), ["lang", "word"], least))
-    levels = [scratch.cut(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")))]
-    rows, key = _words(texts), ["lang", "word"]
-    for words in range(2, longest + 1):
-        texts = scratch.cut(replaced(texts, _named(rows, names, key)))
-        rows, key = _pairs(texts), ["left", "right"]
-        names = scratch.cut(_frequent(rows, key, least))
-        levels.append(scratch.cut(_extended(names, levels[-1])))
-        scratch.drop(keep=(total, texts, names, *levels))
+    first = names.where("f IS NOT NULL")
+    none = F.array().cast("array<long>")
+    levels = [scratch.cut(first.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")))]
+    for _ in range(2, longest + 1):
+        texts = scratch.cut(replaced(texts, _named(names)))
+        scratch.drop(keep=(total, texts, *levels))
+        names = scratch.cut(_frequent(_pairs(texts), ["left", "right"], least))
+        levels.append(scratch.cut(_extended(names.where("f IS NOT NULL"), levels[-1])))
     scratch.drop(keep=(total, *levels))
     found = []
     for words, own in zip(range(2, longest + 1), levels[1:]):

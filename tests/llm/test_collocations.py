@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import collocations, skew
+from tessera.llm import collocations
 from tessera.llm.common import table
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -59,11 +59,8 @@ ODD = [
 
 
 @pytest.mark.parametrize("size", [5, 100_000])
-@pytest.mark.parametrize("few", [True, False])
-def test_phrases_against_plain(spark, monkeypatch, size, few):
-    """However texts are cut into chunks, and whether names are broadcast or shuffled."""
-    monkeypatch.setattr(collocations, "BROADCAST_NAMES", 10**6 if few else 0)
-    monkeypatch.setattr(skew, "ROWS", 2)
+def test_phrases_against_plain(spark, size):
+    """However texts are cut into chunks."""
     docs = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id < 60").select("doc_id", "lang", "text")
     odd = spark.createDataFrame([(None, lang, t) for lang, t in ODD], "doc_id long, lang string, text string")
     every = docs.unionByName(odd)
