@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +29,19 @@ from tessera.llm.common import batch, map_batches, remainder, small_batches, tab
 BUCKET_BITS, WIDTH = 13, 16
 BUCKETS = 1 << BUCKET_BITS
 BROADCAST_LANGUAGES = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
+# Every letter matches, and so do some number forms.
+_MAYBE = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; digits of any script and number forms aren't."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _MAYBE.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each bucket occurs among the text's bigrams and trigrams."""
     a = _FOLD[np.frombuffer(f" {text} ".encode(), np.uint8)]
@@ -56,7 +63,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0, True
         x = counts(text)
         z = (x @ self.weights / x.sum() + self.bias) / self.temperature

@@ -52,6 +52,9 @@ _CLASS[192:256] = 7
 _SYMBOLS = b"#*$%&|<>"
 #: Listed words of a language; others have the words that make up at least this share of it.
 LISTED, SHARE = 30, 0.002
+#: A document of a language with a fixed list teaches its reference and limits only if this share of its words is on some list:
+#: junk has no such words, so it can't become the reference even where it is the majority.
+TAUGHT = 0.04
 #: A task hands on its counts at so many words.
 FLUSH = 250_000
 
@@ -173,7 +176,10 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 words = (text or b"").split()
                 if not _failed(len(words), base(text or b"", words)[3]):
-                    row = np.concatenate([*histograms(text, index), [len(words)]])
+                    chars, listed = histograms(text, index)
+                    if not _teaches(lang, int(listed.sum()), len(words)):
+                        continue
+                    row = np.concatenate([chars, listed, [len(words)]])
                     total[lang] = total[lang] + row if lang in total else row
         yield batch(schema, [list(total), [v.tolist() for v in total.values()]])
 
@@ -198,9 +204,11 @@ def _allowed(docs: DataFrame, refs: References, limits: Limits) -> dict[tuple[st
         for b in small_batches(batches):
             rows = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                n = len((text or b"").split())
-                rows.append((lang, _size(n), *_compared(text or b"", n, lang, refs, limits)))
-            yield batch(schema, list(zip(*rows)))
+                words = (text or b"").lower().split()
+                if _teaches(lang, sum(w in refs.index for w in words), len(words)):
+                    rows.append((lang, _size(len(words)), *_compared(text or b"", len(words), lang, refs, limits)))
+            if rows:
+                yield batch(schema, list(zip(*rows)))
 
     of = map_batches(docs, distances, "lang string, size long, c double, w double").groupBy("lang", "size")
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), 1000).alias(c)
@@ -208,6 +216,10 @@ def _allowed(docs: DataFrame, refs: References, limits: Limits) -> dict[tuple[st
     return {(r.lang, r["size"]): (far(r.c), far(r.w)) for r in of.agg(F.count("*").alias("n"), quartiles("c"), quartiles("w")).where(F.col("n") >= limits.least_docs).collect()}
 
 
+def _teaches(lang: str | None, listed: int, n_words: int) -> bool:
+    return lang not in COMMON_WORDS or listed >= TAUGHT * n_words
+
+
 def _failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 

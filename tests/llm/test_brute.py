@@ -307,6 +307,13 @@ def test_risk_is_not_negative():
     assert (net.margin(n) < 0).mean() > 0.9 and (net.margin(p) > 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("text,letters", [("²³ ½", False), ("Ⅷ", False), ("١٢٣ 42 _", False), ("", False), ("½ é", True), ("日本", True), ("12 a", True)])
+def test_no_letter_no_language(text, letters):
+    assert language.has_letter(text) == letters
+    model = language.Model(["en"], np.zeros((language.BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
+    assert (model.predict(text)[0] == "und") == (not letters)
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = language.op6_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").where("held_out AND text IS NOT NULL").collect()

@@ -6,7 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules
 from tessera.llm.common import table
@@ -58,6 +61,8 @@ def plain(rows, least=20):
     for d, t, lang in rows:
         if lang in sums and not rules(t)[5]:
             c, w, n = of(d, t)
+            if 100 * sum(w) < 4 * n:
+                continue
             a, b, m = sums[lang]
             sums[lang] = [x + y for x, y in zip(a, c)], [x + y for x, y in zip(b, w)], m + n
     refs = {k: (c, [*w, n - sum(w)]) for k, (c, w, n) in sums.items()}
@@ -89,13 +94,15 @@ def test_distances(spark):
     limits = quality_rules.Limits()
     groups = {}
     lang = {d: x for d, _, x in rows}
+    words = {w for k in quality_rules.COMMON_WORDS.values() for w in k}
+    teaches = {d: 25 * sum(w in words for w in lower(t).split()) >= len(t.split()) for d, t, _ in rows}
     for r in got:
         groups.setdefault((lang[r.doc_id], int(r.n_words).bit_length()), []).append(r)
     for rs in groups.values():
         most = []
         for name in ("char_distance", "word_distance"):
-            v = sorted(r[name] for r in rs if r[name] is not None)
-            low, mid = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5)) if v and len(rs) >= 20 else (0, 0)
+            v = sorted(r[name] for r in rs if r[name] is not None and teaches[r.doc_id])
+            low, mid = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5)) if v and sum(teaches[r.doc_id] for r in rs) >= 20 else (0, 0)
             most.append(mid + 5 * (mid - low))
         for r in rs:
             far = r.char_distance is not None and r.char_distance > max(most[0], limits.char_distance)
@@ -136,3 +143,16 @@ def test_texts_without_a_reference(spark):
     assert all(r.kept and r.char_distance is None for r in quality_rules.assess(df).collect())
     one = quality_rules.assess(df, refs=quality_rules.References({}, {}, {}, {})).collect()
     assert np.all([r.kept for r in one])
+
+
+@pytest.mark.parametrize("clean,junk", [(60, 100), (100, 60), (20, 400)])
+def test_junk_in_the_majority(spark, clean, junk):
+    """Clean documents stay and junk goes, whichever are more."""
+    rng = random.Random(5)
+    nouns = "maison jardin ville route arbre fleur table livre homme femme enfant eau pain soleil mer".split()
+    common = quality_rules.COMMON_WORDS["fr"]
+    good = [(k, " ".join(rng.choice(common if rng.random() < 0.45 else nouns) for _ in range(200))) for k in range(clean)]
+    bad = [(1000 + k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789#$%&@!{}[]") for _ in range(rng.randrange(3, 9))) for _ in range(200))) for k in range(junk)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string").withColumn("lang", F.lit("fr"))
+    kept = {r.doc_id for r in quality_rules.assess(docs).where("kept").collect()}
+    assert sum(k < 1000 for k in kept) >= 0.92 * clean and sum(k >= 1000 for k in kept) <= 0.05 * junk
