@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing."""
+def cut(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends, lost executors cost nothing. rows: of a file at most, if not 0."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -41,9 +41,9 @@ class Scratch:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, rows: int = 0) -> DataFrame:
         """cut(), noted for deletion."""
-        self.tables.append(cut(df))
+        self.tables.append(cut(df, rows))
         return self.tables[-1]
 
     def drop(self, *, keep: tuple[DataFrame, ...] = ()) -> None:

@@ -37,7 +37,9 @@ from tessera.llm.common import Scratch, map_batches, small_batches, table
 from tessera.llm.skew import by_unique
 
 #: Characters of a chunk, and words that are encoded together.
-CHUNK, SLICE = 1_500_000, 2000
+CHUNK, SLICE = 1_000_000, 2000
+#: Chunks of a stored file: a reader holds a file's chunks at once.
+HELD = 4
 #: Texts with other white space than single blanks and line ends, or with characters that normalise, are encoded whole.
 _ODD = re.compile("[^\n -~¡-ɏ]|  |^ | $|[¨¯²-µ¸-¾Ĳ-ŀŉſ]")
 
@@ -201,13 +203,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _lasts(ends: Column, cuts: Column) -> Column:
     """The place in ends of each cut, all of which are among them. Odd numbers mark cuts among the even ends, in order, so the k-th mark has its token and k others before it."""
     marked = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda e: e * 2 + 1)))
-    marks = F.filter(F.transform(marked, lambda x, k: F.when(x % 2 == 1, k)), lambda k: k.isNotNull())
+    marks = F.filter(F.transform(marked, lambda x, k: F.when(x.bitwiseAND(F.lit(1)) == 1, k)), lambda k: k.isNotNull())
     return F.transform(marks, lambda k, before: k - before - 1)
 
 
 def _segments(values: Column, lasts: Column) -> Column:
-    """values cut after the places in lasts."""
-    return _let(values, lambda v: _let(F.concat(F.array(F.lit(-1)), lasts), lambda before: F.transform(lasts, lambda at, k: F.slice(v, F.get(before, k) + 2, at - F.get(before, k)))))
+    """values cut after the places in lasts. Most segments are single values, which need no slice."""
+
+    def one(v: Column, at: Column, before: Column) -> Column:
+        return F.when(at - before == 1, F.array(F.get(v, at))).otherwise(F.slice(v, before + 2, at - before))
+
+    return _let(values, lambda v: _let(F.concat(F.array(F.lit(-1)), lasts), lambda before: F.transform(lasts, lambda at, k: one(v, at, F.get(before, k)))))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -221,21 +227,26 @@ def groups(found: DataFrame) -> DataFrame:
 
 
 def _written(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
+    return F.when(F.size(ids) == 1, ids[0].cast("string")).otherwise(F.array_join(ids.cast("array<string>"), ","))
+
+
+def _linked(own: Column, other: Column) -> Column:
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    every = F.flatten(F.transform(own, lambda x: F.transform(other, lambda y: pair(x, y))))
+    return F.when((F.size(own) == 1) & (F.size(other) == 1), F.array(pair(own[0], other[0]))).otherwise(every)
 
 
 def entries(cut: DataFrame) -> DataFrame:
     """From groups(): chunk, docs, and by entry its groups as written text (`written`), their number (`n_groups`), and its links (`links`) as (A id << 32) + B id."""
     told = F.zip_with("a", "b", lambda own, other: F.concat(_written(own), F.lit("|"), _written(other)))
-    linked = F.zip_with("a", "b", lambda own, other: F.flatten(F.transform(own, lambda x: F.transform(other, lambda y: F.shiftleft(x.cast("long"), 32) + y))))
-    lasts = _lasts(F.col("cuts"), F.col("entry_ends"))
-    return cut.select(
-        "chunk",
-        "docs",
-        _let(lasts, lambda at: F.transform(_segments(told, at), lambda own: F.array_join(own, ";"))).alias("written"),
-        _let(lasts, lambda at: _let(F.concat(F.array(F.lit(-1)), at), lambda before: F.transform(at, lambda last, k: last - F.get(before, k)))).alias("n_groups"),
-        _let(lasts, lambda at: F.transform(_segments(linked, at), F.flatten)).alias("links"),
-    )
+    linked = F.zip_with("a", "b", _linked)
+
+    def of(at: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
+        written = F.transform(_segments(told, at), lambda own: F.array_join(own, ";"))
+        return F.struct(written.alias("written"), F.zip_with(at, F.slice(before, 1, F.size(at)), lambda a, b: a - b).alias("n_groups"), F.transform(_segments(linked, at), F.flatten).alias("links"))
+
+    return cut.select("chunk", "docs", _let(_lasts(F.col("cuts"), F.col("entry_ends")), of).alias("e")).select("chunk", "docs", "e.written", "e.n_groups", "e.links")
 
 
 def _sum(places: Column, values: Column) -> Column:
@@ -251,8 +262,7 @@ def held(found: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     scratch = Scratch()
-    cut = scratch.cut(groups(tokens(docs, first, second, chunk)))
-    found = scratch.cut(entries(cut))
+    found = scratch.cut(entries(groups(tokens(docs, first, second, chunk))), HELD)
     linked = found.select("chunk", F.posexplode("links").alias("entry", "pairs")).select("chunk", "entry", F.explode("pairs").alias("pair"))
     known = scratch.cut(held(found).join(linked.groupBy("pair").agg(F.count("*").alias("rows")), "pair").withColumn("a_id", F.shiftright("pair", 32)))
     most = known.groupBy("a_id").agg(F.max("held").alias("most"))
@@ -261,7 +271,7 @@ def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> Data
     counted = each.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("entry", "best", "held"))).alias("of"))
     counted = counted.select("chunk", F.col("of.best").alias("best"), F.col("of.held").alias("held"))
     sizes = F.transform("links", lambda own: F.size(own).cast("long"))
-    whole = scratch.cut(found.select("chunk", "docs", "written", "n_groups", sizes.alias("n_links")).join(counted, "chunk", "left"))
+    whole = scratch.cut(found.select("chunk", "docs", "written", "n_groups", sizes.alias("n_links")).join(counted, "chunk", "left"), HELD)
 
     def told(d: Column) -> Column:
         sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(F.transform(d["entries"], lambda k: F.get("written", k)), ";"), 256)).otherwise("")
