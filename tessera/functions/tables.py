@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +24,47 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: The innermost scope of owned() that notes what cut() writes.
+_SCOPE: ContextVar[set | None] = ContextVar("tessera_scope", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is; none is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose stored tables are deleted at its end, however it ends. It gives a function that keeps a table of cut() for the scope around it."""
+    outer, own = _SCOPE.get(), set()
+    token = _SCOPE.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.discard(df._stored)
+        if outer is not None:
+            outer.add(df._stored)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that plans of iterations don't grow."""
+    """df written to the shared folder and read back, so that plans of iterations don't grow. A table that is stored already is given back as it is."""
+    if getattr(df, "_stored", None):
+        return df
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
 
 
 def dense_ids(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -50,20 +89,15 @@ class Scratch:
     """Stored tables that are deleted once nothing reads them any more."""
 
     def __init__(self):
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.tables: dict[str, DataFrame] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """cut(), noted for deletion."""
-        spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path)
+        """cut(), noted for deletion, of a table of its own."""
+        out = cut(df.select("*"))
+        self.tables[out._stored] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete these tables, or all that are left."""
-        for key in [id(t) for t in tables] or list(self.paths):
-            df, path = self.paths.pop(key)
-            spark = df.sparkSession
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        for path in [t._stored for t in tables] or list(self.tables):
+            delete(self.tables.pop(path).sparkSession, path)

@@ -66,7 +66,7 @@ def hop_levels(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def anchor_hop(edges: DataFrame, part: DataFrame, anchors_: DataFrame, hops: int) -> DataFrame:
     """Anchors met within `hops` edges of the part's entities (part_id, ent), the part's own left out. On
     the last hop, if it isn't the first, both ends of the edges from the frontier to an anchor are kept."""
-    keep = anchors_.select("ent").distinct()
+    edges, keep = cut(edges), anchors_.select("ent").distinct()
     frontier = part.select("part_id", "ent").distinct()
     seen, out = frontier, None
     for hop in range(1, hops + 1):
@@ -77,8 +77,9 @@ def anchor_hop(edges: DataFrame, part: DataFrame, anchors_: DataFrame, hops: int
         else:
             found = edge.select("part_id", "ent").distinct().join(keep, "ent", "left_semi").select("part_id", "ent")
         out = found if out is None else out.unionByName(found)
-        frontier = cut(edge.select("part_id", "ent").distinct())
-        seen = seen.unionByName(frontier)
+        if hop < hops:
+            frontier = cut(edge.select("part_id", "ent").distinct())
+            seen = seen.unionByName(frontier)
     return out.distinct()
 
 

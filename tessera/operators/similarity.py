@@ -169,27 +169,29 @@ def target_candidates(entities: DataFrame, settled: DataFrame) -> DataFrame:
     return entities.select("id").distinct().join(settled.select("id"), "id", "left_anti")
 
 
-def gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "dot", block: int = BLOCK, bonus: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """(e1, e2, rank) of each gold pair: 1 + the right rows that are more similar to e1 (ties: lower ids first). NULL if e2 isn't among right.
+def gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str = "dot", block: int = BLOCK, bonus: DataFrame | None = None, candidates: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., e1, e2, rank) of each gold pair: 1 + the right rows that are more similar to e1 (ties: lower ids first). NULL if e2 isn't among right.
 
     bonus: pairs (e1, e2) whose similarity is raised by 1. candidates: (id), the right rows that count; all if None.
     """
-    left, right = _rows(left, []), _rows(right, [])
+    by = list(by)
+    left, right = _rows(left, by), _rows(right, by)
     if candidates is not None:
         right = right.join(candidates.select("id"), "id", "left_semi")
     more = F.array().cast(f"array<{right.schema['id'].dataType.simpleString()}>")
-    pairs = gold.select("e1", "e2").distinct()
-    q = pairs.join(left.select(F.col("id").alias("e1"), F.col("vec").alias("v1")), "e1").join(right.select(F.col("id").alias("e2"), F.col("vec").alias("v2")), "e2")
+    pairs = gold.select(*by, "e1", "e2").distinct()
+    q = pairs.join(left.select(*by, F.col("id").alias("e1"), F.col("vec").alias("v1")), [*by, "e1"]).join(right.select(*by, F.col("id").alias("e2"), F.col("vec").alias("v2")), [*by, "e2"])
     if bonus is not None:
         lifted = bonus.groupBy("e1").agg(F.collect_set("e2").alias("lift"))
         q = q.join(lifted, "e1", "left").withColumn("lift", F.coalesce("lift", more))
     else:
         q = q.withColumn("lift", more)
-    q = q.select(F.xxhash64("e1", "e2").alias("id"), "e1", "e2", "v1", "v2", "lift")
+    q = q.select(*by, F.xxhash64("e1", "e2").alias("id"), "e1", "e2", "v1", "v2", "lift")
+    names = [*by, "e1", "e2", "n"]
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame(columns=["e1", "e2", "n"])
+            return pd.DataFrame(columns=names)
         b = b.sort_values("other")
         x, v, y, j = np.stack(a["v1"].to_numpy()), np.stack(a["v2"].to_numpy()), np.stack(b["other_vec"].to_numpy()), b["other"].to_numpy()
         lifts, e2 = a["lift"].to_numpy(), a["e2"].to_numpy()
@@ -204,8 +206,8 @@ def gold_ranks(left: DataFrame, right: DataFrame, gold: DataFrame, metric: str =
             s, mine = np.round(s, 9), own[at : at + TILE]
             ids = e2[at : at + TILE, None]
             n.append((((s > mine) | ((s == mine) & (j[None, :] < ids))) & (j[None, :] != ids)).sum(1))
-        return pd.DataFrame({"e1": a["e1"], "e2": e2, "n": np.concatenate(n)})
+        return pd.DataFrame({"e1": a["e1"].to_numpy(), "e2": e2, "n": np.concatenate(n)}).assign(**dict(zip(by, key)))[names]
 
     ends = f"e1 {gold.schema['e1'].dataType.simpleString()}, e2 {gold.schema['e2'].dataType.simpleString()}"
-    counted = _cells(q, right, [], block).applyInPandas(run, f"{ends}, n long").groupBy("e1", "e2").agg((F.sum("n") + 1).alias("rank"))
-    return pairs.join(counted, ["e1", "e2"], "left").select("e1", "e2", "rank")
+    counted = _cells(q, right, by, block).applyInPandas(run, f"{_head(left, by)}{ends}, n long").groupBy(*by, "e1", "e2").agg((F.sum("n") + 1).alias("rank"))
+    return pairs.join(counted, [*by, "e1", "e2"], "left").select(*by, "e1", "e2", "rank")
