@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import adjacency, align, encode, encoder, evidence, graph, metrics, partition, similarity
+from tessera.functions.tables import Scratch, delete, dense_ids
+from tessera.operators import adjacency, align, attention, encode, encoder, evidence, graph, metrics, packed, partition, similarity
 from tessera.sources import demo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -849,6 +850,22 @@ def gcn_two_layers(w: World) -> DataFrame:
     return rounded(encoder.two_convolutions(w.nadj, w.hashed), "x")
 
 
+STEPS["hv_wide"] = STEPS["hv"].replace("FROM ents1, dims", "FROM ents1, (SELECT unnest(range(128)) AS dim)")
+
+
+@query("""SELECT ent, count(*) n, round(max(CASE WHEN dim = 0 THEN x END), 6) first_x, round(max(CASE WHEN dim = 127 THEN x END), 6) last_x, round(sum(x), 6) total
+FROM (SELECT i ent, dim, sum(w * x) x FROM nadj JOIN (SELECT i ent, dim, greatest(sum(w * x), 0) x FROM nadj JOIN hv_wide ON ent = j GROUP BY i, dim) q ON q.ent = j GROUP BY i, dim) GROUP BY ent""")
+def gcn_packed_layers(w: World) -> DataFrame:
+    """Two graph convolutions of 128 elements over packed vectors; of each entity's result the first and last element and the sum."""
+    ids = dense_ids(w.nodes1.select("ent"), ["ent"], "id")
+    named = lambda c, n: ids.select(F.col("ent").alias(c), F.col("id").alias(n))
+    adj = w.nadj.join(named("i", "a"), "i").join(named("j", "b"), "j").select(F.col("a").alias("i"), F.col("b").alias("j"), "w")
+    start = encoder.hashed_vectors(w.nodes1.select("ent"), 128).join(named("ent", "id"), "ent").select(F.col("id").alias("ent"), "dim", "x")
+    out = packed.two_convolutions(adj, packed.packed(start), Scratch()).join(ids, "id")
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rounded(out.select("ent", F.size("v").cast("long").alias("n"), F.col("v")[0].alias("first_x"), F.get("v", F.lit(127)).alias("last_x"), total.alias("total")), "first_x", "last_x", "total")
+
+
 @query("SELECT ent, out dim, round(sum(x * ((dim + 1) * (out + 1) * 0.1 - 0.5)), 6) x FROM hv, (VALUES (CAST(0 AS BIGINT)), (1), (2)) o(out) GROUP BY ent, out")
 def dense_layer(w: World) -> DataFrame:
     """Start vectors times a matrix of four rows and three columns."""
@@ -924,6 +941,24 @@ def alignment_loop(w: World) -> DataFrame:
     return loop.run(w.kg1, w.kg2, w.pairs, loop.Config(parts=PARTS, iterations=2)).history
 
 
+@query()
+def attention_training(w: World) -> DataFrame:
+    """The losses of two epochs of the attention encoder over both graphs, with the training pairs known."""
+    side = lambda k, c: F.concat_ws("|", F.lit(k), F.col(c))
+    both = w.kg1.select(side(1, "h").alias("h"), side(1, "r").alias("r"), side(1, "t").alias("t")).unionByName(w.kg2.select(side(2, "h").alias("h"), side(2, "r").alias("r"), side(2, "t").alias("t")))
+    ids = dense_ids(both.select(F.explode(F.array("h", "t")).alias("ent")).distinct(), ["ent"], "id")
+    relations = dense_ids(both.select("r").distinct(), ["r"], "rid")
+    of = lambda c: ids.select(F.col("ent").alias(c), F.col("id").alias(f"{c}_id"))
+    triples = both.join(of("h"), "h").join(of("t"), "t").join(relations, "r").select(F.col("h_id").alias("h"), F.col("rid").alias("r"), F.col("t_id").alias("t"))
+    known = w.train.select(side(1, "e1").alias("e1"), side(2, "e2").alias("e2"))
+    pairs = known.join(of("e1"), "e1").join(of("e2"), "e2").select(F.col("e1_id").alias("e1"), F.col("e2_id").alias("e2"))
+    settings, scratch = attention.Settings(dims=16, each=2), Scratch()
+    state, losses = attention.train(attention.graph(triples, scratch, settings), pairs, 2, settings)
+    delete(w.spark, state._stored)
+    scratch.drop()
+    return w.spark.createDataFrame([(k, x) for k, x in enumerate(losses)], "epoch long, loss double")
+
+
 @query()
 def chebyshev_basis(w: World) -> DataFrame:
     """The third Chebyshev matrix of the first graph."""
