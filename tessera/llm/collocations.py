@@ -113,9 +113,11 @@ def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     """(chunk, place, id) of rows whose key occurs `least` times or more in all; the row that gives the key its id has the key and its count f as well.
 
     The rows of a key meet once: their first place is its name, so nothing need be sent back to be joined."""
-    whole, at = Window.partitionBy(*key), F.shiftleft("chunk", PLACE_BITS) + F.col("place")
-    found = rows.withColumn("at", at).withColumns({"f": F.sum("times").over(whole), "id": F.min("at").over(whole)}).where(F.col("f") >= least)
-    return found.select("chunk", "place", "id", *(F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in ("f", *key)))
+    whole = Window.partitionBy(*key)
+    placed = rows.select((F.shiftleft("chunk", PLACE_BITS) + F.col("place")).alias("at"), *key, "times")  # all that is shuffled
+    found = placed.withColumns({"f": F.sum("times").over(whole), "id": F.min("at").over(whole)}).where(F.col("f") >= least)
+    chunk, place = F.shiftright("at", PLACE_BITS), F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    return found.select(chunk.alias("chunk"), place.alias("place"), "id", *(F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in ("f", *key)))
 
 
 def _named(found: DataFrame) -> DataFrame:
