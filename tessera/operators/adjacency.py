@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.tables import Scratch, cut
+
 
 def functionality(triples: DataFrame) -> DataFrame:
     """(r, func, ifunc): distinct heads, and distinct tails, over triples."""
@@ -81,27 +84,43 @@ def combine(*terms: tuple[float, DataFrame]) -> DataFrame:
     return out.groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
-def largest_eigenvalue(a: DataFrame, rounds: int = 30) -> float:
-    """By power iteration from a vector of ones."""
-    from tessera.functions.tables import cut
-
-    x = cut(a.select("i").distinct().withColumn("x", F.lit(1.0)))
-    value = 0.0
+def largest_eigenvalue(a: DataFrame, rounds: int = 200, tolerance: float = 1e-8) -> float:
+    """The eigenvalue of greatest magnitude of a symmetric matrix (i, j, w); 0 for an empty one. ValueError if it isn't found in so many rounds.
+
+    Lanczos' recurrence: a round is a product, whose vector is written, and two sums; of the matrix only the
+    small tridiagonal one of these sums is on the driver. It ends when the residual, which the last
+    component of that matrix's eigenvector gives, is within the tolerance."""
+    start = a.select("i").unionByName(a.select(F.col("j").alias("i"))).distinct()
+    drawn = start.select("i", (F.pmod(F.xxhash64("i"), F.lit(2**31)) / F.lit(2.0**31) + 0.5).alias("v"))
+    n = drawn.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
+    if not n:
+        return 0.0
+    scratch = Scratch()
+    step = scratch.cut(drawn.select("i", (F.col("v") / n).alias("v"), F.lit(0.0).alias("last")))
+    diagonal, beside = [], []
     for _ in range(rounds):
-        y = a.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        y = cut(y)
-        top = y.agg(F.max(F.abs("x"))).first()[0] or 1.0
-        x, before, value = y.select("i", (F.col("x") / top).alias("x")), value, float(top)
-        if abs(value - before) < 1e-10:
-            break
-    return value
+        product = a.join(step.select(F.col("i").alias("j"), "v"), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("v")).alias("u"))
+        beta = beside[-1] if beside else 0.0
+        both = scratch.cut(step.join(product, "i", "left").select("i", "v", (F.coalesce("u", F.lit(0.0)) - beta * F.col("last")).alias("u")))
+        scratch.drop(step)
+        alpha = both.agg(F.sum(F.col("u") * F.col("v"))).first()[0]
+        rest = both.select("i", (F.col("u") - alpha * F.col("v")).alias("r"), F.col("v").alias("last"))
+        diagonal.append(alpha)
+        beside.append(float(rest.agg(F.sqrt(F.sum(F.col("r") * F.col("r")))).first()[0]))
+        values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside[:-1], 1) + np.diag(beside[:-1], -1))
+        top = int(np.argmax(np.abs(values)))
+        if beside[-1] * abs(vectors[-1, top]) <= tolerance * max(1.0, abs(values[top])):
+            scratch.drop()
+            return float(values[top])
+        step = scratch.cut(rest.select("i", (F.col("r") / beside[-1]).alias("v"), "last"))
+        scratch.drop(both)
+    scratch.drop()
+    raise ValueError(f"no eigenvalue within {tolerance} after {rounds} rounds")
 
 
 def chebyshev(adj: DataFrame, ents: DataFrame, order: int) -> list[DataFrame]:
     """T_0 to T_order of the scaled Laplacian 2 (I - A_norm) / lambda_max - I."""
     eye = ents.select(F.col("ent").alias("i"), F.col("ent").alias("j"), F.lit(1.0).alias("w"))
-    from tessera.functions.tables import cut
-
     laplacian = cut(combine((1.0, eye), (-1.0, symmetric_norm(adj))))
     scaled = cut(combine((2.0 / largest_eigenvalue(laplacian), laplacian), (-1.0, eye)))
     out = [eye, scaled]

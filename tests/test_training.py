@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import encoder, similarity
+from tessera.operators import adjacency, encoder, similarity
 
 
 def table(spark, m):
@@ -76,3 +76,24 @@ def test_no_rows(spark):
     some = spark.createDataFrame([(1, [1.0])], "id long, vec array<double>")
     assert similarity.best(none, some, 2).count() == 0 and similarity.mutual_nearest(some, none, 2).count() == 0
     assert similarity.gold_ranks(some, none, some.select(F.col("id").alias("e1"), F.col("id").alias("e2"))).first()["rank"] is None
+
+
+@pytest.mark.parametrize("kind", ["dense", "path", "negative", "two blocks"])
+def test_largest_eigenvalue(spark, kind):
+    """Against numpy; a vector of ones is an eigenvector of neither."""
+    rng = np.random.default_rng(3)
+    n = 14
+    if kind == "path":
+        m = np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    else:
+        m = rng.normal(size=(n, n))
+        m = m + m.T - (12 * np.eye(n) if kind == "negative" else 0)
+        if kind == "two blocks":
+            m[:7, 7:], m[7:, :7] = 0, 0
+    a = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]], "i long, j long, w double")
+    values = np.linalg.eigvalsh(m)
+    assert abs(adjacency.largest_eigenvalue(a)) == pytest.approx(np.abs(values).max(), abs=1e-6)
+    if kind == "dense":
+        with pytest.raises(ValueError, match="rounds"):
+            adjacency.largest_eigenvalue(a, rounds=2)
+        assert adjacency.largest_eigenvalue(a.limit(0)) == 0.0
