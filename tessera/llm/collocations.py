@@ -120,9 +120,9 @@ def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     return found.select(chunk.alias("chunk"), place.alias("place"), "id", *(F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in ("f", *key)))
 
 
-def _named(found: DataFrame) -> DataFrame:
-    """(chunk, named): the places of each chunk that have a name, with it."""
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("named"))
+def _named(found: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, named): the places of each chunk that have a name, with it, partitioned as the texts' buckets are."""
+    return found.select("chunk", "place", "id").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("named"))
 
 
 def replaced(texts: DataFrame, named: DataFrame) -> DataFrame:
@@ -175,7 +175,8 @@ def phrases(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4,
     A phrase goes if a longer one that contains it has `percent` of its count or more. Only the longer by
     one word need be asked: between a phrase and a still longer one lies one of these, as frequent at least."""
     scratch = Scratch()
-    texts = scratch.cut(chunks(docs, chunk))
+    buckets = 2 * (docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 2  # two for each partition of the documents
+    texts = scratch.bucketed(chunks(docs, chunk), "chunk", buckets)
     own = texts.select(F.explode("vocabulary").alias("v")).select("v.lang", F.aggregate("v.counts", F.lit(0).cast("long"), lambda n, x: n + x).alias("n"))
     total = scratch.cut(own.groupBy("lang").agg(F.sum("n").alias("n")))
     names = scratch.cut(_frequent(_words(texts), ["lang", "word"], least))
@@ -183,7 +184,7 @@ def phrases(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4,
     none = F.array().cast("array<long>")
     levels = [scratch.cut(first.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")))]
     for _ in range(2, longest + 1):
-        texts = scratch.cut(replaced(texts, _named(names)))
+        texts = scratch.bucketed(replaced(texts, _named(names, buckets)), "chunk", buckets)
         scratch.drop(keep=(total, texts, *levels))
         names = scratch.cut(_frequent(_pairs(texts), ["left", "right"], least))
         levels.append(scratch.cut(_extended(names.where("f IS NOT NULL"), levels[-1])))

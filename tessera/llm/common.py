@@ -27,10 +27,23 @@ def cut(df: DataFrame, rows: int = 0) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """cut() with the rows of a key in one bucket: joined with rows that are partitioned alike, the table isn't shuffled."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._shared_path, out._named = path, name
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
+    """Delete a table that cut() or bucketed() wrote, once nothing reads it any more."""
     path = df._shared_path
     spark = df.sparkSession
+    if name := getattr(df, "_named", None):
+        spark.sql(f"DROP TABLE {name}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -46,6 +59,11 @@ class Scratch:
         self.tables.append(cut(df, rows))
         return self.tables[-1]
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """bucketed(), noted for deletion."""
+        self.tables.append(bucketed(df, key, buckets))
+        return self.tables[-1]
+
     def drop(self, *, keep: tuple[DataFrame, ...] = ()) -> None:
         """Delete the tables noted so far; those in keep stay."""
         for t in self.tables:
