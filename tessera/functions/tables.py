@@ -80,6 +80,22 @@ def dense_ids(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mono", "_part", "_before")
 
 
+def ranks_within(df: DataFrame, within: list[str], by: list[str], name: str) -> DataFrame:
+    """df with 0-based ranks in the order of `by` inside each group of `within`; both together must be distinct.
+
+    Rows are sorted in range partitions by group and order. A row's rank is its place after the group's
+    first row in its partition, and the group's rows in partitions before: a group of any size is spread
+    over as many partitions as it fills, and none has a task of its own.
+    """
+    group = F.struct(*[F.col(c) for c in within])  # null groups are equal as structs
+    keys = [F.col(c) for c in within] + [c if not isinstance(c, str) else F.col(c) for c in by]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mono", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_part": F.shiftright("_mono", 33), "_group": group})
+    runs = placed.groupBy("_part", "_group").agg(F.min("_mono").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_group").orderBy("_part")) - F.col("_n")  # a group has a row for each partition
+    return placed.join(runs.withColumn("_before", earlier), ["_part", "_group"]).withColumn(name, F.col("_before") + F.col("_mono") - F.col("_first")).drop("_mono", "_part", "_group", "_first", "_before", "_n")
+
+
 def hash_order(key) -> list:
     """Sort columns of a reproducible random order: the md5 of the key, then the key."""
     return [F.md5(F.col(key).cast("string")), F.col(key)]

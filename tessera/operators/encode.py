@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import dense_ids
+from tessera.functions.tables import dense_ids, ranks_within
 
 
 def entities(triples: DataFrame, *links: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def split(pairs: DataFrame, key: str, percent: float, names: DataFrame | None =
 
 def local_reindex(members: DataFrame) -> DataFrame:
     """members (part_id, ent) with 0-based ids inside each part, in order of ent."""
-    return members.distinct().withColumn("local_id", (F.row_number().over(Window.partitionBy("part_id").orderBy("ent")) - 1).cast("long"))
+    return ranks_within(members.distinct(), ["part_id"], ["ent"], "local_id")
 
 
 def local_triples(triples: DataFrame, local: DataFrame) -> DataFrame:

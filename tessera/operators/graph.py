@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import cut
+from tessera.functions.tables import cut, ranks_within
+
+#: Values of a segment of a long list.
+SEGMENT = 10_000
 
 
 def undirected(triples: DataFrame) -> DataFrame:
@@ -106,12 +109,28 @@ def linking_entities(edges: DataFrame, anchors_: DataFrame, unmatched: DataFrame
     return out.groupBy("ent").agg(F.min("step").alias("step"))
 
 
-def adjacency_lists(triples: DataFrame, ents: DataFrame) -> DataFrame:
-    """(ent, neighbours): the set of neighbours of every entity; empty for isolated ones."""
-    near = undirected(triples).groupBy(F.col("a").alias("ent")).agg(F.sort_array(F.collect_set("b")).alias("neighbours"))
-    return ents.join(near, "ent", "left").select("ent", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)).alias("neighbours"))
+def segments(rows: DataFrame, key: list[str], value: str, name: str, longest: int = SEGMENT) -> DataFrame:
+    """(key..., segment, name): the distinct values of each key in their order, in arrays of at most `longest`, numbered from 0.
+
+    However many values a key has, no row or task holds more than one segment of them."""
+    ranked = ranks_within(rows.select(*key, value).distinct(), key, [value], "_at")
+    own = ranked.withColumn("segment", F.floor(F.col("_at") / longest).cast("long"))
+    return own.groupBy(*key, "segment").agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
+def of_segments(lists: DataFrame, name: str, value: str) -> DataFrame:
+    """The rows that segments() were made of: each value beside its key."""
+    return lists.withColumn(value, F.explode(name)).drop("segment", name)
+
+
+def adjacency_segments(triples: DataFrame, ents: DataFrame, longest: int = SEGMENT) -> DataFrame:
+    """(ent, segment, neighbours): the neighbours of every entity in segments; an isolated one has one, which is empty."""
+    near = segments(undirected(triples), ["a"], "b", "neighbours", longest).withColumnRenamed("a", "ent")
+    none = F.array().cast(near.schema["neighbours"].dataType)
+    return ents.select("ent").distinct().join(near, "ent", "left").select("ent", F.coalesce("segment", F.lit(0)).alias("segment"), F.coalesce("neighbours", none).alias("neighbours"))
 
 
-def head_tail_sets(triples: DataFrame) -> DataFrame:
-    """(r, heads, tails) of each relation."""
-    return triples.groupBy("r").agg(F.sort_array(F.collect_set("h")).alias("heads"), F.sort_array(F.collect_set("t")).alias("tails"))
+def head_tail_segments(triples: DataFrame, longest: int = SEGMENT) -> DataFrame:
+    """(r, side, segment, ents): the heads and the tails of each relation in segments."""
+    ends = F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("h").alias("ent")), F.struct(F.lit("tail").alias("side"), F.col("t").alias("ent"))))
+    return segments(triples.select("r", ends.alias("e")).select("r", "e.*"), ["r", "side"], "ent", "ents", longest)

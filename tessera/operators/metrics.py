@@ -72,6 +72,7 @@ def latest(features: DataFrame, key: list[str], order: str, value: str) -> DataF
 
 def min_max(features: DataFrame, by: list[str], value: str) -> DataFrame:
     """value scaled to 0..1 within each group; a constant group becomes 0."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return features.withColumn(value, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0))
+    group = F.struct(*[F.col(c) for c in by])  # null groups are equal as structs
+    bounds = features.groupBy(group.alias("_group")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    scaled = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return features.withColumn("_group", group).join(bounds, "_group").withColumn(value, scaled).select(*features.columns)

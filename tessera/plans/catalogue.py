@@ -469,13 +469,26 @@ STEPS["goal"] = "SELECT uri ent FROM ents1 WHERE uri LIKE 'order:%'"
 @query("SELECT uri ent, count(b) neighbours FROM ents1 LEFT JOIN und1 ON a = uri GROUP BY uri")
 def adjacency_sizes(w: World) -> DataFrame:
     """Sizes of the adjacency lists."""
-    return graph.adjacency_lists(w.kg1, w.nodes1).select("ent", F.size("neighbours").cast("long").alias("neighbours"))
+    return graph.adjacency_segments(w.kg1, w.nodes1).groupBy("ent").agg(F.sum(F.size("neighbours")).alias("neighbours"))
 
 
 @query("SELECT r, count(DISTINCT h) heads, count(DISTINCT t) tails FROM kg2 GROUP BY r")
 def head_tail_sizes(w: World) -> DataFrame:
     """Sizes of the relations' head and tail sets."""
-    return graph.head_tail_sets(w.kg2).select("r", F.size("heads").cast("long").alias("heads"), F.size("tails").cast("long").alias("tails"))
+    size = lambda side: F.sum(F.when(F.col("side") == side, F.size("ents")).otherwise(0))
+    return graph.head_tail_segments(w.kg2).groupBy("r").agg(size("head").alias("heads"), size("tail").alias("tails"))
+
+
+@query("SELECT uri ent, coalesce((k - 1) // 8, 0) segment, coalesce(string_agg(b, ' ' ORDER BY b), '') neighbours FROM ents1 LEFT JOIN (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) k FROM und1) ON a = uri GROUP BY ALL")
+def adjacency_segments(w: World) -> DataFrame:
+    """The adjacency lists in segments of eight, with their contents."""
+    return graph.adjacency_segments(w.kg1, w.nodes1, 8).select("ent", "segment", F.array_join("neighbours", " ").alias("neighbours"))
+
+
+@query("SELECT r, side, (k - 1) // 100 segment, string_agg(ent, ' ' ORDER BY ent) ents FROM (SELECT *, row_number() OVER (PARTITION BY r, side ORDER BY ent) k FROM (SELECT r, 'head' side, h ent FROM kg2 UNION SELECT r, 'tail', t FROM kg2)) GROUP BY ALL")
+def head_tail_segments(w: World) -> DataFrame:
+    """The relations' heads and tails in segments of a hundred, with their contents."""
+    return graph.head_tail_segments(w.kg2, 100).select("r", "side", "segment", F.array_join("ents", " ").alias("ents"))
 
 
 @query("SELECT part_id, ent, CAST(max(hop) OVER (PARTITION BY part_id) - hop AS BIGINT) weight FROM levels")
