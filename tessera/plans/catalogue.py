@@ -399,7 +399,10 @@ def subtask_size(w: World) -> DataFrame:
     return w.spark.createDataFrame([encode.subtask_size(1.0, w.ents1.count(), w.ents2.count(), 4, 0.5)], "total long, kg1_size long, kg2_size long")
 
 
-@query("SELECT uri ent, least((row_number() OVER (ORDER BY md5(uri), uri) - 1) // (count(*) OVER () // 5), 4) part_id FROM ents1")
+STEPS["chunked"] = "SELECT uri ent, least((row_number() OVER (ORDER BY md5(uri), uri) - 1) // (count(*) OVER () // 5), 4) part_id FROM ents1"
+
+
+@query("SELECT ent, part_id FROM chunked")
 def hash_partition(w: World) -> DataFrame:
     """Five equal chunks in hash order."""
     return partition.hash_chunks(w.nodes1, 5)
@@ -946,6 +949,18 @@ def balanced_lp_partition(w: World) -> DataFrame:
     return partition.balanced(w.und1, w.nodes1, PARTS)
 
 
+@query()
+def multilevel_partition(w: World) -> DataFrame:
+    """A partition by contraction along heavy edges and refinement on the way back."""
+    return partition.multilevel(w.und1, w.nodes1, PARTS)
+
+
+@query("SELECT count(*) cut FROM und1 JOIN chunked x ON a = x.ent JOIN chunked y ON b = y.ent WHERE a < b AND x.part_id <> y.part_id")
+def partition_cut(w: World) -> DataFrame:
+    """How many edges the chunks in hash order cut."""
+    return partition.cut_edges(w.und1, partition.hash_chunks(w.nodes1, 5))
+
+
 @query()
 def alignment_loop(w: World) -> DataFrame:
     """Seeds and coverage of each iteration of a divided run."""

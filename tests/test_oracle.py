@@ -10,7 +10,7 @@ from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SOME = "kg_stats encode_triples unify_ids split_train_test test_valid_invalid local_triples hash_partition induced_by_part hop_levels linking_entities counterpart_full benefit_joint g1_context_topk g2_context norm_adj row_norm_adj csls_topk l1_topk mutual_nn rank_metrics_both_dirs pair_bonus_metrics sim_features runtime_rollup seed_merge_first_wins subtask_pairs gcn_layer attention_layer negative_samples cross_entropy candidate_rank target_candidates rank_fusion_reranked weighted_concat_hits gcn_two_layers gcn_packed_layers dense_layer g2_connectors cosine_topk csls_row_thr knn_excl_self l2_topk local_reindex minmax_feature adjacency_sizes head_tail_sizes adjacency_segments head_tail_segments".split()
+SOME = "kg_stats encode_triples unify_ids split_train_test test_valid_invalid local_triples hash_partition induced_by_part hop_levels linking_entities counterpart_full benefit_joint g1_context_topk g2_context norm_adj row_norm_adj csls_topk l1_topk mutual_nn rank_metrics_both_dirs pair_bonus_metrics sim_features runtime_rollup seed_merge_first_wins subtask_pairs gcn_layer attention_layer negative_samples cross_entropy candidate_rank target_candidates rank_fusion_reranked weighted_concat_hits gcn_two_layers gcn_packed_layers dense_layer g2_connectors cosine_topk csls_row_thr knn_excl_self l2_topk local_reindex minmax_feature adjacency_sizes head_tail_sizes adjacency_segments head_tail_segments partition_cut".split()
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_listed():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"balanced_lp_partition", "alignment_loop", "chebyshev_basis", "attention_training"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"balanced_lp_partition", "alignment_loop", "chebyshev_basis", "attention_training", "multilevel_partition"}
 
 
 def test_entry(spark):
