@@ -259,7 +259,7 @@ def _sorted_shards(memory: Memory) -> Callable:
 
         def found() -> pa.RecordBatch:
             kept_ = trimmed(held)
-            return batch(_MARK, list(zip(*marked(kept_, memory))) if kept_ else [[], [], []])
+            return batch(_MARK, list(zip(*(marked(kept_, memory) if kept_ else []))) or [[], [], []])
 
         for b in small_batches(batches, 4096):
             for row in zip(*(b.column(k).to_pylist() for k in range(5))):

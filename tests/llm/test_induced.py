@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import induced, substrings
@@ -63,3 +64,14 @@ def test_one_character(spark):
     rows = [(1, "z" * 1_000_000), (2, "z" * 500), (3, "q" + "z" * 99)]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (999_999, 1), 2: (500, 1), 3: (0, 0)} and time.time() - start < 90
+
+
+def test_a_shard_without_equal_windows():
+    """Two segments agree in the gram and the bytes after it, in no whole window: the shard has no marks, which is a batch of no rows."""
+    middle = bytes(range(60, 60 + substrings.GRAM + substrings.SIDE))
+    raws = [bytes([side]) * 38 + middle + bytes([side]) * 5 for side in (1, 2)]
+    m = int(substrings.grams(np.frombuffer(middle, np.uint8)).view(np.int64)[0])
+    rows = [(m, doc, 0, len(raw) - substrings.WINDOW + 1, raw) for doc, raw in enumerate(raws)]
+    assert substrings.trimmed(rows)
+    found = list(substrings._sorted_shards(substrings.Memory())(iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), substrings._SEGMENT.types)], schema=substrings._SEGMENT)])))
+    assert sum(b.num_rows for b in found) == 0
