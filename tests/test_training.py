@@ -97,3 +97,19 @@ def test_largest_eigenvalue(spark, kind):
         with pytest.raises(ValueError, match="rounds"):
             adjacency.largest_eigenvalue(a, rounds=2)
         assert adjacency.largest_eigenvalue(a.limit(0)) == 0.0
+
+
+@pytest.mark.parametrize("metric", ["dot", "l1", "l2"])
+def test_tiles(metric, monkeypatch):
+    """The best of each row in tiles equal those over all at once, with ties; scores of a tile stay within its size."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(-1, 2, (20, 3)).astype(float), rng.integers(-1, 2, (50, 3)).astype(float)
+    monkeypatch.setattr(similarity, "STEP", 8)
+    plain, most = similarity._scores, []
+    monkeypatch.setattr(similarity, "_scores", lambda a, b, m: most.append(len(b)) or plain(a, b, m))
+    row, col, sim = similarity._near(x, y, 4, metric)
+    assert max(most) == 8
+    s = {"dot": x @ y.T, "l1": -np.abs(x[:, None] - y).sum(2), "l2": -np.sqrt(((x[:, None] - y) ** 2).sum(2))}[metric]
+    want = [(i, j) for i in range(20) for j in sorted(range(50), key=lambda j: (-round(s[i, j], 9), j))[:4]]
+    assert list(zip(row.tolist(), col.tolist())) == want
+    assert np.allclose(sim, s[row, col])
