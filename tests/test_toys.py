@@ -152,3 +152,13 @@ def test_chebyshev_basis_covers_the_graph(spark):
     w = catalogue.World(spark, "/root/testdata/sf0.001")
     found = catalogue.QUERIES["chebyshev_basis"](spark, w.sf_dir).select("i").distinct()
     assert w.nodes1.join(found, w.nodes1.ent == found.i, "left_anti").count() == 0
+
+
+def test_undirected_shuffles_an_edge_once(spark):
+    rows = [("a", "r", "b"), ("b", "s", "a"), ("a", "r", "a"), ("c", "r", "b"), ("c", "s", "b"), (None, "r", "c"), ("c", "r", None)]
+    found = graph.undirected(spark.createDataFrame(rows, "h string, r string, t string"))
+    want = {e for h, _, t in rows for e in ((h, t), (t, h))}
+    got = [(r.a, r.b) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # both directions are made after the shuffle
