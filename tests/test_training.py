@@ -113,3 +113,30 @@ def test_tiles(metric, monkeypatch):
     want = [(i, j) for i in range(20) for j in sorted(range(50), key=lambda j: (-round(s[i, j], 9), j))[:4]]
     assert list(zip(row.tolist(), col.tolist())) == want
     assert np.allclose(sim, s[row, col])
+
+
+@pytest.mark.parametrize("edges, want", [([(0, 1), (1, 2), (0, 3)], True), ([(0, 1), (1, 2), (2, 0), (4, 5)], True), ([(0, 1), (1, 2), (2, 0), (2, 3)], False)])
+def test_alternates(spark, edges, want):
+    make = lambda rows: spark.createDataFrame(rows, "i string, j string, w double")
+    both = [(f"n{a}", f"n{b}", 1.0) for a, b in edges] + [(f"n{b}", f"n{a}", 0.3) for a, b in edges]
+    assert adjacency.alternates(make(both)) is want
+    assert adjacency.alternates(make([*both, ("n5", "end", 1.0), ("n1", "end", 1.0)])) is False  # the row of end has no sum
+    assert adjacency.alternates(make(both), rounds=1) is None
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_chebyshev_of_unlike_weights(spark, closed):
+    """T_2 where the weights of both ways differ, so that A_norm isn't symmetric."""
+    edges = [(0, 1), (1, 2), (1, 3), (3, 4)] + [(0, 2)] * closed
+    a = np.zeros((5, 5))
+    for i, j in edges:
+        a[i, j], a[j, i] = 1.0, 0.3
+    ents = spark.createDataFrame([(k,) for k in range(5)], "ent long")
+    adj = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(5) for j in range(5) if a[i, j]], "i long, j long, w double")
+    s = a.sum(1) ** -0.5
+    laplacian = np.eye(5) - s[:, None] * a.T * s
+    scaled = 2 / np.abs(np.linalg.eigvals(laplacian)).max() * laplacian - np.eye(5)
+    got = np.zeros((5, 5))
+    for r in adjacency.chebyshev(adj, ents, 2)[2].collect():
+        got[r.i, r.j] = r.w
+    assert np.allclose(got, 2 * scaled @ scaled - np.eye(5), atol=1e-6)
