@@ -17,6 +17,17 @@ def hashed_vectors(ents: DataFrame, dims: int, key: str = "ent") -> DataFrame:
     return ents.select(F.col(key).alias("ent"), F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")).select(F.col("ent").alias(key), "dim").select(F.col(key).alias("ent"), F.col("dim").cast("long").alias("dim"), (h / F.lit(4294967295.0) * 2 - 1).alias("x"))
 
 
+def hashed_arrays(ents: DataFrame, dims: int, key: str = "ent") -> DataFrame:
+    """(ent, v): the values of hashed_vectors() as one array for each entity."""
+    h = lambda k: F.conv(F.substring(F.md5(F.concat_ws("#", F.col(key).cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("double")
+    return ents.select(F.col(key).alias("ent"), F.array(*[h(k) / F.lit(4294967295.0) * 2 - 1 for k in range(dims)]).alias("v"))
+
+
+def flat(vectors: DataFrame) -> DataFrame:
+    """(ent, dim, x) of rows (ent, v)."""
+    return vectors.select("ent", F.posexplode("v").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
+
+
 def start_vectors(ents: DataFrame, dims: int, kind: str = "uniform", scale: float = 1.0) -> DataFrame:
     """(ent, dim, x): start values of `dims` elements, reproducible from the entity. kind: zeros, ones, uniform (-scale..scale),
     glorot (uniform, bounded by sqrt(6 / (rows + dims))), or normal (rows of normal values cut at two deviations, at length 1)."""
@@ -53,6 +64,13 @@ def two_convolutions(adj: DataFrame, vectors: DataFrame) -> DataFrame:
     return convolution(adj, convolution(adj, vectors, True), False)
 
 
+def array_convolution(adj: DataFrame, vectors: DataFrame, dims: int, relu: bool) -> DataFrame:
+    """(ent, v): convolution() of arrays (ent, v) of `dims` elements: a node is one row in the join, the sort and the sum, not one for each element."""
+    own = vectors.select(F.col("ent").alias("j"), *[F.col("v")[k].alias(f"x{k}") for k in range(dims)])
+    sums = adj.join(own, "j").groupBy(F.col("i").alias("ent")).agg(*[F.sum(F.col("w") * F.col(f"x{k}")).alias(f"x{k}") for k in range(dims)])
+    return sums.select("ent", F.array(*[F.greatest(f"x{k}", F.lit(0.0)) if relu else F.col(f"x{k}") for k in range(dims)]).alias("v"))
+
+
 def unit(vectors: DataFrame, key: str = "ent") -> DataFrame:
     """Vectors at length 1; zero vectors stay."""
     n = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
@@ -82,6 +100,24 @@ def attention(triples: DataFrame, vectors: DataFrame, relation_vectors: DataFram
     return reflected.join(share, ["h", "r", "t"]).groupBy(F.col("h").alias("ent"), "dim").agg(F.sum(F.col("x") * F.col("share")).alias("x"))
 
 
+def array_attention(triples: DataFrame, vectors: DataFrame, relation_vectors: DataFrame, own: list[float], near: list[float], relation: list[float]) -> DataFrame:
+    """(ent, v): attention() of arrays (ent, v), with the kernel's three parts as lists: a triple is one row, and its head's rows meet once."""
+    dims = range(len(own))
+    along = lambda xs, ys: reduce(lambda a, b: a + b, [x * y for x, y in zip(xs, ys)])
+    numbers = lambda xs: [F.lit(float(x)) for x in xs]
+    named = lambda t, key, x: t.select(F.col("ent").alias(key), *[F.col("v")[k].alias(f"{x}{k}") for k in dims])
+    of = lambda x: [F.col(f"{x}{k}") for k in dims]
+    r = named(relation_vectors, "r", "r")
+    length = F.sqrt(along(of("r"), of("r")))
+    r = r.select("r", *[F.when(length > 0, c / length).otherwise(c).alias(f"r{k}") for k, c in zip(dims, of("r"))])
+    rows = triples.select("h", "r", "t").distinct().join(named(vectors, "t", "x"), "t").join(r, "r").withColumn("dot", along(of("x"), of("r")))
+    rows = rows.select("h", (along(of("r"), numbers(relation))).alias("far"), *[(x - 2 * F.col("dot") * u).alias(f"n{k}") for k, x, u in zip(dims, of("x"), of("r"))])
+    heads = named(vectors, "h", "x").select("h", along(of("x"), numbers(own)).alias("own"))
+    logit = rows.join(heads, "h").select("h", (along(of("n"), numbers(near)) + F.col("own") + F.col("far")).alias("z"), *of("n"))
+    e = logit.withColumn("e", F.exp(F.col("z") - F.max("z").over(Window.partitionBy("h"))))
+    return e.groupBy(F.col("h").alias("ent")).agg(F.array(*[F.sum(F.col("e") * n) / F.sum("e") for n in of("n")]).alias("v"))
+
+
 def encode(triples: DataFrame, vectors: DataFrame, relation_vectors: DataFrame, kernels: list[DataFrame]) -> DataFrame:
     """(ent, layer, dim, x): the start vectors and those of each attention layer, which together are the entity's encoding."""
     out = vectors.withColumn("layer", F.lit(0))

@@ -71,6 +71,23 @@ def test_blocks_ties_and_parts(spark, block):
         assert k == 1 + sum((far(j), j) < (far(g), g) for j in range(40))
 
 
+def test_arrays_equal_rows(spark):
+    """Layers over arrays give what those over rows give, and join, sort and sum a node as one row."""
+    names = spark.createDataFrame([(f"n{k}",) for k in range(7)], "ent string")
+    triples = spark.createDataFrame([("n0", "r", "n1"), ("n0", "s", "n2"), ("n0", "r", "n1"), ("n3", "s", "n0"), ("n3", "r", "n4"), ("n5", "s", "n6")], "h string, r string, t string")
+    rels = spark.createDataFrame([("r",), ("s",)], "ent string")
+    adj = adjacency.symmetric_norm(adjacency.weighted(triples), names)
+    rows, arrays = encoder.hashed_vectors(names, 3), encoder.hashed_arrays(names, 3)
+    kernel = spark.createDataFrame([(p, k, x * (k + 1)) for p, x in (("self", 0.3), ("near", 2.0), ("relation", 0.7)) for k in range(3)], "place string, dim long, k double")
+    part = lambda x: [x * (k + 1) for k in range(3)]
+    one = encoder.array_convolution(adj, arrays, 3, True)
+    attended = encoder.array_attention(triples, arrays, encoder.hashed_arrays(rels, 3), part(0.3), part(2.0), part(0.7))
+    for got, want in ((arrays, rows), (one, encoder.convolution(adj, rows, True)), (encoder.array_convolution(adj, one, 3, False), encoder.two_convolutions(adj, rows)), (attended, encoder.attention(triples, rows, encoder.hashed_vectors(rels, 3), kernel))):
+        found, known = ({(r.ent, r.dim): r.x for r in t.collect()} for t in (encoder.flat(got), want))
+        assert found == pytest.approx(known)
+    assert one.columns == ["ent", "v"] and one.count() == 7
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id long, vec array<double>")
     some = spark.createDataFrame([(1, [1.0])], "id long, vec array<double>")
