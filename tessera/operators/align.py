@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.tables import ranks_within
 from tessera.operators import evidence
 from tessera.operators.graph import anchor_hop, hop_levels, induced_by_part, undirected
 
@@ -16,12 +17,14 @@ def distance_weights(levels: DataFrame) -> DataFrame:
 
 
 def top_per_part(scored: DataFrame, score: str, size: DataFrame | int) -> DataFrame:
-    """The best rows of each part by score, ties (at 9 decimals) to the lower entity. size: a number, or (part_id, size)."""
-    rank = F.row_number().over(Window.partitionBy("part_id").orderBy(F.desc(F.round(score, 9)), "ent"))
-    ranked = scored.withColumn("rank", rank.cast("long"))
+    """The best rows of each part by score, ties (at 9 decimals) to the lower entity. size: a number, or (part_id, size), which may
+    be nearly the part's rows: these are then ranked in range partitions, not a part in a task. (part_id, ent) is distinct."""
+    order = [F.desc(F.round(score, 9)), F.col("ent")]
     if isinstance(size, int):
-        return ranked.where(F.col("rank") <= size)
-    return ranked.join(size, "part_id").where(F.col("rank") <= F.greatest("size", F.lit(0))).drop("size")
+        rank = F.row_number().over(Window.partitionBy("part_id").orderBy(*order))
+        return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size)
+    ranked = ranks_within(scored, ["part_id"], order, "rank").withColumn("rank", F.col("rank") + 1)
+    return ranked.select(*scored.columns, "rank").join(size, "part_id").where(F.col("rank") <= F.greatest("size", F.lit(0))).drop("size")
 
 
 def counterparts(edges: DataFrame, part_anchors: DataFrame, size: int, layers: int, features: DataFrame | None = None, alpha: float = 0.9, beta: float = 1.0) -> DataFrame:

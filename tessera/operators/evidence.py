@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tables import cut
 from tessera.functions.vectors import squash
+from tessera.operators.graph import both_ways, ordered_ends
 
 EPS = 1e-8
 
 
 def evidence_edges(triples: DataFrame, ents: DataFrame) -> DataFrame:
     """(src, dst, mult): both directions of every triple and a loop for every entity (ent), with multiplicities."""
-    pairs = triples.select(F.explode(F.array(F.struct(F.col("h").alias("src"), F.col("t").alias("dst")), F.struct(F.col("t").alias("src"), F.col("h").alias("dst")))).alias("e")).select("e.*")
-    return pairs.unionByName(ents.select(F.col("ent").alias("src"), F.col("ent").alias("dst"))).groupBy("src", "dst").agg(F.count("*").cast("double").alias("mult"))
+    once = triples.select(*ordered_ends(), F.when(F.col("h").eqNullSafe(F.col("t")), 2.0).otherwise(1.0).alias("n"))
+    counted = once.unionByName(ents.select(F.col("ent").alias("a"), F.col("ent").alias("b"), F.lit(1.0).alias("n"))).groupBy("a", "b").agg(F.sum("n").alias("mult"))  # one row an edge is shuffled
+    return counted.select(both_ways("src", "dst"), "mult").select("e.*", "mult")
 
 
 def propagate(x: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,7 +86,10 @@ def benefits(anchors: DataFrame, unmatched: DataFrame, candidates: DataFrame, ed
     change = squash(F.col("x") / (F.col("x") + EPS), gamma) - squash((F.col("x") - F.col("d")) / (F.col("x") + EPS), gamma)
     d = d.join(n1, d.v == n1.ent).select("c", "v", change.alias("d")).where("d <> 0")
     two = _states(weights(n1, gamma), edges, layers)
-    n2 = two[-1]
-    d = _deltas(d, two, edges, c)
-    wanted = unmatched.select("part_id", F.col("ent").alias("v")).distinct()
-    return d.join(n2, d.v == n2.ent).select("c", "v", change.alias("d")).where("d <> 0").join(wanted, "v").groupBy(F.col("c").alias("ent"), "part_id").agg(F.sum("d").alias("benefit"))
+    d = _deltas(d, two[:-1], edges, c)
+    # The last layer goes to unmatched entities only, whose evidence and parts come along with its edges: its sums needn't be stored or joined again.
+    goal = cut(unmatched.select("part_id", F.col("ent").alias("dst")).distinct().join(two[-1].withColumnRenamed("ent", "dst"), "dst").select("part_id", "dst", "x"))
+    last = edges.join(goal, "dst").select("part_id", "src", "dst", "mult", "x")
+    reached = d.join(last, d.v == last.src).where("c <> dst").groupBy("c", "dst", "part_id").agg(F.sum(F.col("mult") * F.col("d")).alias("d"), F.max("x").alias("x"))
+    own = c.join(goal, c.c == goal.dst).select("c", "dst", "part_id", F.col("x").alias("d"), "x")
+    return reached.unionByName(own).select("c", "part_id", change.alias("d")).where("d <> 0").groupBy(F.col("c").alias("ent"), "part_id").agg(F.sum("d").alias("benefit"))

@@ -11,12 +11,22 @@ from tessera.functions.tables import cut, ranks_within
 SEGMENT = 10_000
 
 
+def ordered_ends() -> list:
+    """Columns a and b of triples: the ends in their order, a null first."""
+    forth = F.coalesce(F.col("h") <= F.col("t"), F.col("h").isNull())
+    return [F.when(forth, F.col("h")).otherwise(F.col("t")).alias("a"), F.when(forth, F.col("t")).otherwise(F.col("h")).alias("b")]
+
+
+def both_ways(one: str, two: str):
+    """Column e with a row for each direction of an edge (a, b): structs (one, two); a loop has one."""
+    forth, back = F.struct(F.col("a").alias(one), F.col("b").alias(two)), F.struct(F.col("b").alias(one), F.col("a").alias(two))
+    return F.explode(F.when(F.col("a").eqNullSafe(F.col("b")), F.array(forth)).otherwise(F.array(forth, back))).alias("e")
+
+
 def undirected(triples: DataFrame) -> DataFrame:
     """Distinct edges (a, b) in both directions, without relations."""
-    forth = F.coalesce(F.col("h") <= F.col("t"), F.col("h").isNull())
-    once = triples.select(F.when(forth, F.col("h")).otherwise(F.col("t")).alias("a"), F.when(forth, F.col("t")).otherwise(F.col("h")).alias("b")).distinct()  # one row an edge is shuffled
-    one, two = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
-    return once.select(F.explode(F.when(F.col("a").eqNullSafe(F.col("b")), F.array(one)).otherwise(F.array(one, two))).alias("e")).select("e.*")
+    once = triples.select(*ordered_ends()).distinct()  # one row an edge is shuffled
+    return once.select(both_ways("a", "b")).select("e.*")
 
 
 def induced(triples: DataFrame, ents: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def kg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared(one: DataFrame, two: DataFrame) -> DataFrame:
     """(uri): entities of both graphs, which are each other's counterparts."""
-    ends = lambda g: g.select(F.explode(F.array("h", "t")).alias("uri")).distinct()
-    return ends(one).join(ends(two), "uri", "left_semi")
+    ends = [g.select(F.col(c).alias("uri"), F.lit(k).alias("side")) for k, g in ((1, one), (2, two)) for c in ("h", "t")]
+    return reduce(DataFrame.unionByName, ends).groupBy("uri").agg(F.bit_or("side").alias("side")).where("side = 3 AND uri IS NOT NULL").select("uri")
 
 
 # The same graphs in SQL, for oracles.

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from tessera.functions.tables import ranks_within
-from tessera.operators import graph, metrics
+from tessera.operators import align, graph, metrics
 
 
 @pytest.mark.parametrize("tasks", [1, 7])
@@ -49,3 +49,14 @@ def test_isolated_and_repeated_edges(spark):
 def test_scaled_within_null_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0), (1, None)], "p int, x double")
     assert sorted(metrics.min_max(df, ["p"], "x").collect(), key=str) == sorted([(None, 0.0), (None, 1.0), (1, 0.0), (1, 0.0)], key=str)
+
+
+def test_context_of_any_size_is_ranked_in_range_partitions(spark):
+    rows = [(0, f"e{k:03}", float(k % 7)) for k in range(90)] + [(1, f"e{k:03}", 1.0) for k in range(3)]
+    benefit = spark.createDataFrame(rows, "part_id long, ent string, benefit double")
+    unmatched = spark.createDataFrame([(0, "e000"), (0, "x"), (1, "y")], "part_id long, ent string")
+    found = align.first_context(benefit, unmatched, 60)
+    assert "Window [row_number" not in found._jdf.queryExecution().toString()
+    own = sorted((-b, e) for p, e, b in rows if p == 0 and e != "e000")
+    want = [(0, e, -b, k + 1) for k, (b, e) in enumerate(own[:58])] + [(1, f"e{k:03}", 1.0, k + 1) for k in range(3)]
+    assert sorted((r.part_id, r.ent, r.benefit, r["rank"]) for r in found.collect()) == sorted(want)

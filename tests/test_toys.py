@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tessera.operators import adjacency, align, encode, evidence, graph, metrics, partition, similarity
-from tessera.plans import loop
+from tessera.plans import catalogue, loop
+from tessera.sources import demo
 
 TOY = [(0, "r0", 1), (1, "r0", 2), (1, "r1", 2), (2, "r0", 3), (4, "r0", 1)]
 
@@ -162,3 +163,22 @@ def test_undirected_shuffles_an_edge_once(spark):
     assert len(got) == len(want) and set(got) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # both directions are made after the shuffle
+
+
+def test_evidence_edges_are_shuffled_once(spark):
+    """An edge, its way back and its copies are one row of the shuffle; a loop counts once for each end, and once more as a node."""
+    triples = spark.createDataFrame([("b", "r", "a"), ("a", "s", "b"), ("a", "r", "b"), ("c", "r", "c"), (None, "r", "a")], "h string, r string, t string")
+    edges = evidence.evidence_edges(triples, spark.createDataFrame([(e,) for e in "abc"], "ent string"))
+    want = {("a", "a"): 1, ("a", "b"): 3, ("b", "a"): 3, ("b", "b"): 1, ("c", "c"): 3, (None, "a"): 1, ("a", None): 1}
+    assert {(r.src, r.dst): r.mult for r in edges.collect()} == want
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate ") < plan.index("Aggregate ")
+
+
+def test_shared_entities_are_found_once_and_stored(spark, tmp_path):
+    one = spark.createDataFrame([("a", "r", "b"), ("b", "r", None)], "h string, r string, t string")
+    two = spark.createDataFrame([("b", "r", "c"), (None, "r", "b")], "h string, r string, t string")
+    assert [r.uri for r in demo.shared(one, two).collect()] == ["b"]
+    world = catalogue.World(spark, "/root/testdata/sf0.001")
+    for part in (world.anchor_nodes, world.unmatched, world.candidates):
+        assert "lineitem" not in "".join(part.inputFiles())
