@@ -30,8 +30,12 @@ def undirected(triples: DataFrame) -> DataFrame:
 
 
 def induced(triples: DataFrame, ents: DataFrame) -> DataFrame:
-    """Triples with both ends among ents (ent)."""
-    return triples.join(ents.select(F.col("ent").alias("h")), "h", "left_semi").join(ents.select(F.col("ent").alias("t")), "t", "left_semi").select("h", "r", "t")
+    """Triples with both ends among ents (ent).
+
+    The entities of a partition are held as a hash table (one row an entity, so no hub makes it larger), and the triples,
+    of which there are many more, aren't sorted."""
+    among = lambda end: ents.select(F.col("ent").alias(end)).hint("shuffle_hash")
+    return triples.join(among("h"), "h", "left_semi").join(among("t"), "t", "left_semi").select("h", "r", "t")
 
 
 def induced_by_part(triples: DataFrame, members: DataFrame) -> DataFrame:

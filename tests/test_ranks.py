@@ -60,3 +60,11 @@ def test_context_of_any_size_is_ranked_in_range_partitions(spark):
     own = sorted((-b, e) for p, e, b in rows if p == 0 and e != "e000")
     want = [(0, e, -b, k + 1) for k, (b, e) in enumerate(own[:58])] + [(1, f"e{k:03}", 1.0, k + 1) for k in range(3)]
     assert sorted((r.part_id, r.ent, r.benefit, r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_induced_triples_are_not_sorted(spark):
+    triples = spark.createDataFrame([("a", "r", "b"), ("a", "r", "b"), ("a", "s", "c"), ("a", "r", None), ("b", "r", "b")], "h string, r string, t string")
+    found = graph.induced(triples, spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "ent string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "r", "b"), ("a", "r", "b"), ("b", "r", "b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
