@@ -8,7 +8,8 @@ longer phrases that contain a phrase.
 
 The text lies in chunks of a bounded number of words, as places in the chunk's own list of different
 words or pairs; a chunk sends each entry of its list once, so a word of every document has no more rows
-than there are chunks. Nothing else is gathered anywhere but a chunk's names.
+than there are chunks. Pairs are dealt into shards and sent packed, as columns of a chunk and shard, which
+take about a third of rows' bytes; all rows of a pair meet in its shard. Nothing else is gathered anywhere but a chunk's names.
 
 Defined cases: a null text is empty, a null language is `und`; null ids and repeated rows each are a
 document; extra columns are ignored; an empty table gives an empty result.
@@ -37,6 +38,21 @@ _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 3
 _VOCABULARY = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length in few bytes: bytes of one significance lie together, so those that hardly differ cost next to nothing."""
+    return pa.compress(b"".join([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, types: str) -> list[np.ndarray]:
+    """The n rows of _packed() as columns of these types."""
+    widths = [np.dtype(t).itemsize for t in types]
+    raw, at, out = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd"), np.uint8), 0, []
+    for t, width in zip(types, widths):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(t).ravel())
+        at += n * width
+    return out
+
+
 class _Chunk:
     """Documents as places in one list of words for each language; 0 ends a piece."""
 
@@ -53,8 +69,8 @@ class _Chunk:
         self.parts.append((lang, at))
         self.size += len(words)
 
-    def row(self) -> tuple[list[dict], bytes]:
-        """The words with their counts, and the places: -1 ends a piece."""
+    def row(self) -> tuple[list[dict], int, bytes]:
+        """The words with their counts, the number of places, and these, packed: -1 ends a piece."""
         first, bases, found = 0, {}, []
         for lang, known in self.known.items():
             bases[lang] = first
@@ -62,20 +78,20 @@ class _Chunk:
             found.append({"lang": lang, "first": first, "words": [w.decode() for w in list(known)[1:]], "counts": own})
             first += len(known) - 1
         places = [np.where(a > 0, a - 1 + bases[n], -1).astype("<i4") for n, a in self.parts]
-        return found, b"".join([p.tobytes() for p in places])
+        return found, self.size, _packed(np.concatenate(places))
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chunk, vocabulary, places): all texts, cut into pieces and words. A piece is never divided."""
-    schema = pa.schema([("chunk", pa.int64()), ("vocabulary", _VOCABULARY), ("places", pa.binary())])
+    """(chunk, vocabulary, n, places): all texts, cut into pieces and words, and the n places in packed form. A piece is never divided."""
+    schema = pa.schema([("chunk", pa.int64()), ("vocabulary", _VOCABULARY), ("n", pa.int64()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = TaskContext.get().partitionId() << CHUNK_BITS, _Chunk()
 
         def close() -> pa.RecordBatch:
             nonlocal at, held
-            vocabulary, places = held.row()
-            out = pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([vocabulary], _VOCABULARY), pa.array([places], pa.binary())], schema=schema)
+            columns = [at, *held.row()]
+            out = pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, schema.types)], schema=schema)
             at, held = at + 1, _Chunk()
             if at >> CHUNK_BITS != TaskContext.get().partitionId():
                 raise ValueError("a partition has too many chunks: read the documents in smaller ones")
@@ -94,7 +110,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         if held.size:
             yield close()
 
-    return map_batches(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), run, "chunk long, vocabulary array<struct<lang:string,first:int,words:array<string>,counts:array<bigint>>>, places binary")
+    return map_batches(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), run, "chunk long, vocabulary array<struct<lang:string,first:int,words:array<string>,counts:array<bigint>>>, n long, places binary")
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -104,11 +120,6 @@ def _words(texts: DataFrame) -> DataFrame:
     return each.select("chunk", (F.col("first") + F.col("at")).alias("place"), "lang", "word", F.get("counts", F.col("at")).alias("times"))
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """(chunk, place, left, right, times) of all chunks."""
-    return texts.select("chunk", F.posexplode(F.arrays_zip("left", "right", "times")).alias("place", "p")).select("chunk", "place", "p.*")
-
-
 def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     """(chunk, place, id) of rows whose key occurs `least` times or more in all; the row that gives the key its id has the key and its count f as well.
 
@@ -120,22 +131,35 @@ def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     return found.select(chunk.alias("chunk"), place.alias("place"), "id", *(F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in ("f", *key)))
 
 
-def _named(found: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, named): the places of each chunk that have a name, with it, partitioned as the texts' buckets are."""
-    return found.select("chunk", "place", "id").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("named"))
+#: Columns of packed pairs (left, right, place, times) and of packed names (place, id).
+_PAIR, _NAME = "qqii", "iq"
 
 
-def replaced(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(chunk, places, left, right, times): names in place of what they name, and the different adjacent pairs of names."""
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("left", longs), ("right", longs), ("times", longs)])
+def _shards(left: np.ndarray, right: np.ndarray, shards: int) -> np.ndarray:
+    """The shard in which all rows of a pair meet."""
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(shards)).astype(np.int32)
+
+
+def replaced(texts: DataFrame, named: DataFrame, shards: int) -> DataFrame:
+    """(chunk, n, places, pairs): names in place of what they name, and the different adjacent pairs of names, packed for each shard.
+
+    named (chunk, named): of the places of each chunk that have a name, with it, as structs (place, id) or packed ones (n, packed)."""
+    part = pa.list_(pa.struct([("shard", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())]))
+    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("pairs", part)])
+
+    def given(named: pa.StructArray) -> list[np.ndarray]:
+        if named.type.field(0).name == "place":
+            return [named.field(0).to_numpy(), named.field(1).to_numpy()]
+        parts = [_unpacked(data, n, _NAME) for n, data in zip(named.field(0).to_pylist(), named.field(1).to_pylist())]
+        return [np.concatenate(c) for c in zip(*parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                places = np.frombuffer(b.column(1)[k].as_buffer(), "<i4")
-                named = b.column(2)[k].values
-                at, ids = named.field(0).to_numpy(), named.field(1).to_numpy()
+                (places,) = _unpacked(b.column(2)[k].as_buffer(), b.column(1)[k].as_py(), "i")
+                at, ids = given(b.column(3)[k].values)
                 size = int(max(places.max(initial=-1), at.max(initial=-1))) + 2
                 known = np.full(size, -1, np.int64)  # the last is where -1 points
                 known[at] = ids
@@ -145,10 +169,52 @@ def replaced(texts: DataFrame, named: DataFrame) -> DataFrame:
                 pairs, own, times = np.unique(keys, return_inverse=True, return_counts=True)
                 new = np.full(len(places), -1, "<i4")
                 new[:-1][both] = own
-                lists = [pa.array([v], longs) for v in (known[pairs // size], known[pairs % size], times.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([new.tobytes()], pa.binary()), *lists], schema=schema)
-
-    return map_batches(texts.select("chunk", "places").join(named, "chunk"), run, "chunk long, places binary, left array<long>, right array<long>, times array<long>")
+                left, right = known[pairs // size], known[pairs % size]
+                shard = _shards(left, right, shards)
+                order = np.argsort(shard, kind="stable").astype(np.int32)
+                sent = []
+                for to in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+                    sent.append({"shard": int(shard[to[0]]), "n": len(to), "packed": _packed(left[to], right[to], to, times[to].astype(np.int32))})
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([_packed(new)], pa.binary()), pa.array([sent], part)], schema=schema)
+
+    return map_batches(texts.select("chunk", "n", "places").join(named, "chunk"), run, "chunk long, n long, places binary, pairs array<struct<shard:int,n:int,packed:binary>>")
+
+
+def _frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """Of the pairs of all chunks that occur `least` times or more in all: rows (id, left, right, f), one for each, and rows (chunk, n, packed) with their places in a chunk and ids.
+
+    The rows of a pair meet once, as those of a word do in _frequent(); a shard is a bounded part of all pairs."""
+    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("packed", pa.binary()), ("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        chunks, sizes = rows["chunk"].to_numpy(), rows["n"].to_numpy()
+        parts = [_unpacked(data, n, _PAIR) for n, data in zip(sizes.tolist(), rows["packed"].to_pylist())]
+        left, right, place, times = (np.concatenate(c) for c in zip(*parts))
+        at = (np.repeat(chunks, sizes) << PLACE_BITS) + place
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        starts = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+        f, ids = np.add.reduceat(times[order].astype(np.int64), starts), np.minimum.reduceat(at[order], starts)
+        often = f >= least
+        names = np.empty(len(order), np.int64)
+        names[order] = np.repeat(np.where(often, ids, -1), np.diff(starts, append=len(order)))
+        out, end = [], 0
+        for chunk, n in zip(chunks.tolist(), sizes.tolist()):
+            own = slice(end, end + n)
+            use = names[own] >= 0
+            end += n
+            if k := int(use.sum()):
+                out.append({"chunk": chunk, "n": k, "packed": _packed(place[own][use], names[own][use])})
+        found = pa.table([pa.nulls(int(often.sum()), t) for t in schema.types[:3]] + [pa.array(c) for c in (ids[often], left[starts][often], right[starts][often], f[often])], schema=schema)
+        return pa.concat_tables([pa.Table.from_pylist(out, schema=schema), found])
+
+    sent = texts.select("chunk", F.explode("pairs").alias("p")).select("chunk", "p.shard", "p.n", "p.packed")
+    return sent.groupBy("shard").applyInArrow(run, "chunk long, n int, packed binary, id long, left long, right long, f long")
+
+
+def _named(found: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+    """(chunk, named): the places of each chunk that have a name, with it, partitioned as the texts' buckets are."""
+    return found.select("chunk", *columns).repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias("named"))
 
 
 def _extended(pairs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -182,12 +248,14 @@ def phrases(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4,
     names = scratch.cut(_frequent(_words(texts), ["lang", "word"], least))
     first = names.where("f IS NOT NULL")
     none = F.array().cast("array<long>")
+    named = _named(names, ["place", "id"], buckets)
     levels = [scratch.cut(first.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails")))]
     for _ in range(2, longest + 1):
-        texts = scratch.bucketed(replaced(texts, _named(names, buckets)), "chunk", buckets)
+        texts = scratch.bucketed(replaced(texts, named, buckets), "chunk", buckets)
         scratch.drop(keep=(total, texts, *levels))
-        names = scratch.cut(_frequent(_pairs(texts), ["left", "right"], least))
-        levels.append(scratch.cut(_extended(names.where("f IS NOT NULL"), levels[-1])))
+        names = scratch.cut(_frequent_pairs(texts, least))
+        named = _named(names.where("chunk IS NOT NULL"), ["n", "packed"], buckets)
+        levels.append(scratch.cut(_extended(names.where("id IS NOT NULL"), levels[-1])))
     scratch.drop(keep=(total, *levels))
     found = []
     for words, own in zip(range(2, longest + 1), levels[1:]):

@@ -1,9 +1,10 @@
 """Phrases against a plain version and against SQL."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,24 @@ def test_phrases_against_plain(spark, size):
     assert want
 
 
+def test_pairs_are_sent_packed(spark):
+    """A pair of a chunk takes a few bytes on its way to its shard, all its rows meet there, and both ways give back what was packed."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 4000) % 500) for _ in range(12)]
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    cut = collocations.chunks(docs, 8000)
+    words = collocations._frequent(collocations._words(cut), ["lang", "word"], 3)
+    made = collocations.replaced(cut, collocations._named(words, ["place", "id"], 4), 4).selectExpr("chunk", "inline(pairs)").collect()
+    meets = defaultdict(set)
+    for r in made:
+        for left, right in zip(*collocations._unpacked(r.packed, r.n, collocations._PAIR)[:2]):
+            meets[left, right].add(r.shard)
+    assert {len(s) for s in meets.values()} == {1} and {r.shard for r in made} == {0, 1, 2, 3}
+    assert sum(len(r.packed) for r in made) < 10 * sum(r.n for r in made)
+    columns = [rng.integers(0, 2**60, 1000), np.arange(1000, dtype=np.int32)]
+    assert all((a == b).all() for a, b in zip(columns, collocations._unpacked(collocations._packed(*columns), 1000, "qi")))
+
+
 def test_no_rows(spark):
     assert got(collocations.phrases(spark.createDataFrame([], "doc_id long, lang string, text string"))) == []
 
