@@ -4,11 +4,13 @@ Both tokenizers cut the same bytes. Where a token of each ends at the same byte,
 groups; within a group every token of one is linked with every token of the other. Python only
 tokenises: it hands on the ids and the byte offsets of the tokens' ends. Groups and links are built from
 these arrays by Spark's higher-order functions: array_intersect of the end arrays gives the cuts,
-transform and sequence the groups, aggregate their counts.
+transform and filter the groups, aggregate their counts.
 
-Documents lie in chunks of a bounded number of characters, as places in the chunk's list of different
-words: no token goes beyond a word, so each different word is tokenised and aligned once for its chunk.
-A text with white space or characters for which this may not hold is an entry of its own, whole.
+No token goes beyond a word, so each different word is tokenised and aligned once: the COMMON words met
+most often once for all, and broadcast; every other one once for its chunk. Documents lie in chunks of a
+bounded number of characters, as places in the list of common words and the chunk's own after it. Which words
+are common has no effect on results. A text with white space or characters for which this may not hold is
+an entry of its own, whole.
 
 How often ids are linked is counted over all documents: a document sends each of its id pairs once, and
 pairs of many words are broadcast (`skew.by_unique`) instead of meeting in one task.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count
@@ -33,11 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_batches, small_batches, table
+from tessera.llm.common import Scratch, batch, map_batches, small_batches, table
 from tessera.llm.skew import by_unique
 
 #: Characters of a chunk, and words that are encoded together.
 CHUNK, SLICE = 1_000_000, 2000
+#: Words that are aligned once for all chunks, and different words that a task counts at a time to find them.
+COMMON, COUNTED = 200_000, 200_000
+#: Tokens of a side up to which an entry's groups are found by comparing each end with each cut.
+SHORT = 24
 #: Chunks of a stored file: a reader holds a file's chunks at once.
 HELD = 4
 #: Texts with other white space than single blanks and line ends, or with characters that normalise, are encoded whole.
@@ -114,74 +120,130 @@ def _loaded(first: str, second: str) -> tuple[Tokens, Tokens]:
     return Tokens(ByteLevel(first)), Tokens(Pieces(second))
 
 
+def _nested(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """values as a list of so many each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _aligned_by(words: list[str], whole: list[str], a: Tokens, b: Tokens) -> tuple[list[pa.ListArray], list[np.ndarray], np.ndarray]:
+    """For words and then whole texts: lists of ids of a, their ends, ids of b and their ends; the sizes of a's and b's lists;
+    and which whole texts are given back byte by byte. The others have no tokens."""
+    left, right = a.of(words, whole), b.of(words, whole)
+    runs = -(-len(words) // SLICE)
+    if any(x is None or y is None for x, y in zip(left[:runs], right[:runs])):
+        raise ValueError("plain words aren't given back byte by byte")
+    exact = np.array([x is not None and y is not None for x, y in zip(left[runs:], right[runs:])], bool)
+    none = np.zeros(0, np.int32)
+    entry_bytes = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))
+    entry_bytes = np.concatenate([entry_bytes, [len(t.encode()) + 1 if k else 0 for t, k in zip(whole, exact)]]).astype(np.int64)
+    entry_ends = np.cumsum(entry_bytes)
+    lists, sizes = [], []
+    for side, found in ((a, left), (b, right)):
+        ids = np.concatenate([none, *found[:runs], *(x if k else none for x, k in zip(found[runs:], exact))])
+        ends = np.cumsum(side.lengths[ids], dtype=np.int64)
+        n = np.diff(np.searchsorted(ends, entry_ends, side="right"), prepend=0)
+        lists += [_nested(ids, n), _nested(ends - np.repeat(entry_ends - entry_bytes, n), n)]
+        sizes.append(n)
+    return lists, sizes, exact
+
+
 class _Chunk:
-    """Documents as places in lists of words and of whole texts."""
+    """Documents as places: of common words, then of the chunk's other words, then of its whole texts."""
 
-    def __init__(self):
-        self.words: defaultdict = defaultdict(count().__next__)
+    def __init__(self, common: dict[str, int]):
+        self.common = common
+        self.words: defaultdict = defaultdict(count(len(common)).__next__)
         self.whole: defaultdict = defaultdict(count().__next__)
         self.docs: list[tuple[int | None, np.ndarray, bool]] = []
         self.size = 0
 
+    def _place(self, word: str) -> int:
+        at = self.common.get(word)
+        return self.words[word] if at is None else at
+
     def add(self, doc: int | None, text: str, by_words: bool) -> None:
         split = by_words and not _ODD.search(text)
-        known, entries = (self.words, text.split(" ")) if split else (self.whole, [text])
-        if not text:
-            entries = []
-        self.docs.append((doc, np.fromiter(map(known.__getitem__, entries), np.int32, len(entries)), split))
+        entries = (text.split(" ") if split else [text]) if text else []
+        self.docs.append((doc, np.fromiter(map(self._place if split else self.whole.__getitem__, entries), np.int32, len(entries)), split))
         self.size += len(text) + 1
 
-    def columns(self, a: Tokens, b: Tokens) -> list:
-        """Tokens and entries in order of the list, and the documents by places in it."""
-        words, whole = list(self.words), list(self.whole)
-        left, right = a.of(words, whole), b.of(words, whole)
-        runs = -(-len(words) // SLICE)
-        if any(x is None or y is None for x, y in zip(left[:runs], right[:runs])):
-            raise ValueError("plain words aren't given back byte by byte")
-        at, place = {}, len(words)
-        sizes = [np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words))]
-        for k, t in enumerate(whole):
-            if left[runs + k] is not None and right[runs + k] is not None:
-                at[k] = place
-                place += 1
-                sizes.append(np.array([len(t.encode()) + 1]))
-            else:
-                left[runs + k] = right[runs + k] = np.zeros(0, np.int32)
-        entry_ends = np.cumsum(np.concatenate(sizes))
-        out, per = [], []
-        for side, found in ((a, left), (b, right)):
-            ids = np.concatenate([np.zeros(0, np.int32), *found])
-            ends = np.cumsum(side.lengths[ids], dtype=np.int64)
-            out += [ids, ends]
-            per.append(np.diff(np.searchsorted(ends, entry_ends, side="right"), prepend=0))
-        docs = []
+    def columns(self, a: Tokens, b: Tokens, sizes: list[np.ndarray]) -> list:
+        """Tokens of the chunk's own entries, and the documents by places. sizes: of the common words' lists."""
+        lists, own, exact = _aligned_by(list(self.words), list(self.whole), a, b)
+        n_a, n_b = (np.concatenate([c, o]) for c, o in zip(sizes, own))
+        first, docs = len(self.common) + len(self.words), []
         for doc, places, split in self.docs:
             if not split:
-                places = np.array([at[p] for p in places if p in at], np.int32)
-            docs.append({"doc_id": doc, "n_a": int(per[0][places].sum()), "n_b": int(per[1][places].sum()), "entries": places})
-        return [*out, entry_ends, docs]
+                places = (places[exact[places]] + first).astype(np.int32)
+            docs.append({"doc_id": doc, "n_a": int(n_a[places].sum()), "n_b": int(n_b[places].sum()), "entries": places})
+        return [*lists, docs]
 
 
+_LISTS = pa.list_(pa.list_(pa.int32()))
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("entries", pa.list_(pa.int32()))]))
+_SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
+_MADE = ", ".join(f"{c} array<array<int>>" for c in _SIDES)
+
+
+def frequent(docs: DataFrame, first: str, second: str, most: int = COMMON) -> list[str]:
+    """About the `most` words met most often, of those that occur twice among the words that a task counts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _loaded(first, second)
+        schema, seen = pa.schema([("word", pa.string()), ("n", pa.int64())]), Counter()
+
+        def told() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in seen.items() if n > 1]
+            return batch(schema, [[w for w, _ in kept], [n for _, n in kept]])
 
+        for rows in small_batches(batches, 64):
+            for text in rows.column(0).to_pylist():
+                if text and a.coder.by_words and b.coder.by_words and not _ODD.search(text):
+                    seen.update(text.split(" "))
+            if len(seen) > COUNTED:
+                yield told()
+                seen = Counter()
+        yield told()
 
-def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> DataFrame:
-    """chunk, a_ids, a_ends, b_ids, b_ends, entry_ends, docs: for each chunk the tokens of its entries, one after the other, each with a
-    blank before it, byte offsets of tokens' and entries' ends, and the documents (doc_id, n_a, n_b, entries), where entries are places from 0.
+    counted = map_batches(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def word_tokens(spark: SparkSession, words: list[str], first: str, second: str) -> DataFrame:
+    """at, a_ids, a_ends, b_ids, b_ends: for slices of words the lists of tokens() of each word."""
+    schema = pa.schema([("at", pa.int64()), *((c, _LISTS) for c in _SIDES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _loaded(first, second)
+        for rows in batches:
+            for at, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                lists, _, _ = _aligned_by(own, [], a, b)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], schema=schema)
+
+    slices = spark.createDataFrame([(k, words[k : k + SLICE]) for k in range(0, len(words), SLICE)], "at long, words array<string>")
+    return map_batches(slices.repartition(max(1, min(spark.sparkContext.defaultParallelism, len(words) // SLICE))), run, f"at long, {_MADE}")
+
+
+def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK, common: tuple[str, ...] = (), sizes: list[np.ndarray] | None = None) -> DataFrame:
+    """chunk, a_ids, a_ends, b_ids, b_ends, docs: for each chunk the lists of its own entries' tokens, each entry with a blank before it, and of the
+    byte offsets of their ends in the entry; and the documents (doc_id, n_a, n_b, entries), where entries are places from 0 in the common words and
+    the chunk's own entries after them. sizes: the numbers of the common words' tokens of each side.
 
     first: a byte-level file for `tokenizers`, second: a model for `sentencepiece`, both at the same path on every executor."""
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.int64()), ("a_ids", ints), ("a_ends", longs), ("b_ids", ints), ("b_ends", longs), ("entry_ends", longs), ("docs", _DOCS)])
+    schema = pa.schema([("chunk", pa.int64()), *((c, _LISTS) for c in _SIDES), ("docs", _DOCS)])
+    sizes = sizes or [np.zeros(0, np.int64)] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _loaded(first, second)
-        by_words, at, held = a.coder.by_words and b.coder.by_words, TaskContext.get().partitionId() << 32, _Chunk()
+        known = {w: k for k, w in enumerate(common)}
+        by_words, at, held = a.coder.by_words and b.coder.by_words, TaskContext.get().partitionId() << 32, _Chunk(known)
 
         def close() -> pa.RecordBatch:
             nonlocal at, held
-            columns = [at, *held.columns(a, b)]
-            at, held = at + 1, _Chunk()
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, schema.types)], schema=schema)
+            *lists, docs = held.columns(a, b, sizes)
+            arrays = [pa.array([at]), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), pa.array([docs], _DOCS)]
+            at, held = at + 1, _Chunk(known)
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for rows in small_batches(batches, 256):
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -191,8 +253,7 @@ def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> Data
         if held.docs:
             yield close()
 
-    made = "chunk long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>, entry_ends array<long>, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,entries:array<int>>>"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, made)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"chunk long, {_MADE}, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,entries:array<int>>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -216,14 +277,28 @@ def _segments(values: Column, lasts: Column) -> Column:
     return _let(values, lambda v: _let(F.concat(F.array(F.lit(-1)), lasts), lambda before: F.transform(lasts, lambda at, k: one(v, at, F.get(before, k)))))
 
 
-def groups(found: DataFrame) -> DataFrame:
-    """`cuts`, `a` and `b` beside the columns of tokens(): the common ends, and the ids of each group, one array for each side."""
-    cuts = F.array_intersect("a_ends", "b_ends")
+def _compared(ids: Column, ends: Column, cuts: Column) -> Column:
+    """ids cut into groups by comparing ends: those above the cut before and up to the cut."""
 
-    def side(s: str) -> Column:
-        return _let(cuts, lambda at: _let(_lasts(F.col(f"{s}_ends"), at), lambda lasts: _segments(F.col(f"{s}_ids"), lasts)))
+    def one(cut: Column, k: Column) -> Column:
+        return F.filter(ids, lambda _, i: (F.get(ends, i) <= cut) & ((k == 0) | (F.get(ends, i) > F.get(cuts, k - 1))))
 
-    return found.withColumns({"cuts": cuts, "a": side("a"), "b": side("b")})
+    return F.transform(cuts, one)
+
+
+def _marked(ids: Column, ends: Column, cuts: Column) -> Column:
+    """The same, in a time that grows little faster than their number."""
+    return _let(_lasts(ends, cuts), lambda lasts: _segments(ids, lasts))
+
+
+def _cut(ids: Column, ends: Column, cuts: Column) -> Column:
+    return F.when(F.size(ids) <= SHORT, _compared(ids, ends, cuts)).otherwise(_marked(ids, ends, cuts))
+
+
+def groups(found: DataFrame) -> DataFrame:
+    """`cuts`, `a` and `b` beside columns a_ids, a_ends, b_ids, b_ends of arrays: the common ends, and the ids of each group, one array for each side."""
+    cut = found.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    return cut.withColumns({s: _cut(F.col(f"{s}_ids"), F.col(f"{s}_ends"), F.col("cuts")) for s in "ab"})
 
 
 def _written(ids: Column) -> Column:
@@ -236,50 +311,87 @@ def _linked(own: Column, other: Column) -> Column:
     return F.when((F.size(own) == 1) & (F.size(other) == 1), F.array(pair(own[0], other[0]))).otherwise(every)
 
 
-def entries(cut: DataFrame) -> DataFrame:
-    """From groups(): chunk, docs, and by entry its groups as written text (`written`), their number (`n_groups`), and its links (`links`) as (A id << 32) + B id."""
-    told = F.zip_with("a", "b", lambda own, other: F.concat(_written(own), F.lit("|"), _written(other)))
-    linked = F.zip_with("a", "b", _linked)
+def entries() -> Column:
+    """From the lists a_ids, a_ends, b_ids, b_ends: for each entry its groups as written text (`written`), their number (`n_groups`), its links (`links`)
+    as (A id << 32) + B id, their number (`n_links`), and the numbers of its tokens (`n_a`, `n_b`)."""
+    told = lambda own, other: F.concat(_written(own), F.lit("|"), _written(other))
+
+    def of(a_ids: Column, i: Column) -> Column:
+        a_ends, b_ids, b_ends = (F.get(c, i) for c in _SIDES[1:])
+
+        def cut_at(cuts: Column) -> Column:
+            return F.struct(_cut(a_ids, a_ends, cuts).alias("a"), _cut(b_ids, b_ends, cuts).alias("b"))
 
-    def of(at: Column) -> Column:
-        before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
-        written = F.transform(_segments(told, at), lambda own: F.array_join(own, ";"))
-        return F.struct(written.alias("written"), F.zip_with(at, F.slice(before, 1, F.size(at)), lambda a, b: a - b).alias("n_groups"), F.transform(_segments(linked, at), F.flatten).alias("links"))
+        def entry(g: Column) -> Column:
+            links = F.flatten(F.zip_with(g["a"], g["b"], _linked))
+            return F.struct(F.array_join(F.zip_with(g["a"], g["b"], told), ";").alias("written"), F.size(g["a"]).alias("n_groups"), links.alias("links"), F.size(a_ids).alias("n_a"), F.size(b_ids).alias("n_b"))
 
-    return cut.select("chunk", "docs", _let(_lasts(F.col("cuts"), F.col("entry_ends")), of).alias("e")).select("chunk", "docs", "e.written", "e.n_groups", "e.links")
+        return _let(_let(F.array_intersect(a_ends, b_ends), cut_at), entry)
 
+    return F.transform("a_ids", of)
 
-def _sum(places: Column, values: Column) -> Column:
-    return F.aggregate(places, F.lit(0).cast("long"), lambda n, k: n + F.get(values, k))
 
+def _picked(k: Column, common: Column, own: Column, n: int) -> Column:
+    """The k-th of n common and then the chunk's own values."""
+    return F.when(k < n, F.get(common, k)).otherwise(F.get(own, k - n))
 
-def held(found: DataFrame) -> DataFrame:
-    """pair, held: how many documents of entries() hold each linked pair."""
-    own = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["entries"]), lambda k: F.get("links", k)))))
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda n, v: n + v)
+
+
+def held(found: DataFrame, n: int = 0) -> DataFrame:
+    """pair, held: how many documents hold each linked pair. found: docs, own (the entries() of its chunk) and common (those of n common words)."""
+    own = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["entries"]), lambda k: _picked(k, F.col("common"), F.col("own"), n)))))
     return found.select(F.explode(F.flatten(own)).alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
 
 
-def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK) -> DataFrame:
+def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK, common: int = COMMON) -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    scratch = Scratch()
-    found = scratch.cut(entries(groups(tokens(docs, first, second, chunk))), HELD)
-    linked = found.select("chunk", F.posexplode("links").alias("entry", "pairs")).select("chunk", "entry", F.explode("pairs").alias("pair"))
-    known = scratch.cut(held(found).join(linked.groupBy("pair").agg(F.count("*").alias("rows")), "pair").withColumn("a_id", F.shiftright("pair", 32)))
-    most = known.groupBy("a_id").agg(F.max("held").alias("most"))
-    known = scratch.cut(known.join(most, "a_id").select("pair", "held", "rows", (F.col("held") == F.col("most")).cast("long").alias("best")))
-    each = by_unique(linked, known, "pair", "rows").groupBy("chunk", "entry").agg(F.sum("best").alias("best"), F.sum("held").alias("held"))
-    counted = each.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("entry", "best", "held"))).alias("of"))
-    counted = counted.select("chunk", F.col("of.best").alias("best"), F.col("of.held").alias("held"))
-    sizes = F.transform("links", lambda own: F.size(own).cast("long"))
-    whole = scratch.cut(found.select("chunk", "docs", "written", "n_groups", sizes.alias("n_links")).join(counted, "chunk", "left"), HELD)
+    spark, scratch = docs.sparkSession, Scratch()
+    words = frequent(docs, first, second, common)
+    n = len(words)
+    # One row, bounded by COMMON: the entries of the common words in their order.
+    slices = scratch.cut(word_tokens(spark, words, first, second).select("at", entries().alias("e")))
+    shared = scratch.cut(slices.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda s: s["e"])).alias("common")))
+    sizes = [np.array(c or [], np.int64) for c in shared.select("common.n_a", "common.n_b").first()]
 
     def told(d: Column) -> Column:
-        sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(F.transform(d["entries"], lambda k: F.get("written", k)), ";"), 256)).otherwise("")
-        sums = [_sum(d["entries"], F.col(c)).alias(n) for c, n in (("n_groups", "n_groups"), ("n_links", "n_links"), ("best", "n_best"), ("held", "count_sum"))]
-        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), *sums, sha.alias("groups_sha256"))
+        every = F.transform(d["entries"], lambda k: _picked(k, F.col("common"), F.col("own"), n))
 
+        def row(own: Column) -> Column:
+            sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(own["written"], ";"), 256)).otherwise("")
+            return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _sum(own["n_groups"]).alias("n_groups"), _sum(F.transform(own["links"], F.size)).alias("n_links"), sha.alias("groups_sha256"), d["entries"].alias("entries"))
+
+        return _let(every, row)
+
+    aligned = tokens(docs, first, second, chunk, tuple(words), sizes).select("chunk", "docs", entries().alias("own"))
+    found = scratch.cut(aligned.crossJoin(F.broadcast(shared)).select("chunk", F.transform("docs", told).alias("docs"), F.col("own.links").alias("own")), HELD)
+    links = shared.select(F.col("common.links").alias("common"))
+    linked = found.select("chunk", F.posexplode("own").alias("entry", "pairs")).select("chunk", "entry", F.explode("pairs").alias("pair"))
+    rows = linked.groupBy("pair").agg(F.count("*").alias("rows"))
+    known = scratch.cut(held(found.crossJoin(F.broadcast(links)), n).join(rows, "pair", "left").fillna(0, ["rows"]).withColumn("a_id", F.shiftright("pair", 32)))
+    most = known.groupBy("a_id").agg(F.max("held").alias("most"))
+    known = scratch.cut(known.join(most, "a_id").select("pair", "held", "rows", (F.col("held") == F.col("most")).cast("long").alias("best")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("best", "held")]
+    in_order = F.sort_array(F.collect_list(F.struct("entry", "best", "held")))
+    each = by_unique(linked, known.where("rows > 0"), "pair", "rows").groupBy("chunk", "entry").agg(*sums)
+    counted = each.groupBy("chunk").agg(in_order.alias("of")).select("chunk", F.col("of.best").alias("best"), F.col("of.held").alias("held"))
+    often = links.select(F.posexplode("common").alias("entry", "pairs")).select("entry", F.explode_outer("pairs").alias("pair")).join(known, "pair", "left").groupBy("entry").agg(*sums)
+    often = scratch.cut(often.agg(in_order.alias("often")))
+    # Sums over common words come first, so that only places of the others are shuffled.
+    of_common = lambda d, c: _sum(F.transform(F.filter(d["entries"], lambda k: k < n), lambda k: F.get("often", k)[c]))
+    docs_of = F.transform("docs", lambda d: F.struct(d.alias("d"), of_common(d, "best").alias("best"), of_common(d, "held").alias("held"), F.filter(d["entries"], lambda k: k >= n).alias("rest")))
+    slim = found.crossJoin(F.broadcast(often)).select("chunk", F.transform(docs_of, lambda x: x.withField("d", x["d"].dropFields("entries"))).alias("docs"))
+    of_rest = lambda x, c: x[c] + _sum(F.transform(x["rest"], lambda k: F.get(c, k - n)))
+
+    def result(x: Column) -> Column:
+        d = x["d"]
+        return F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), of_rest(x, "best").alias("n_best"), of_rest(x, "held").alias("count_sum"), d["groups_sha256"].alias("groups_sha256"))
+
+    whole = scratch.cut(slim.join(counted, "chunk", "left").select(F.explode(F.transform("docs", result)).alias("d")).select("d.*"))
     scratch.drop(keep=(whole,))
-    return whole.select(F.explode(F.transform("docs", told)).alias("d")).select("d.*")
+    return whole
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
