@@ -27,7 +27,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,11 @@ SHORT = 24
 #: Chunks of a stored file: a reader holds a file's chunks at once.
 HELD = 4
 #: Texts with other white space than single blanks and line ends, or with characters that normalise, are encoded whole.
-_ODD = re.compile("[^\n -~¡-ɏ]|  |^ | $|[¨¯²-µ¸-¾Ĳ-ŀŉſ]")
+_OTHER = re.compile("[^\n -~¡-§©-®°±¶·¿-ıŁ-ňŊ-žƀ-ɏ]")
+
+
+def _odd(text: str) -> bool:
+    return "  " in text or text[0] == " " or text.endswith((" ", " \n")) or _OTHER.search(text) is not None
 
 
 def _raw_bytes() -> dict[str, int]:
@@ -157,30 +161,36 @@ class _Chunk:
         self.docs: list[tuple[int | None, np.ndarray, bool]] = []
         self.size = 0
 
-    def _place(self, word: str) -> int:
-        at = self.common.get(word)
-        return self.words[word] if at is None else at
-
     def add(self, doc: int | None, text: str, by_words: bool) -> None:
-        split = by_words and not _ODD.search(text)
+        split = by_words and text != "" and not _odd(text)
         entries = (text.split(" ") if split else [text]) if text else []
-        self.docs.append((doc, np.fromiter(map(self._place if split else self.whole.__getitem__, entries), np.int32, len(entries)), split))
+        if split:
+            places = np.fromiter(map(self.common.get, entries, repeat(-1)), np.int32, len(entries))
+            for k in np.flatnonzero(places < 0):
+                places[k] = self.words[entries[k]]
+        else:
+            places = np.fromiter(map(self.whole.__getitem__, entries), np.int32, len(entries))
+        self.docs.append((doc, places, split))
         self.size += len(text) + 1
 
     def columns(self, a: Tokens, b: Tokens, sizes: list[np.ndarray]) -> list:
-        """Tokens of the chunk's own entries, and the documents by places. sizes: of the common words' lists."""
+        """Tokens of the chunk's own entries, and the documents by places. sizes: of the common words, as in tokens()."""
         lists, own, exact = _aligned_by(list(self.words), list(self.whole), a, b)
         n_a, n_b = (np.concatenate([c, o]) for c, o in zip(sizes, own))
-        first, docs = len(self.common) + len(self.words), []
+        n = len(self.common)
+        first, docs = n + len(self.words), []
         for doc, places, split in self.docs:
             if not split:
                 places = (places[exact[places]] + first).astype(np.int32)
-            docs.append({"doc_id": doc, "n_a": int(n_a[places].sum()), "n_b": int(n_b[places].sum()), "entries": places})
+            common, rest = places[places < n], places[places >= n] - n
+            sums = [int(of[at].sum()) for of, at in ((n_a, places), (n_b, places), (sizes[2], common), (sizes[3], common))]
+            docs.append(dict(zip(_DOC, (doc, *sums, places, common, rest))))
         return [*lists, docs]
 
 
 _LISTS = pa.list_(pa.list_(pa.int32()))
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("entries", pa.list_(pa.int32()))]))
+_DOC = {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "entries": "array<int>", "common": "array<int>", "rest": "array<int>"}
+_DOCS = pa.list_(pa.struct([(c, pa.int64() if t == "bigint" else pa.list_(pa.int32())) for c, t in _DOC.items()]))
 _SIDES = ("a_ids", "a_ends", "b_ids", "b_ends")
 _MADE = ", ".join(f"{c} array<array<int>>" for c in _SIDES)
 
@@ -198,7 +208,7 @@ def frequent(docs: DataFrame, first: str, second: str, most: int = COMMON) -> li
 
         for rows in small_batches(batches, 64):
             for text in rows.column(0).to_pylist():
-                if text and a.coder.by_words and b.coder.by_words and not _ODD.search(text):
+                if text and a.coder.by_words and b.coder.by_words and not _odd(text):
                     seen.update(text.split(" "))
             if len(seen) > COUNTED:
                 yield told()
@@ -226,12 +236,13 @@ def word_tokens(spark: SparkSession, words: list[str], first: str, second: str)
 
 def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK, common: tuple[str, ...] = (), sizes: list[np.ndarray] | None = None) -> DataFrame:
     """chunk, a_ids, a_ends, b_ids, b_ends, docs: for each chunk the lists of its own entries' tokens, each entry with a blank before it, and of the
-    byte offsets of their ends in the entry; and the documents (doc_id, n_a, n_b, entries), where entries are places from 0 in the common words and
-    the chunk's own entries after them. sizes: the numbers of the common words' tokens of each side.
+    byte offsets of their ends in the entry; and the documents (doc_id, n_a, n_b, n_groups, n_links, entries, common, rest), where entries are places
+    from 0 in the common words and the chunk's own entries after them, common and rest those of either kind, from 0, and n_groups and n_links
+    sums over the common ones. sizes: the common words' numbers of tokens of each side, groups and links.
 
     first: a byte-level file for `tokenizers`, second: a model for `sentencepiece`, both at the same path on every executor."""
     schema = pa.schema([("chunk", pa.int64()), *((c, _LISTS) for c in _SIDES), ("docs", _DOCS)])
-    sizes = sizes or [np.zeros(0, np.int64)] * 2
+    sizes = sizes or [np.zeros(0, np.int64)] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _loaded(first, second)
@@ -253,7 +264,7 @@ def tokens(docs: DataFrame, first: str, second: str, chunk: int = CHUNK, common:
         if held.docs:
             yield close()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"chunk long, {_MADE}, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,entries:array<int>>>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"chunk long, {_MADE}, docs array<struct<{','.join(f'{c}:{t}' for c, t in _DOC.items())}>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -278,12 +289,14 @@ def _segments(values: Column, lasts: Column) -> Column:
 
 
 def _compared(ids: Column, ends: Column, cuts: Column) -> Column:
-    """ids cut into groups by comparing ends: those above the cut before and up to the cut."""
+    """ids cut into groups at the place of each cut among the ends. No token is empty, so an end has one place."""
+    at = lambda k: F.array_position(ends, F.get(cuts, k)).cast("int")
 
     def one(cut: Column, k: Column) -> Column:
-        return F.filter(ids, lambda _, i: (F.get(ends, i) <= cut) & ((k == 0) | (F.get(ends, i) > F.get(cuts, k - 1))))
+        before = F.when(k == 0, 0).otherwise(at(k - 1))
+        return F.slice(ids, before + 1, at(k) - before)
 
-    return F.transform(cuts, one)
+    return F.when(F.size(cuts) == 1, F.array(ids)).otherwise(F.transform(cuts, one))
 
 
 def _marked(ids: Column, ends: Column, cuts: Column) -> Column:
@@ -313,7 +326,7 @@ def _linked(own: Column, other: Column) -> Column:
 
 def entries() -> Column:
     """From the lists a_ids, a_ends, b_ids, b_ends: for each entry its groups as written text (`written`), their number (`n_groups`), its links (`links`)
-    as (A id << 32) + B id, their number (`n_links`), and the numbers of its tokens (`n_a`, `n_b`)."""
+    as (A id << 32) + B id, and the numbers of its tokens (`n_a`, `n_b`)."""
     told = lambda own, other: F.concat(_written(own), F.lit("|"), _written(other))
 
     def of(a_ids: Column, i: Column) -> Column:
@@ -331,18 +344,14 @@ def entries() -> Column:
     return F.transform("a_ids", of)
 
 
-def _picked(k: Column, common: Column, own: Column, n: int) -> Column:
-    """The k-th of n common and then the chunk's own values."""
-    return F.when(k < n, F.get(common, k)).otherwise(F.get(own, k - n))
+def _sum(places: Column, value: Callable[[Column], Column]) -> Column:
+    return F.aggregate(places, F.lit(0).cast("long"), lambda n, k: n + value(k))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda n, v: n + v)
-
-
-def held(found: DataFrame, n: int = 0) -> DataFrame:
-    """pair, held: how many documents hold each linked pair. found: docs, own (the entries() of its chunk) and common (those of n common words)."""
-    own = F.transform("docs", lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["entries"]), lambda k: _picked(k, F.col("common"), F.col("own"), n)))))
+def held(found: DataFrame) -> DataFrame:
+    """pair, held: how many documents hold each linked pair. found: docs, own (the links of the chunk's entries) and shared (those of the common words)."""
+    of = lambda places, links: F.flatten(F.transform(F.array_distinct(places), lambda k: F.get(links, k)))
+    own = F.transform("docs", lambda d: F.array_distinct(F.concat(of(d["common"], F.col("shared")), of(d["rest"], F.col("own")))))
     return found.select(F.explode(F.flatten(own)).alias("pair")).groupBy("pair").agg(F.count("*").alias("held"))
 
 
@@ -353,43 +362,45 @@ def digest(docs: DataFrame, first: str, second: str, chunk: int = CHUNK, common:
     n = len(words)
     # One row, bounded by COMMON: the entries of the common words in their order.
     slices = scratch.cut(word_tokens(spark, words, first, second).select("at", entries().alias("e")))
-    shared = scratch.cut(slices.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda s: s["e"])).alias("common")))
-    sizes = [np.array(c or [], np.int64) for c in shared.select("common.n_a", "common.n_b").first()]
-
-    def told(d: Column) -> Column:
-        every = F.transform(d["entries"], lambda k: _picked(k, F.col("common"), F.col("own"), n))
-
-        def row(own: Column) -> Column:
-            sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(own["written"], ";"), 256)).otherwise("")
-            return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), _sum(own["n_groups"]).alias("n_groups"), _sum(F.transform(own["links"], F.size)).alias("n_links"), sha.alias("groups_sha256"), d["entries"].alias("entries"))
-
-        return _let(every, row)
-
-    aligned = tokens(docs, first, second, chunk, tuple(words), sizes).select("chunk", "docs", entries().alias("own"))
-    found = scratch.cut(aligned.crossJoin(F.broadcast(shared)).select("chunk", F.transform("docs", told).alias("docs"), F.col("own.links").alias("own")), HELD)
-    links = shared.select(F.col("common.links").alias("common"))
+    every = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda s: s["e"]))
+    shared = scratch.cut(slices.agg(every.alias("e")).select("e.written", "e.n_groups", "e.links", "e.n_a", "e.n_b"))
+    sizes = [np.array(c or [], np.int64) for c in shared.select("n_a", "n_b", "n_groups", F.transform("links", F.size)).first()]
+
+    def told(d: Column, own: dict[str, Column]) -> Column:
+        written = F.transform(d["entries"], lambda k: F.when(k < n, F.get("written", k)).otherwise(F.get(own["written"], k - n)))
+        sha = F.when(d["n_a"] > 0, F.sha2(F.array_join(written, ";"), 256)).otherwise("")
+        sums = [(d[c] + _sum(d["rest"], lambda k: F.get(own[c], k))).alias(c) for c in ("n_groups", "n_links")]  # noqa: B023
+        return F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b")), *sums, sha.alias("groups_sha256"), d["common"].alias("common"), d["rest"].alias("rest"))
+
+    aligned = tokens(docs, first, second, chunk, tuple(words), sizes).select("chunk", "docs", entries().alias("own")).crossJoin(F.broadcast(shared.select("written")))
+    own = F.struct(F.col("own.written").alias("written"), F.col("own.n_groups").alias("n_groups"), F.transform("own.links", F.size).alias("n_links"))
+    found = scratch.cut(aligned.select("chunk", _let(own, lambda o: F.transform("docs", lambda d: told(d, o))).alias("docs"), F.col("own.links").alias("own")), HELD)
+    links = shared.select(F.col("links").alias("shared"))
     linked = found.select("chunk", F.posexplode("own").alias("entry", "pairs")).select("chunk", "entry", F.explode("pairs").alias("pair"))
     rows = linked.groupBy("pair").agg(F.count("*").alias("rows"))
-    known = scratch.cut(held(found.crossJoin(F.broadcast(links)), n).join(rows, "pair", "left").fillna(0, ["rows"]).withColumn("a_id", F.shiftright("pair", 32)))
+    known = scratch.cut(held(found.crossJoin(F.broadcast(links))).join(rows, "pair", "left").fillna(0, ["rows"]).withColumn("a_id", F.shiftright("pair", 32)))
     most = known.groupBy("a_id").agg(F.max("held").alias("most"))
     known = scratch.cut(known.join(most, "a_id").select("pair", "held", "rows", (F.col("held") == F.col("most")).cast("long").alias("best")))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("best", "held")]
-    in_order = F.sort_array(F.collect_list(F.struct("entry", "best", "held")))
-    each = by_unique(linked, known.where("rows > 0"), "pair", "rows").groupBy("chunk", "entry").agg(*sums)
-    counted = each.groupBy("chunk").agg(in_order.alias("of")).select("chunk", F.col("of.best").alias("best"), F.col("of.held").alias("held"))
-    often = links.select(F.posexplode("common").alias("entry", "pairs")).select("entry", F.explode_outer("pairs").alias("pair")).join(known, "pair", "left").groupBy("entry").agg(*sums)
-    often = scratch.cut(often.agg(in_order.alias("often")))
+
+    def counted(each: DataFrame, best: str, held_: str, *by: str) -> DataFrame:
+        """Arrays of both sums in the order of entries."""
+        of = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("entry", "best", "held"))).alias("of"))
+        return of.select(*by, F.col("of.best").alias(best), F.col("of.held").alias(held_))
+
+    rest = counted(by_unique(linked, known.where("rows > 0"), "pair", "rows").groupBy("chunk", "entry").agg(*sums), "best", "held", "chunk")
+    pairs = links.select(F.posexplode("shared").alias("entry", "pairs")).select("entry", F.explode_outer("pairs").alias("pair"))
+    often = scratch.cut(counted(pairs.join(known, "pair", "left").groupBy("entry").agg(*sums), "often_best", "often_held"))
     # Sums over common words come first, so that only places of the others are shuffled.
-    of_common = lambda d, c: _sum(F.transform(F.filter(d["entries"], lambda k: k < n), lambda k: F.get("often", k)[c]))
-    docs_of = F.transform("docs", lambda d: F.struct(d.alias("d"), of_common(d, "best").alias("best"), of_common(d, "held").alias("held"), F.filter(d["entries"], lambda k: k >= n).alias("rest")))
-    slim = found.crossJoin(F.broadcast(often)).select("chunk", F.transform(docs_of, lambda x: x.withField("d", x["d"].dropFields("entries"))).alias("docs"))
-    of_rest = lambda x, c: x[c] + _sum(F.transform(x["rest"], lambda k: F.get(c, k - n)))
+    kept = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "rest")
+    slim = F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in kept), *(_sum(d["common"], lambda k: F.get(f"often_{c}", k)).alias(c) for c in ("best", "held"))))  # noqa: B023
 
-    def result(x: Column) -> Column:
-        d = x["d"]
-        return F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), of_rest(x, "best").alias("n_best"), of_rest(x, "held").alias("count_sum"), d["groups_sha256"].alias("groups_sha256"))
+    def result(d: Column) -> Column:
+        n_best, count_sum = (d[c] + _sum(d["rest"], lambda k: F.get(c, k)) for c in ("best", "held"))  # noqa: B023
+        return F.struct(*(d[c].alias(c) for c in kept[:5]), n_best.alias("n_best"), count_sum.alias("count_sum"), d["groups_sha256"].alias("groups_sha256"))
 
-    whole = scratch.cut(slim.join(counted, "chunk", "left").select(F.explode(F.transform("docs", result)).alias("d")).select("d.*"))
+    met = found.crossJoin(F.broadcast(often)).select("chunk", slim.alias("docs")).join(rest, "chunk", "left")
+    whole = scratch.cut(met.select(F.explode(F.transform("docs", result)).alias("d")).select("d.*"))
     scratch.drop(keep=(whole,))
     return whole
 

@@ -116,6 +116,20 @@ def test_hot_pairs(spark, monkeypatch):
         assert rows_of(cross_tokenizer.digest(docs, A, B)) == sorted(want, key=str)
 
 
+def test_common_words_are_aligned_once(spark):
+    """Chunks hold only words that aren't common, and the result doesn't depend on which words are."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, f"some words are in every document, others like n{k * 7919} aren't") for k in range(40)], "doc_id long, text string").coalesce(1)
+    words = cross_tokenizer.frequent(docs, A, B)
+    assert sorted(words) == sorted("some words are in every document, others like aren't".split())
+    found = cross_tokenizer.tokens(docs, A, B, 200, tuple(words), [np.ones(len(words), np.int64)] * 4)
+    assert found.count() > 10 and found.agg(F.sum(F.size("a_ids"))).first()[0] == 40
+    want = sorted(plain([(r.doc_id, r.text) for r in docs.collect()]), key=str)
+    for most in (0, 3, 100):
+        assert rows_of(cross_tokenizer.digest(docs, A, B, 200, most)) == want
+
+
 def test_groups_cut_at_common_ends(spark):
     found = spark.createDataFrame([([1, 2, 3], [2, 3, 7], [4, 5, 6, 7], [1, 3, 5, 7]), ([], [], [], []), ([9], [4], [8], [4])], "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>")
     got = [(r.a, r.b) for r in cross_tokenizer.groups(found).select("a", "b").collect()]
