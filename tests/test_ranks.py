@@ -2,10 +2,11 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from tessera.functions.tables import ranks_within
-from tessera.operators import align, graph, metrics
+from tessera.functions.tables import cut, ranks_within
+from tessera.operators import align, graph, metrics, similarity
 
 
 @pytest.mark.parametrize("tasks", [1, 7])
@@ -68,3 +69,16 @@ def test_induced_triples_are_not_sorted(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", "r", "b"), ("a", "r", "b"), ("b", "r", "b")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_both_directions_from_one_pass(spark, monkeypatch):
+    """The ranks of both directions are those of two passes, and each two rows are scored once; ties, rows without a pair or with several, absent ends."""
+    draw = np.random.default_rng(8)
+    rows = lambda at, n: spark.createDataFrame([(at + k, [float(v) for v in draw.integers(0, 3, 3)]) for k in range(n)], "id long, vec array<double>")
+    left, right = cut(rows(0, 70)), cut(rows(1000, 50))
+    gold = spark.createDataFrame([(k % 65, 1000 + (k * 7) % 45) for k in range(80)] + [(1, 5000), (900, 1001)], "e1 long, e2 long")
+    for metric in ("dot", "l1", "l2"):
+        forth = similarity.gold_ranks(left, right, gold, metric)
+        back = similarity.transposed(similarity.gold_ranks(right, left, similarity.transposed(gold), metric))
+        want = {("forth", *r) for r in forth.select("e1", "e2", "rank").collect()} | {("back", *r) for r in back.select("e1", "e2", "rank").collect()}
+        assert {tuple(r) for r in similarity.both_gold_ranks(left, right, gold, metric, 20).collect()} == want
