@@ -182,3 +182,27 @@ def test_shared_entities_are_found_once_and_stored(spark, tmp_path):
     world = catalogue.World(spark, "/root/testdata/sf0.001")
     for part in (world.anchor_nodes, world.unmatched, world.candidates):
         assert "lineitem" not in "".join(part.inputFiles())
+
+
+def test_chebyshev_products_are_not_shuffled(spark, monkeypatch):
+    """The recurrence against dense matrices, with a hub, loops, a row in no other, and rows of one cell in several pieces; nothing is shuffled after the products are made."""
+    rng, n = np.random.default_rng(4), 60
+    entries = {(0, k) for k in range(n)} | {(k, 0) for k in range(1, n)} | {(k, k) for k in range(n)} | {tuple(map(int, e)) for e in rng.integers(0, n, (90, 2))}
+    s = np.zeros((n, n))
+    for i, j in entries:
+        s[i, j] = rng.normal()
+    table = lambda m, at: spark.createDataFrame([(f"e{i}", f"e{j}", float(m[i, j])) for i, j in sorted(at)], "i string, j string, w double")
+    scaled, eye = table(s, entries), table(np.eye(n), {(k, k) for k in range(n)})
+    names = lambda found: {(int(r.i[1:]), int(r.j[1:])): r.w for r in found.collect()}
+    for products in (1, 100, adjacency.PRODUCTS):
+        monkeypatch.setattr(adjacency, "PRODUCTS", products)
+        second = adjacency.recurrence(scaled, scaled, eye)
+        rows = second.collect()
+        got = {(int(r.i[1:]), int(r.j[1:])): r.w for r in rows}
+        want = 2 * s @ s - np.eye(n)
+        assert len(rows) == len(got) and set(got) == {(i, j) for i, k in entries for k2, j in entries if k == k2} | {(k, k) for k in range(n)}
+        assert got == pytest.approx({e: want[e] for e in got}, abs=1e-9)
+    plan = second._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    third = names(adjacency.recurrence(scaled, second, scaled))
+    assert third == pytest.approx({e: (2 * s @ want - s)[e] for e in third}, abs=1e-8)
