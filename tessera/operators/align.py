@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.tables import ranks_within
+from tessera.functions.tables import Scratch, cut, ranks_within
+from tessera.functions.vectors import squash
 from tessera.operators import evidence
 from tessera.operators.graph import anchor_hop, hop_levels, induced_by_part, undirected
 
@@ -63,6 +64,8 @@ def second_context(candidates: DataFrame, part_anchors: DataFrame, size: int) ->
 def connectors(triples: DataFrame, unmatched: DataFrame, part_anchors: DataFrame, size: int, layers: int = 1, gamma: float = 2.0) -> DataFrame:
     """(part_id, ent, benefit, rank): the second graph's entities next to a part's anchors that bring its unmatched ones
     (part_id, ent) the most evidence, at most `size` for each part. Each part looks only at the graph between these three."""
+    if layers == 1:
+        return top_per_part(_one_layer(triples, unmatched, part_anchors, gamma), "benefit", size)
     near = hop_levels(undirected(triples), part_anchors, 1).select("part_id", "ent")
     fixed = unmatched.select("part_id", "ent").unionByName(part_anchors.select("part_id", "ent")).distinct()
     region = fixed.unionByName(near).distinct()
@@ -76,6 +79,41 @@ def connectors(triples: DataFrame, unmatched: DataFrame, part_anchors: DataFrame
     return top_per_part(scored.withColumn("benefit", F.coalesce("benefit", F.lit(0.0))), "benefit", size)
 
 
+def _one_layer(triples: DataFrame, unmatched: DataFrame, part_anchors: DataFrame, gamma: float) -> DataFrame:
+    """(part_id, ent, benefit) of connectors() with one layer, for which triples are shuffled once by each end.
+
+    All that has evidence after a layer is an anchor or next to one, so it is in the part's graph. A candidate isn't an anchor, so without it
+    only its own evidence is lost: an unmatched neighbour gets less by the candidate's share."""
+    scratch = Scratch()
+    mine, open_ = (t.select("part_id", "ent").where("ent IS NOT NULL").distinct() for t in (part_anchors, unmatched))
+    of = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("part_id")))
+    every = mine.withColumn("role", F.lit(0)).unionByName(open_.withColumn("role", F.lit(1)))
+    roles = scratch.cut(every.groupBy("ent").agg(of(0).alias("anchor"), of(1).alias("goal")))
+    at = lambda end: roles.select(F.col("ent").alias(end), F.struct("anchor", "goal").alias(f"{end}_"))
+    known = triples.select("h", "t").join(at("h"), "h", "left").join(at("t"), "t", "left")
+    marked = scratch.cut(known.where("h_ IS NOT NULL OR t_ IS NOT NULL"))
+    ways = [(a, b, f"{a}_") for a, b in (("h", "t"), ("t", "h"))]
+    # Evidence of anchors and of what is next to them; a loop for each anchor, and for each unmatched entity below.
+    first = mine.select("part_id", F.col("ent").alias("v"))
+    for a, b, own in ways:
+        first = first.unionByName(marked.select(F.explode(f"{own}.anchor").alias("part_id"), F.col(b).alias("v")))
+    x = F.count("*").cast("double")
+    first = scratch.cut(first.groupBy("part_id", "v").agg(x.alias("x")).select("part_id", "v", squash(F.col("x") / (F.col("x") + evidence.EPS), gamma).alias("d")))
+    to = open_.select("part_id", F.col("ent").alias("v"), F.col("ent").alias("u"))
+    for a, b, own in ways:
+        to = to.unionByName(marked.select(F.explode(f"{own}.goal").alias("part_id"), F.col(b).alias("v"), F.col(a).alias("u")))
+    # Rows of an unmatched entity lie together, so neither its neighbours nor its whole evidence are shuffled again.
+    each = to.join(first, ["part_id", "v"]).repartition("part_id", "u").groupBy("part_id", "u", "v").agg((F.count("*") * F.max("d")).alias("d"))
+    each = each.withColumn("x", F.sum("d").over(Window.partitionBy("part_id", "u"))).where("u <> v")
+    less = squash(F.col("x") / (F.col("x") + evidence.EPS), gamma) - squash((F.col("x") - F.col("d")) / (F.col("x") + evidence.EPS), gamma)
+    found = each.groupBy("part_id", F.col("v").alias("ent")).agg(F.sum(less).alias("benefit"))
+    fixed = mine.unionByName(open_)
+    candidates = first.select("part_id", F.col("v").alias("ent")).join(fixed, ["part_id", "ent"], "left_anti")
+    out = cut(candidates.join(found, ["part_id", "ent"], "left").select("part_id", "ent", F.coalesce("benefit", F.lit(0.0)).alias("benefit")))
+    scratch.drop()
+    return out
+
+
 def subtasks(triples1: DataFrame, triples2: DataFrame, members1: DataFrame, context1: DataFrame, members2: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
     """Tables of all subtasks, keyed by part_id: triples of both sides and pairs (e1, e2, split). Training
     pairs may start at members or context, test pairs at members only; both must end in the part."""

@@ -206,3 +206,31 @@ def test_chebyshev_products_are_not_shuffled(spark, monkeypatch):
     assert plan.index("MapInArrow") < plan.index("Exchange")
     third = names(adjacency.recurrence(scaled, second, scaled))
     assert third == pytest.approx({e: (2 * s @ want - s)[e] for e in third}, abs=1e-8)
+
+
+def test_connectors_of_one_layer(spark, monkeypatch):
+    """The same as by the general way, with loops, copies of edges, missing ends, entities in several parts and both kinds at once; triples are shuffled once by each end."""
+    rng = np.random.default_rng(9)
+    edges = [(int(a), "r", int(b)) for a, b in rng.integers(0, 40, (130, 2))] + [(3, "r", 3), (3, "s", 3), (5, "r", 6), (5, "s", 6), (6, "r", 5), (None, "r", 4), (4, "r", None)]
+    triples = spark.createDataFrame(edges, "h long, r string, t long")
+    some = lambda n: spark.createDataFrame([(int(p), int(e)) for p, e in zip(rng.integers(0, 3, n), rng.integers(0, 40, n))] + [(0, 3), (1, 3), (0, 99)], "part_id long, ent long")
+    unmatched, anchors = some(30), some(15)
+    rows = lambda found: {(r.part_id, r.ent): r.benefit for r in found.collect()}
+    got = rows(align.connectors(triples, unmatched, anchors, 1000))
+    met = align.hop_levels
+    hops = []
+    monkeypatch.setattr(align, "hop_levels", lambda *a: hops.append(1) or met(*a))
+    general = rows(align.connectors(triples, unmatched, anchors, 1000, _One(1)))
+    assert hops and got == pytest.approx(general, abs=1e-9) and any(v > 0 for v in got.values())
+    hops.clear()
+    align.connectors(triples, unmatched, anchors, 1000)
+    assert not hops
+
+
+class _One(int):
+    """A 1 that takes the general way."""
+
+    def __eq__(self, other):
+        return False
+
+    __hash__ = int.__hash__
